@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from skerry.llm.chat import op5_chat_prefix_targets
+from skerry.llm.decontaminate import op10_prefix_set_join
 from skerry.llm.ogg import op9_ogg_media
+from skerry.llm.packing import op7_minimum_bin_slack
 from skerry.llm.sharding import op6_sharding
+from skerry.llm.simhash import op8_generalised_pigeonhole
 from skerry.llm.urls import op1_url_model_ratio
 
 QUERIES = {
@@ -13,7 +16,10 @@ QUERIES = {
         op1_url_model_ratio,
         op5_chat_prefix_targets,
         op6_sharding,
+        op7_minimum_bin_slack,
+        op8_generalised_pigeonhole,
         op9_ogg_media,
+        op10_prefix_set_join,
     )
 }
 
