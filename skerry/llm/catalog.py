@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skerry.llm.chat import op5_chat_prefix_targets
 from skerry.llm.decontaminate import op10_prefix_set_join
+from skerry.llm.lines import op3_simhash_lines
 from skerry.llm.ogg import op9_ogg_media
 from skerry.llm.packing import op7_minimum_bin_slack
 from skerry.llm.sharding import op6_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_model_ratio,
+        op3_simhash_lines,
         op5_chat_prefix_targets,
         op6_sharding,
         op7_minimum_bin_slack,
