@@ -9,6 +9,7 @@ from skerry.llm.ogg import op9_ogg_media
 from skerry.llm.packing import op7_minimum_bin_slack
 from skerry.llm.sharding import op6_sharding
 from skerry.llm.simhash import op8_generalised_pigeonhole
+from skerry.llm.toxicity import op4_kneser_ney_toxicity
 from skerry.llm.urls import op1_url_model_ratio
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_url_model_ratio,
         op3_simhash_lines,
+        op4_kneser_ney_toxicity,
         op5_chat_prefix_targets,
         op6_sharding,
         op7_minimum_bin_slack,
