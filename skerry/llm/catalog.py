@@ -7,6 +7,7 @@ from skerry.llm.decontaminate import op10_prefix_set_join
 from skerry.llm.lines import op3_simhash_lines
 from skerry.llm.ogg import op9_ogg_media
 from skerry.llm.packing import op7_minimum_bin_slack
+from skerry.llm.pii import op2_disclosure_sanitisation
 from skerry.llm.sharding import op6_sharding
 from skerry.llm.simhash import op8_generalised_pigeonhole
 from skerry.llm.toxicity import op4_kneser_ney_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_model_ratio,
+        op2_disclosure_sanitisation,
         op3_simhash_lines,
         op4_kneser_ney_toxicity,
         op5_chat_prefix_targets,
