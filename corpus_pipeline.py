@@ -1,19 +1,73 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next one."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next one.
+
+Toxic documents go; of equal and nearly equal lines one stays; of each SimHash group the document with the smallest id stays
+(of rows equal in id and fingerprint, one); documents that hold a benchmark window go; the rest is packed.
+A document left without any text by line dedup stays as an empty one, so that each stage decides on its own ground only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from skerry.llm.common import written
+from skerry.llm.decontaminate import contamination
+from skerry.llm.lines import dedup_lines
+from skerry.llm.packing import pack_documents
+from skerry.llm.simhash import groups
+from skerry.llm.toxicity import THRESHOLD, score
+from skerry.session import table
+
+NEAR_BITS, SIMILARITY = 4, 0.8
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Scores below the threshold stay. The score is a function of the text, so rows are filtered in place."""
+    return score(docs, table(spark, sf_dir, "labels"), *COLUMNS).where(F.col("score") < THRESHOLD).select(COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their duplicate lines, n_chars counted anew."""
+    out = dedup_lines(docs.select(COLUMNS))
+    return out.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: SimHashes of words that differ in NEAR_BITS or fewer, and shingles of
+    five words with a Jaccard similarity of SIMILARITY or more. One changed word changes five such shingles but one word, so
+    fingerprints of words find pairs of that similarity at a distance small enough to search."""
+    found = groups(docs, most=NEAR_BITS, size=1, parts=3, similarity=SIMILARITY, verify_size=5)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs stay."""
+    return contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS)).where("n_hit = 0").select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in which sequence."""
+    return pack_documents(docs, keep_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import components, written
+from skerry.llm.common import broadcast_if, components, written
 from skerry.session import table
 
 SHINGLE, SEED, BITS, MOST = 3, 42, 64, 2
 PARTS = 2
 DENSE = 64  # members of a bucket from which pairs aren't listed
+NAMED = 500_000  # broadcast rows, of 16 bytes and their overhead
 PROBE_COST = 1.0  # of a probe, in candidates
 
 
@@ -210,32 +211,85 @@ def around(fps: DataFrame, radius: int) -> DataFrame:
     return at.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp", F.bit_count("flip").alias("apart"))
 
 
-def links(fps: DataFrame, most: int = MOST, parts: int = PARTS) -> DataFrame:
-    """(a, b): links that join exactly the groups of distinct fingerprints reachable over steps of `most` bits or fewer."""
+def links(fps: DataFrame, most: int = MOST, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join exactly the groups of distinct fingerprints reachable over steps of `most` bits or fewer, and
+    (part, value, fp) for the buckets whose pairs the links don't list one by one."""
     n, both = statistics(fps)
     groups = partition_bits(n, both, parts)
     values = F.array(*(F.struct(F.lit(i).alias("part"), part_column(bits).alias("value")) for i, bits in enumerate(groups)))
     index = fps.select("fp", F.explode(values).alias("x")).select(F.col("x.part").alias("part"), F.col("x.value").alias("value"), F.col("fp").alias("other"))
     buckets = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("one"))
-    hits = probes(fps, groups, most).join(buckets, ["part", "value"]).where("n > 1 OR one <> fp")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("one"))) <= most
+    hits = probes(fps, groups, most).join(buckets, ["part", "value"]).where((F.col("n") > 1) | (F.col("one") != F.col("fp")) & near)
     hits = written(hits, "simhash-hits")
     single = hits.where("n = 1").select(F.col("fp").alias("a"), F.col("one").alias("b"))
-    sparse = hits.where(f"n > 1 AND n <= {DENSE}").join(index, ["part", "value"]).where("fp <> other").select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    pairs = single.union(sparse).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    crowded = hits.where(f"n > {DENSE}")
-    members = index.join(crowded.select("part", "value").distinct(), ["part", "value"]).select(F.col("other").alias("fp"))
-    crowd = written(members.union(crowded.select("fp")).distinct(), "simhash-crowd")
-    stands = around(crowd, -(-most // 2))
-    near = stands.where(F.col("apart") <= most // 2).groupBy("point").agg(F.min("fp").alias("near"))
-    stars = stands.join(near, "point").where("fp <> near").select(F.col("fp").alias("a"), F.col("near").alias("b"))
-    return pairs.union(stars)
-
-
-def groups(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, parts: int = PARTS) -> DataFrame:
-    """(id_col, fp, component_id) for every row of docs."""
+    sparse = hits.where(f"n > 1 AND n <= {DENSE}").join(index, ["part", "value"])
+    sparse = sparse.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    crowded = hits.where(f"n > {DENSE}").select("part", "value", "fp")
+    members = index.join(crowded.select("part", "value").distinct(), ["part", "value"]).select("part", "value", F.col("other").alias("fp"))
+    crowd = written(members.union(crowded).distinct(), "simhash-crowd")
+    stands = around(crowd.select("fp").distinct(), -(-most // 2))
+    closest = stands.where(F.col("apart") <= most // 2).groupBy("point").agg(F.min("fp").alias("near"))
+    stars = stands.join(closest, "point").where("fp <> near").select(F.col("fp").alias("a"), F.col("near").alias("b"))
+    found = single.union(sparse).union(stars)
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links"), crowd
+
+
+def shingles(text: str | None, size: int) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """pairs (a, b) whose texts (fp, text) have that Jaccard similarity of shingles of `size` words."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                keep = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    x, y = shingles(x, size), shingles(y, size)
+                    keep.append(len(x & y) >= similarity * len(x | y))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+
+
+def verified(found: DataFrame, crowd: DataFrame, nodes: DataFrame, docs: DataFrame, most: int, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Those of the links whose texts are alike, and all that join the groups these leave apart inside crowded buckets. A
+    fingerprint's text is that of its document with the smallest id."""
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "simhash-pairs")
+        named = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").select("fp", F.col("least").alias(id_col))
+        named = written(named, "simhash-named")
+        texts = docs.select(id_col, text_col).join(broadcast_if(named, named.count(), NAMED), id_col)
+        texts = written(texts.groupBy("fp").agg(F.min(text_col).alias("text")), "simhash-texts")
+        return alike(pairs, texts, size, similarity)
+
+    sure = written(check(found), "simhash-sure")
+    group = components(sure)
+    apart = crowd.join(group, F.col("fp") == F.col("node"), "left").select("part", "value", "fp", F.coalesce("component", "fp").alias("g"))
+    mixed = apart.groupBy("part", "value").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("part", "value")
+    apart = written(apart.join(mixed, ["part", "value"]), "simhash-apart")
+    other = apart.select("part", "value", F.col("fp").alias("b"), F.col("g").alias("gb"))
+    rest = apart.withColumnRenamed("fp", "a").join(other, ["part", "value"])
+    rest = rest.where((F.col("a") < F.col("b")) & (F.col("g") != F.col("gb")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most))
+    return sure.union(check(rest.select("a", "b").distinct()))
+
+
+def groups(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, parts: int = PARTS, similarity: float | None = None, verify_size: int = 5) -> DataFrame:
+    """(id_col, fp, component_id) for every row of docs. With a similarity, links count only if the texts' shingles of
+    verify_size words are that much alike (Jaccard); equal fingerprints always count."""
     rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    joined = components(links(nodes.select("fp"), most, parts))
+    found, crowd = links(nodes.select("fp"), most, parts)
+    if similarity is not None:
+        found = verified(found, crowd, nodes, docs, most, verify_size, similarity, id_col, text_col)
+    joined = components(found)
     named = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
