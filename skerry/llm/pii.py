@@ -152,10 +152,14 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Da
     total = found.select("key").distinct().count()
     near = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.term").distinct()
     near = written(near, "pii-near")
-    pairs = written(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT), "pii-pairs")
     entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    beside = near.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT).join(entities, "entity").join(beside, "term")
+    # a share of GENERALISE bounds n_t, and texts that hold the term beside an entity are among those that hold it
+    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - GENERALISE)) + 1e-6
+    pairs = written(pairs.where((F.col("n_e") < total) & (F.col("n_beside") <= most)).drop("n_beside"), "pii-pairs")
     terms = written(texts_with(docs, pairs.select("term").distinct(), text_col), "pii-terms")
-    rated = pairs.join(entities, "entity").join(terms, "term").where(F.col("n_e") < total)
+    rated = pairs.join(terms, "term")
     mutual = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     share = mutual / F.log(F.lit(float(total)) / F.col("n_e"))
     return rated.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
