@@ -54,11 +54,12 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32, salt[, ids]) for every piece of every document; ids are little-endian unsigned 32-bit."""
+    """(id_col, piece, start, length, ids_crc32, salt[, ids]) for every piece of every document; ids are little-endian unsigned
+    32-bit. salt deals a task's pieces out in turn, so copies of one document don't meet in one group."""
     ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(ranks, pattern)
+        known, made = encoder(ranks, pattern), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -77,7 +78,8 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
                         if keep_ids:
                             kept.append(part)
                 ids_of_rows = batch.column(0).take(pa.array(row, pa.int32()))
-                columns = [ids_of_rows, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([(c + s) % SALTS for c, s in zip(crc, start, strict=True)], pa.int32())]
+                columns = [ids_of_rows, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(made, made + len(row)) % SALTS, pa.int32())]
+                made += len(row)
                 names = [id_col, "piece", "start", "length", "ids_crc32", "salt"]
                 if keep_ids:
                     columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
