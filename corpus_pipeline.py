@@ -36,8 +36,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: SimHashes of words that differ in NEAR_BITS or fewer, and shingles of
     five words with a Jaccard similarity of SIMILARITY or more. One changed word changes five such shingles but one word, so
-    fingerprints of words find pairs of that similarity at a distance small enough to search."""
-    found = groups(docs, most=NEAR_BITS, size=1, parts=3, similarity=SIMILARITY, verify_size=5)
+    fingerprints of distinct words find pairs of that similarity at a distance small enough to search."""
+    found = groups(docs, most=NEAR_BITS, size=1, distinct=True, parts=3, similarity=SIMILARITY, verify_size=5)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
     kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")

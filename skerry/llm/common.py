@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_made: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a table in the shared folder, read back. It cuts the lineage, survives lost executors, and lets Spark drop
-    the shuffle files that led to it."""
+    the shuffle files that led to it. keep: temporary() leaves it alone."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
@@ -31,9 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    if not keep:
+        _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables written inside are removed at its end, but for those to keep. What is kept must have been written by then."""
+    start = len(_made)
+    yield
+    for spark, path in _made[start:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[start:]
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast df only when its counted rows stay within the given bound; else the join shuffles both sides."""
     return F.broadcast(df) if rows <= most else df

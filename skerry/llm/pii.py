@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import broadcast_if, written
+from skerry.llm.common import broadcast_if, temporary, written
 from skerry.session import table
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
@@ -168,7 +168,8 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Da
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, key, base, all): arrays of (start, kind, end), in order, for every row of docs."""
     found = written(scan(docs, id_col, text_col), "pii-scan")
-    told = written(disclosures(docs, found, text_col), "pii-disclosures")
+    with temporary():
+        told = written(disclosures(docs, found, text_col), "pii-disclosures", keep=True)
     known = broadcast_if(told, told.count(), PAIR_ROWS)
     near = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).distinct()
     kind = F.when(F.max("share") >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("generalised"))

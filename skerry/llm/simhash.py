@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import broadcast_if, components, written
+from skerry.llm.common import broadcast_if, components, temporary, written
 from skerry.session import table
 
 SHINGLE, SEED, BITS, MOST = 3, 42, 64, 2
@@ -39,8 +39,9 @@ NAMED = 500_000  # broadcast rows, of 16 bytes and their overhead
 PROBE_COST = 1.0  # of a probe, in candidates
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def fingerprint(text: str | None, size: int = SHINGLE, distinct: bool = False) -> int:
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and white space 09-0D and 20
+    words = list(dict.fromkeys(words)) if distinct else words
     if not words:
         return 0
     joined, size = b" ".join(words), min(size, len(words))
@@ -54,14 +55,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id_col, fp): a narrow pass over whole texts."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distinct: bool = False) -> DataFrame:
+    """(id_col, fp): a narrow pass over whole texts. distinct: words are taken once, in the order they come."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                fps = [fingerprint(t.as_py(), size) for t in batch.column(1)]
+                fps = [fingerprint(t.as_py(), size, distinct) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
     return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
@@ -281,17 +282,18 @@ def verified(found: DataFrame, crowd: DataFrame, nodes: DataFrame, docs: DataFra
     return sure.union(check(rest.select("a", "b").distinct()))
 
 
-def groups(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, parts: int = PARTS, similarity: float | None = None, verify_size: int = 5) -> DataFrame:
+def groups(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, parts: int = PARTS, similarity: float | None = None, verify_size: int = 5, distinct: bool = False) -> DataFrame:
     """(id_col, fp, component_id) for every row of docs. With a similarity, links count only if the texts' shingles of
     verify_size words are that much alike (Jaccard); equal fingerprints always count."""
-    rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    found, crowd = links(nodes.select("fp"), most, parts)
-    if similarity is not None:
-        found = verified(found, crowd, nodes, docs, most, verify_size, similarity, id_col, text_col)
-    joined = components(found)
-    named = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = written(named, "named")
+    rows = written(fingerprints(docs, id_col, text_col, size, distinct), "fingerprints")
+    with temporary():
+        nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+        found, crowd = links(nodes.select("fp"), most, parts)
+        if similarity is not None:
+            found = verified(found, crowd, nodes, docs, most, verify_size, similarity, id_col, text_col)
+        joined = components(found)
+        named = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+        named = written(named, "named", keep=True)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
