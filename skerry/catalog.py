@@ -372,6 +372,42 @@ def watermarks(spark: SparkSession, d: str) -> DataFrame:
     return orders.agg(watermark("o_orderkey").alias("numeric_mark"), watermark("o_orderpriority").alias("text_mark"))
 
 
+@query("""WITH r AS (SELECT o_custkey AS dataset_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS revision, o_orderkey AS row_count FROM orders),
+    x AS (SELECT dataset_id, max(revision) AS latest_revision, arg_max(row_count, revision) AS latest_rows FROM r GROUP BY 1)
+    SELECT c_custkey AS dataset_id, latest_revision, latest_rows, r.row_count AS published_rows FROM customer LEFT JOIN x ON c_custkey = x.dataset_id LEFT JOIN r ON c_custkey = r.dataset_id AND r.revision = 2""")
+def dataset_revisions(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    orders = table(spark, d, "orders").select(F.lit(1).alias("tenant_id"), F.col("o_custkey").alias("dataset_id"), F.col("o_orderkey").alias("row_count"))
+    revisions = orders.withColumn("revision", F.row_number().over(Window.partitionBy("dataset_id").orderBy("row_count")).cast("long"))
+    datasets = table(spark, d, "customer").select(F.lit(1).alias("tenant_id"), F.col("c_custkey").alias("dataset_id"), F.lit(2).cast("long").alias("published"))
+    return registry.datasets_with_revisions(datasets, revisions).select("dataset_id", "latest_revision", "latest_rows", "published_rows")
+
+
+@query("""SELECT a.c_custkey AS decision_id, m.metric, m.expected, o.value, o.value - m.expected AS difference FROM customer a, (VALUES ('balance', 100.0::DOUBLE), ('orders', 10.0::DOUBLE)) m(metric, expected)
+    LEFT JOIN (SELECT o_custkey, 'orders' AS metric, count(*)::DOUBLE AS value FROM orders GROUP BY 1) o ON o.o_custkey = a.c_custkey AND o.metric = m.metric""")
+def outcome_comparison(spark: SparkSession, d: str) -> DataFrame:
+    evidence = table(spark, d, "customer").select(F.col("c_custkey").alias("decision_id"), F.create_map(F.lit("balance"), F.lit(100.0), F.lit("orders"), F.lit(10.0)).alias("metrics"))
+    observed = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("decision_id")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("orders"))
+    return registry.outcome_comparison(evidence, observed).select("decision_id", "metric", "expected", "value", "difference")
+
+
+@query("""WITH d AS (SELECT c_custkey AS k, c_nationkey % 3 AS g, c_acctbal AS v FROM customer) SELECT count(*) AS n, sum(CASE WHEN g = 0 THEN 1 ELSE 0 END)::BIGINT AS draft, count_if(g = 1)::BIGINT AS active, count_if(g = 2 AND v < 0)::BIGINT AS at_risk FROM d""")
+def pilot_summary(spark: SparkSession, d: str) -> DataFrame:
+    g = F.col("c_nationkey") % 3
+    return table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"), F.count_if(g == 0).alias("draft"), F.count_if(g == 1).alias("active"), F.count_if((g == 2) & (F.col("c_acctbal") < 0)).alias("at_risk"))
+
+
+@query("""SELECT 'metric' AS machine, o_custkey AS id, string_agg(s, '>' ORDER BY o_orderkey) AS states, bool_and(ok) AS legal FROM (
+    SELECT *, (f, s) IN (('proposed', 'approved'), ('approved', 'superseded'), ('approved', 'withdrawn')) AND (p IS NULL OR p = f) AS ok FROM (
+        SELECT *, lag(s) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM (SELECT o_custkey, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'proposed' ELSE 'approved' END AS f,
+            CASE o_orderkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'superseded' ELSE 'withdrawn' END AS s FROM orders))) GROUP BY 2""")
+def lifecycle_histories(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    moves = table(spark, d, "orders").select(F.lit("metric").alias("machine"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), F.when(k == 0, "proposed").otherwise("approved").alias("from_state"), F.when(k == 0, "approved").when(k == 1, "superseded").otherwise("withdrawn").alias("to_state"))
+    return registry.histories(moves).withColumn("states", F.array_join("states", ">"))
+
+
 # --- monitoring -------------------------------------------------------------------------------------------------------
 
 DAILY = "SELECT CAST(row_number() OVER (ORDER BY ds) - 1 AS BIGINT) AS i, ds, y FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1)"

@@ -17,7 +17,19 @@ EDGES = {
     "condition": [("normal", "pending"), ("recovered", "pending"), ("pending", "active"), ("pending", "recovered"), ("active", "recovered")],
     "metric": [("proposed", "approved"), ("approved", "superseded"), ("approved", "withdrawn")],
     "ingest_run": [("queued", "running"), ("running", "succeeded"), ("running", "failed")],
-}
+    "model": [("draft", "evaluated"), ("draft", "retired"), ("evaluated", "approved"), ("evaluated", "retired"), ("approved", "active"), ("approved", "retired"), ("active", "degraded"), ("active", "suspended"), ("active", "retired"), ("degraded", "active"), ("degraded", "suspended"), ("degraded", "retired"), ("suspended", "active"), ("suspended", "retired")],
+    "pilot": [("draft", "configuration"), ("draft", "abandoned"), ("configuration", "ready_for_evaluation"), ("configuration", "abandoned"), ("ready_for_evaluation", "active"), ("ready_for_evaluation", "configuration"), ("ready_for_evaluation", "abandoned"), ("active", "review"), ("active", "abandoned"), ("review", "completed"), ("review", "active"), ("review", "abandoned")],
+    "investigation": [("open", "in_progress"), ("open", "resolved"), ("open", "closed"), ("in_progress", "resolved"), ("in_progress", "closed"), ("in_progress", "open"), ("resolved", "closed"), ("resolved", "in_progress"), ("resolved", "open"), ("closed", "open")],
+    "decision": [
+        ("draft", "proposed"), ("draft", "abandoned"), ("draft", "deferred"), ("proposed", "accepted"), ("proposed", "rejected"), ("proposed", "deferred"), ("proposed", "abandoned"), ("proposed", "draft"),
+        ("accepted", "implementation_pending"), ("accepted", "active"), ("accepted", "superseded"), ("accepted", "abandoned"), ("accepted", "deferred"),
+        ("implementation_pending", "active"), ("implementation_pending", "superseded"), ("implementation_pending", "abandoned"), ("active", "review_due"), ("active", "evaluated"), ("active", "superseded"), ("active", "abandoned"),
+        ("review_due", "evaluated"), ("review_due", "active"), ("review_due", "superseded"), ("review_due", "abandoned"), ("evaluated", "closed"), ("evaluated", "superseded"), ("evaluated", "abandoned"),
+        ("closed", "superseded"), ("rejected", "draft"), ("rejected", "proposed"), ("deferred", "draft"), ("deferred", "proposed"), ("abandoned", "draft"),
+    ],
+}
+# Decision states from which on evidence can't be bound any more.
+FROZEN = ("accepted", "implementation_pending", "active", "review_due", "evaluated", "closed", "superseded")
 INLINE_ROWS = 100
 EVIDENCE_ROWS = 50_000
 
@@ -31,6 +43,35 @@ def illegal_moves(moves: DataFrame) -> DataFrame:
     return moves.join(F.broadcast(edges(moves.sparkSession)), ["machine", "from_state", "to_state"], "left_anti")
 
 
+def histories(moves: DataFrame) -> DataFrame:
+    """(machine, id, states, legal) of ordered moves (machine, id, at, from_state, to_state): a history is legal if every move is an
+    edge and begins where the last one ended."""
+    order = Window.partitionBy("machine", "id").orderBy("at")
+    known = edges(moves.sparkSession).withColumn("edge", F.lit(True))
+    steps = moves.withColumn("before", F.lag("to_state").over(order)).join(F.broadcast(known), ["machine", "from_state", "to_state"], "left")
+    good = F.coalesce("edge", F.lit(False)) & (F.col("before").isNull() | (F.col("before") == F.col("from_state")))
+    return steps.groupBy("machine", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "to_state"))), lambda x: x.to_state).alias("states"), F.every(good).alias("legal"))
+
+
+def bindable(decisions: DataFrame) -> DataFrame:
+    """Decisions whose evidence may still change."""
+    return decisions.where(~F.col("status").isin(list(FROZEN)))
+
+
+def amended(register: DataFrame, amendments: DataFrame) -> DataFrame:
+    """An append-only register with each decision's amendments in order beside it; entries themselves never change."""
+    notes = amendments.groupBy("tenant_id", "decision_id").agg(F.array_sort(F.collect_list(F.struct("at", "note"))).alias("amendments"))
+    return register.join(notes, ["tenant_id", "decision_id"], "left")
+
+
+def datasets_with_revisions(datasets: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Each dataset (tenant_id, dataset_id, published) with its latest and its published revision, without a lookup per row."""
+    key = ["tenant_id", "dataset_id"]
+    newest = revisions.groupBy(*key).agg(F.max("revision").alias("latest_revision"), F.max_by("row_count", "revision").alias("latest_rows"))
+    live = revisions.select(*key, F.col("revision").alias("published"), F.col("row_count").alias("published_rows"))
+    return datasets.join(newest, key, "left").join(live, [*key, "published"], "left")
+
+
 def scoped(df: DataFrame, tenant, column: str = "tenant_id") -> DataFrame:
     return df.where(F.col(column) == tenant)
 

@@ -166,3 +166,12 @@ def test_registers(spark, tmp_path):
         registry.read_evidence(spark, small | {"rows": []})
     states = monitoring.conditions(spark.createDataFrame([("r", datetime(2026, 1, d), e) for d, e in ((1, "fire"), (2, "resolve"), (3, "fire"), (4, "fire"))], "rule_id string, at timestamp_ntz, event string"))
     assert states.first()["condition"] == "active"
+
+
+def test_saved_analyses(spark):
+    from skerry.plans import saved
+
+    q = Query([Measure("count")], ["k"], [Filter("k", "gte", 1)])
+    df = spark.range(9).select((F.col("id") % 3).alias("k"))
+    text = saved.saved(q)
+    assert saved.loaded(text) == q and saved.rerun(df, text)["sha256"] == saved.rerun(df, text)["sha256"] and len(saved.rerun(df, text)["rows"]) == 2

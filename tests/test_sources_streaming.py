@@ -90,3 +90,23 @@ def test_incremental_copy(spark, tmp_path):
         q = events.incremental(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == source.count()
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from skerry.sources.workbook import parse_xlsx
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = [["Title"], ["id", "amount", "name"], ["1", "2.5", "x"], ["2", "3.5", ""], ["3", "4", "z"], []]
+    cells = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{v}</t></is></c>' if not v.replace(".", "").isdigit() else f'<c r="{chr(65 + j)}{i}"><v>{v}</v></c>' for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
+    out = parse_xlsx(spark, str(tmp_path / "a.xlsx"))
+    assert out.types["amount"] == "float" and [r["amount"] for r in out.accepted.orderBy("amount").collect()] == [2.5, 3.5, 4.0]
+    assert out.accepted.where("name IS NULL").count() == 1
+    with pytest.raises(Exception, match="no sheet"):
+        parse_xlsx(spark, str(tmp_path / "a.xlsx"), "none").accepted.count()
