@@ -16,6 +16,8 @@ equal results; empty tables give empty results; extra columns stay out. Only Dat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,16 @@ def words(text: Column) -> Column:
 
 
 def shingled(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, pos, shingle): every run of `size` words of column w, with its place from 0."""
+    """(keys, pos, key, parts): every run of `size` words of column w, with its place from 0, as a hash and as words. Joins go by
+    the hash and compare the words of what they find, so no shingle is put together as text."""
     n = F.size("w") - (size - 1)
     parts = F.arrays_zip(*(F.slice("w", F.lit(i + 1), n).alias(f"w{i}") for i in range(size)))
     runs = rows.where(n > 0).select(*keys, F.posexplode(parts).alias("pos", "parts"))
-    return runs.select(*keys, "pos", F.concat_ws(" ", *(F.col(f"parts.w{i}") for i in range(size))).alias("shingle"))
+    return runs.select(*keys, "pos", F.xxhash64(*(F.col(f"parts.w{i}") for i in range(size))).alias("key"), "parts")
+
+
+def same_words(size: int) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"parts.w{i}") == F.col(f"p.w{i}") for i in range(size)))
 
 
 def windows_of(items: DataFrame, window: int, size: int) -> DataFrame:
@@ -52,14 +59,14 @@ def windows_of(items: DataFrame, window: int, size: int) -> DataFrame:
 
 
 def prefixes(windows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(size, shingle, at, w, n): each window with its rarest shingle over the whole corpus and that shingle's place."""
-    parts = shingled(windows.where(F.col("size") == size), ["w", "n"], size).withColumnRenamed("pos", "at")
+    """(key, p, at, seen, w, n): each window with its rarest shingle over the whole corpus and that shingle's place."""
+    parts = shingled(windows.where(F.col("size") == size), ["w", "n"], size).withColumnsRenamed({"pos": "at", "parts": "p"})
     parts = written(parts, f"window-shingles-{size}")
-    names = parts.select("shingle").distinct()
-    seen = shingled(texts, [], size).join(broadcast_if(names, names.count(), PREFIX_ROWS), "shingle").groupBy("shingle").count()
-    rated = parts.join(seen, "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    best = rated.groupBy("w", "n").agg(F.min(F.struct("count", "at", "shingle")).alias("x"))
-    return best.select(F.lit(size).alias("size"), F.col("x.shingle").alias("shingle"), F.col("x.at").alias("at"), F.col("x.count").alias("seen"), "w", "n")
+    names = parts.select("key", "p").distinct()
+    met = shingled(texts, [], size).join(broadcast_if(names, names.count(), PREFIX_ROWS), "key").where(same_words(size))
+    rated = parts.join(met.groupBy("key", "p").count(), ["key", "p"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    best = rated.groupBy("w", "n").agg(F.min(F.struct("count", "at", "key", "p")).alias("x"))
+    return best.select("x.key", "x.p", F.col("x.at").alias("at"), F.col("x.count").alias("seen"), "w", "n")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, size: int = SHINGLE) -> DataFrame:
@@ -71,7 +78,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, size: i
     for k in sizes:
         prefix = written(prefixes(windows, texts, k), f"prefixes-{k}").where("seen > 0")
         near = shingled(texts.withColumn("len", F.size("w")), ["h", "g", "len"], k)
-        near = near.join(broadcast_if(prefix, prefix.count(), PREFIX_ROWS), "shingle")
+        near = near.join(broadcast_if(prefix, prefix.count(), PREFIX_ROWS), "key").where(same_words(k))
         near = near.where("pos >= at AND pos - at + n <= len").select("h", "g", (F.col("pos") - F.col("at")).alias("start"), F.col("w").alias("window"))
         found = near if found is None else found.union(near)
     if found is None:

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import broadcast_if, written
+from skerry.llm.common import broadcast_if, temporary, written
 from skerry.session import table
 
 RULES = (
@@ -122,10 +122,11 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url")).select(id_col, host.alias("host"), path.alias("path"))
     name, action = rule_of(rules)
     rows = rows.select("*", name.alias("rule"), action.alias("action"), F.concat("host", "path").alias("s"))
-    urls = written(rows.groupBy("s", "action").agg(F.count(F.lit(1)).alias("n")), "urls")
-    ruled = urls.where("action IS NOT NULL").select("s", "n", (F.col("action") == "block").alias("blocked"))
-    every = written(scores(urls.select("s").distinct(), ruled), "url-scores")
-    cut = threshold(ruled.join(every, "s"))
+    with temporary():
+        urls = written(rows.groupBy("s", "action").agg(F.count(F.lit(1)).alias("n")), "urls")
+        ruled = urls.where("action IS NOT NULL").select("s", "n", (F.col("action") == "block").alias("blocked"))
+        every = written(scores(urls.select("s").distinct(), ruled), "url-scores", keep=True)
+        cut = threshold(ruled.join(every, "s"))
     method = F.when((F.col("s") != "") & (F.col("score") >= cut), "block").otherwise("allow")
     judged = rows.join(every, "s", "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("action", method).alias("verdict"), F.when(F.col("action").isNull(), F.col("score")).alias("score"))

@@ -181,8 +181,8 @@ def test_lines_against_brute_force(spark, monkeypatch, dense):
 
 
 def test_wide_lanes(spark):
-    words = spark.createDataFrame([(1, 2, xxhash.xxh64_intdigest(str(i).encode()) - (1 << 63)) for i in range(101)], "h long, g long, x long")
-    assert lines.lanes(words, 16).collect() == lines.lanes(words, 32).collect()
+    words = spark.createDataFrame([(1, 2, 9, xxhash.xxh64_intdigest(str(i).encode()) - (1 << 63)) for i in range(101)], "h long, g long, len int, x long")
+    assert lines.lanes(words, 8).collect() == lines.lanes(words, 16).collect() == lines.lanes(words, 32).collect()
 
 
 # --- 4: toxicity
@@ -200,7 +200,7 @@ def test_models_against_brute_force(spark):
     rows = spark.createDataFrame(data, "text string, toxic int, fit boolean")
     from skerry.llm.common import written
 
-    got = toxicity.models(written(toxicity.count_grams(rows), "test-counts"))
+    got = [model() for model in toxicity.models(written(toxicity.count_grams(rows), "test-counts"))]
     pool, counts = collections.Counter(), {}
     for text, y, fit in data:
         s, _ = toxicity.symbols([text])
