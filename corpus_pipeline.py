@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next one.
 
-Toxic documents go; of equal and nearly equal lines one stays; of each SimHash group the document with the smallest id stays
+Toxic documents go; of equal and nearly equal lines one stays; of each group of near copies the document with the smallest id stays
 (of rows equal in id and fingerprint, one); documents that hold a benchmark window go; the rest is packed.
 A document left without any text by line dedup stays as an empty one, so that each stage decides on its own ground only.
 """
@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import written
+from skerry.llm.copies import firsts
 from skerry.llm.decontaminate import contamination
 from skerry.llm.lines import dedup_lines
 from skerry.llm.packing import pack_documents
-from skerry.llm.simhash import groups
 from skerry.llm.toxicity import THRESHOLD, score
 from skerry.session import table
 
-NEAR_BITS, SIMILARITY = 4, 0.8
+SIMILARITY = 0.8
+NEAR_BITS = 4  # SimHash distance within which tests hold near copies against brute force; the search has no such bound
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,13 +35,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: SimHashes of words that differ in NEAR_BITS or fewer, and shingles of
-    five words with a Jaccard similarity of SIMILARITY or more. One changed word changes five such shingles but one word, so
-    fingerprints of distinct words find pairs of that similarity at a distance small enough to search."""
-    found = groups(docs, most=NEAR_BITS, size=1, distinct=True, parts=3, similarity=SIMILARITY, verify_size=5)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """One document of each group of near copies stays: those linked by shingles of five words with a Jaccard similarity of
+    SIMILARITY or more. All such pairs are found, whatever the distance of their SimHashes."""
+    keep = firsts(docs, SIMILARITY).select("id").distinct()
     one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.id), "left_semi")
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(COLUMNS)
 
 
