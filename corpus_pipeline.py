@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next one.
 
-Toxic documents go; of equal and nearly equal lines one stays; of each group of near copies the document with the smallest id stays
-(of rows equal in id and fingerprint, one); documents that hold a benchmark window go; the rest is packed.
+Toxic documents go; of equal and nearly equal lines one stays; of each group of near copies the row with the smallest id, null
+last, and of these with the smallest text hash stays (of rows equal in id and text, one); documents that hold a benchmark window go; the rest is packed.
 A document left without any text by line dedup stays as an empty one, so that each stage decides on its own ground only.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import written
-from skerry.llm.copies import firsts
+from skerry.llm.copies import firsts, identified
 from skerry.llm.decontaminate import contamination
 from skerry.llm.lines import dedup_lines
 from skerry.llm.packing import pack_documents
@@ -36,10 +36,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: those linked by shingles of five words with a Jaccard similarity of
-    SIMILARITY or more. All such pairs are found, whatever the distance of their SimHashes."""
-    keep = firsts(docs, SIMILARITY).select("id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.id), "left_semi")
+    SIMILARITY or more. All such pairs are found, whatever the distance of their SimHashes. The row that stays is named by id and
+    text, so rows with a null id, or with one id and different texts, are documents of their own."""
+    keep = firsts(docs, SIMILARITY).select("id", F.col("h").alias("_h"), F.col("g").alias("_g"))
+    named = identified(docs.select(COLUMNS), "doc_id", "text")
+    kept = named.join(keep, named.doc_id.eqNullSafe(keep.id) & (named.h == keep._h) & (named.g == keep._g), "left_semi")
+    one = Window.partitionBy("doc_id", "h", "g").orderBy("text", "lang", "source", "n_chars")
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(COLUMNS)
 
 

@@ -47,3 +47,15 @@ def test_every_similar_pair_is_found(spark, monkeypatch, dense, sample):
     assert any(bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") > corpus_pipeline.NEAR_BITS for i, j in pairs)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, table_of(spark, docs), "").collect()}
     assert kept == brute_firsts(docs)
+
+
+def test_only_copies_go(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, base = text(60), text(60), text(60), text(60), text(100)
+    words = base.split(" ")
+    mixed = " ".join(rng.sample(words, len(words)))
+    assert simhash.fingerprint(base, 1, True) == simhash.fingerprint(mixed, 1, True)
+    docs = [(None, a), (None, b), (None, c), (7, c), (5, a.replace(" ", " extra ", 1)), (5, d), (5, b), (9, base), (10, mixed), (11, base.upper()), (None, None), (12, ""), (13, d), (13, d)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, table_of(spark, docs), "").collect()), key=str)
+    assert kept == sorted([(5, docs[4][1]), (5, d), (5, b), (7, c), (9, base), (10, mixed), (12, "")], key=str)
