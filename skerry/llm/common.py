@@ -6,23 +6,27 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: dict[str, str] = {}  # by application, where no folder is set
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. Where none is set, a folder beside the warehouse, which a cluster
+    shares too; only a single local JVM, as in tests, uses a temporary folder of its machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='skerry-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-_made: list[tuple[SparkSession, str]] = []
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        local = spark.sparkContext.master.startswith("local[")
+        _own[app] = f"file://{tempfile.mkdtemp(prefix='skerry-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/skerry-{app}"
+    return _own[app]
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -36,20 +40,25 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    if not keep:
-        _made.append((spark, path))
+    made = _made.get()
+    if made is not None and not keep:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def temporary() -> Iterator[None]:
-    """Tables written inside are removed at its end, but for those to keep. What is kept must have been written by then."""
-    start = len(_made)
-    yield
-    for spark, path in _made[start:]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _made[start:]
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, in this thread, are removed at its end, failed or not, but for those to keep. What is kept must
+    have been written by then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -57,34 +66,33 @@ def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each linked node reaches. Nodes without links aren't listed.
 
     Alternating large-star and small-star rounds over (u, v) links. Each star keeps a link from every neighbour to the
-    smallest one, so the link count never grows, and minima are combined before the shuffle. Each round is a written table.
+    smallest one, so the link count never grows, and minima are combined before the shuffle. Each round is a written table;
+    rounds end when a round changes nothing, which takes about the logarithm of the longest path. The minima are written too:
+    a join of two plain scans is one whose large partitions Spark splits, so a star with very many links spreads over tasks.
     """
-    e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = written(e, "links")
 
-    def digest(t: DataFrame) -> tuple:
-        return tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def round_of(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("all")), "links")
+        return e, (seen.get["n"], seen.get["all"])
 
-    state = digest(e)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e, state = round_of(e)
+    while state[0]:
         both = e.union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
-        e = written(small.distinct(), "links")
-        now = digest(e)
+        e, now = round_of(small.distinct())
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

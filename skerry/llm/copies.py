@@ -171,7 +171,7 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, size:
 def firsts(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, h, g, members): the name of the first row of each group of near copies, and how many nodes the group has."""
     docs = identified(docs.select(id_col, F.col(text_col).alias("text")), id_col, "text")
-    with temporary():
+    with temporary(docs.sparkSession):
         rows = written(scan(docs, id_col, size, similarity), "copies-rows")
         name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h", "g")
         nodes = written(rows.groupBy("k").agg(F.min(name).alias("first")), "copies-nodes")

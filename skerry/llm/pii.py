@@ -168,7 +168,7 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Da
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, key, base, all): arrays of (start, kind, end), in order, for every row of docs."""
     found = written(scan(docs, id_col, text_col), "pii-scan")
-    with temporary():
+    with temporary(docs.sparkSession):
         told = written(disclosures(docs, found, text_col), "pii-disclosures", keep=True)
     known = broadcast_if(told, told.count(), PAIR_ROWS)
     near = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).distinct()

@@ -286,7 +286,7 @@ def groups(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col:
     """(id_col, fp, component_id) for every row of docs. With a similarity, links count only if the texts' shingles of
     verify_size words are that much alike (Jaccard); equal fingerprints always count."""
     rows = written(fingerprints(docs, id_col, text_col, size, distinct), "fingerprints")
-    with temporary():
+    with temporary(docs.sparkSession):
         nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
         found, crowd = links(nodes.select("fp"), most, parts)
         if similarity is not None:

@@ -122,7 +122,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url")).select(id_col, host.alias("host"), path.alias("path"))
     name, action = rule_of(rules)
     rows = rows.select("*", name.alias("rule"), action.alias("action"), F.concat("host", "path").alias("s"))
-    with temporary():
+    with temporary(pages.sparkSession):
         urls = written(rows.groupBy("s", "action").agg(F.count(F.lit(1)).alias("n")), "urls")
         ruled = urls.where("action IS NOT NULL").select("s", "n", (F.col("action") == "block").alias("blocked"))
         every = written(scores(urls.select("s").distinct(), ruled), "url-scores", keep=True)

@@ -134,14 +134,25 @@ def edit(a, b):
     return row[-1]
 
 
+def blocks(words):
+    """The bits of the heaviest word under each block's weights."""
+    out = []
+    for i in range(lines.BLOCKS):
+        seed = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42)
+        weigh = lambda w: xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(w.encode(), 42).to_bytes(8, "little"), seed) >> (1 + min(len(w), 16) // 2)  # noqa: E731, B023
+        out.append(min(map(weigh, words)))
+    return out
+
+
 def brute_lines(docs):
-    """Kept texts, by the definition: SimHash of distinct words, MOST bits, edit similarity, first occurrence by id and place."""
+    """Kept texts, by the definition: agreeing blocks, SimHash of distinct words, edit similarity, first occurrence by id and place."""
     norm = lambda s: s.strip(" ").lower()
     found = sorted({norm(x) for _, t in docs if t is not None for x in t.split("\n")} - {""})
-    fp = {}
+    fp, block = {}, {}
     for s in found:
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(s.split(" "))]
         fp[s] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        block[s] = blocks(set(s.split(" ")))
     parent = {s: s for s in found}
 
     def root(x):
@@ -151,7 +162,7 @@ def brute_lines(docs):
 
     for i, a in enumerate(found):
         for b in found[:i]:
-            if bin(fp[a] ^ fp[b]).count("1") <= lines.MOST and edit(a, b) <= int(max(len(a), len(b)) * (1 - lines.SIMILAR) + 1e-9):
+            if sum(x == y for x, y in zip(block[a], block[b], strict=True)) >= lines.AGREE and bin(fp[a] ^ fp[b]).count("1") <= lines.MOST and edit(a, b) <= int(max(len(a), len(b)) * (1 - lines.SIMILAR) + 1e-9):
                 parent[root(a)] = root(b)
     first = {}
     for i, t in sorted((d for d in docs if d[1] is not None), key=lambda d: (d[0] is not None, d[0])):
@@ -161,9 +172,9 @@ def brute_lines(docs):
     return [(i, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not norm(x) or first[root(norm(x))] == (i, n, t))) for i, t in docs]
 
 
-@pytest.mark.parametrize("dense", [1, 32])
-def test_lines_against_brute_force(spark, monkeypatch, dense):
-    monkeypatch.setattr(lines, "DENSE", dense)
+@pytest.mark.parametrize("named", [0, 500_000])
+def test_lines_against_brute_force(spark, monkeypatch, named):
+    monkeypatch.setattr(lines, "NAMED", named)
     random.seed(3)
     base = [" ".join("".join(random.choices("abcdefgh", k=random.randint(3, 8))) for _ in range(random.randint(12, 40))) for _ in range(12)]
 
@@ -181,8 +192,44 @@ def test_lines_against_brute_force(spark, monkeypatch, dense):
 
 
 def test_wide_lanes(spark):
-    words = spark.createDataFrame([(1, 2, 9, xxhash.xxh64_intdigest(str(i).encode()) - (1 << 63)) for i in range(101)], "h long, g long, len int, x long")
-    assert lines.lanes(words, 8).collect() == lines.lanes(words, 16).collect() == lines.lanes(words, 32).collect()
+    words = [f"w{i}" for i in range(101)]
+    rows = spark.createDataFrame([(1, 2, 9, w) for w in words], "h long, g long, len int, w string")
+    got = [lines.lanes(rows, n).collect() for n in lines.WIDTHS]
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    fp = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert got[0] == got[1] == got[2] and got[0][0]["fp"] % 2**64 == fp and [got[0][0][f"m{i}"] for i in range(lines.BLOCKS)] == blocks(words)
+
+
+def recall(pairs):
+    """(lines' blocks, plain SimHash within 3 bits): shares of the pairs that each finds."""
+    own = small = 0
+    for a, b in pairs:
+        x, y = set(a.split(" ")), set(b.split(" "))
+        own += sum(i == j for i, j in zip(blocks(x), blocks(y), strict=True)) >= lines.AGREE
+        fp = [[2 * sum(xxhash.xxh64_intdigest(w.encode(), 42) >> k & 1 for w in s) > len(s) for k in range(64)] for s in (x, y)]
+        small += sum(i != j for i, j in zip(*fp, strict=True)) <= 3
+    return own / len(pairs), small / len(pairs)
+
+
+def test_recall_of_lines(spark):
+    """Lines of sf0.01 that share three words in a row and are similar, by DuckDB's own distance, against near_links."""
+    con = connect("/root/testdata/sf0.01")
+    con.execute("CREATE TABLE l AS SELECT DISTINCT lower(trim(x)) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> ''")
+    con.execute("CREATE TABLE s AS SELECT DISTINCT line, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT line, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM (SELECT line, string_split(line, ' ') AS w FROM l))")
+    con.execute("CREATE TABLE p AS SELECT DISTINCT a.line AS a, b.line AS b FROM s a JOIN s b ON a.t = b.t AND a.line < b.line AND abs(length(a.line) - length(b.line)) <= floor(greatest(length(a.line), length(b.line)) * 0.1 + 1e-9)")
+    pairs = con.execute("SELECT a, b FROM p WHERE levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.1 + 1e-9)").fetchall()
+    assert len(pairs) > 100
+    own, small = recall(pairs)
+    assert own >= 0.95 and small < 0.5
+    df = spark.createDataFrame(pairs, "line_a string, line_b string")
+    assert df.where(lines.similar("line_a", "line_b")).count() >= 0.99 * len(pairs)
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(sorted({x for p in pairs for x in p}))], "doc_id long, text string")
+    kept = {r["text"] for r in lines.dedup_lines(found).collect()} - {""}
+    group = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((group[a], group[b]))
+        group = {k: low if v == high else v for k, v in group.items()}
+    assert len(set(group.values())) <= len(kept) <= len(set(group.values())) + 0.1 * (len(group) - len(set(group.values())))
 
 
 # --- 4: toxicity
