@@ -1,22 +1,28 @@
 """PII: information-theoretic sanitisation.
 
-Base spans (emails, IP addresses, card and phone numbers) are found by pattern in whole texts; each distinct value is a
-protected entity. Terms (words of three letters or more) within NEAR words of an entity are counted with it over the whole
-corpus, once for each distinct text. A term's disclosure of an entity is the share of the entity's information it gives
-away: their pointwise mutual information over the entity's own information content, log(n(e,t) N / n(e) n(t)) / log(N / n(e)),
-at most 1, where n(t) counts all texts that hold the term. Beside a mention of the entity, terms of GENERALISE or more are
-replaced by their class, and terms of REMOVE or more are removed. Pairs seen in fewer than SUPPORT texts say nothing.
-
-Defined cases: null texts are empty; texts without a base span have no spans; overlapping spans of different kinds are all
+Base spans (emails, IP addresses, card and phone numbers) are found by pattern in whole texts. They and secrets (runs of SECRET
+characters or more that mix letters and digits, with ENTROPY bits a character) are protected. What terms (words of three letters
+or more) reveal of them is estimated from their co-occurrence in whole distinct texts over the corpus, for two kinds of entity:
+each protected value, and each class of values (that a text holds, say, a secret at all), which pools the many values that occur
+once. The probability of entity e in a text with term t is P(e|t) = (n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR), so pairs that are
+seen rarely lean on the entity's own share; what stays uncertain of e is -log2 P(e|t) bits. In every text that holds the entity,
+all occurrences of terms that leave GENERALISE bits or less are replaced by their class, those that leave REMOVE or less are
+removed, and so are secrets.
+
+Equal texts count once: a text of n copies counts 1/n for each, so counts are summed where texts are read, and only sums are
+shuffled. Entities and terms that are too rare to reach GENERALISE under PRIOR are dropped before anything is counted over all texts.
+
+Defined cases: null texts are empty; texts without a protected value have no spans; overlapping spans of different kinds are all
 reported; equal texts get equal spans and count once, whatever their ids; null ids pass through; an empty table gives an
 empty table; extra columns are left out (sanitise() hands them on); long digit or letter runs cost time in proportion.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,12 +33,16 @@ from pyspark.sql import functions as F
 from skerry.llm.common import broadcast_if, temporary, written
 from skerry.session import table
 
-KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
-NEAR = 8
-SUPPORT = 3
-GENERALISE, REMOVE = 0.8, 0.95
-TERM_ROWS = 200_000  # candidate terms held by a task; beyond it all terms are joined instead
+KINDS = ("email", "ip", "card", "phone", "secret", "generalised", "removed")
+BASE = 4  # kinds found by the base patterns
+PRIOR = 4.0  # texts
+GENERALISE, REMOVE = 1.0, 0.25  # bits left uncertain
+SECRET, ENTROPY = 20, 3.0
+LEAST = PRIOR * 2**-GENERALISE / (1 - 2**-GENERALISE) - 1  # texts a pair needs; 1 less, as the entity's own share adds to it
+TERM_ROWS = 200_000  # terms held by a task; beyond it all terms are joined instead
+COPY_ROWS = 500_000  # broadcast rows, of 24 bytes and their overhead
 PAIR_ROWS = 200_000
+FLUSH = 200_000  # counts a task holds before it hands them on
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,6 +50,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match can't begin insid
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % SECRET)
 WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -79,105 +90,159 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[dict]:
-    """Terms within NEAR words of each span, outside all spans."""
-    words = [m.span() for m in WORD.finditer(text)]
-    starts, ends = [a for a, _ in words], [b for _, b in words]
-    taken = {k for a, _, b, _ in spans for k in range(bisect_right(ends, a), bisect_left(starts, b))}
+def secrets(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Like base_spans(): runs that look drawn at random, outside the base spans."""
     out = []
-    for a, kind, b, value in spans:
-        entity = xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}") - (1 << 63)
-        left, right = bisect_right(ends, a), bisect_left(starts, b)
-        for k in (*range(max(0, left - NEAR), left), *range(right, min(len(words), right + NEAR))):
-            if k not in taken:
-                out.append({"entity": entity, "term": text[slice(*words[k])].lower(), "start": words[k][0], "end": words[k][1]})
+    for m in TOKEN.finditer(text):
+        x = m[0]
+        if DIGIT.search(x) and any(c.isalpha() for c in x) and not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
+            n = Counter(x).values()
+            if -sum(k / len(x) * math.log2(k / len(x)) for k in n) >= ENTROPY:
+                out.append((m.start(), 4, m.end(), x))
     return out
 
 
-def text_key(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def entities(spans: list[tuple[int, int, int, str]]) -> list[int]:
+    """What a text holds: the classes of its values, named by their place in KINDS, and the values by hash."""
+    return sorted({k for _, k, _, _ in spans} | {xxhash.xxh64_intdigest(f"{KINDS[k]}:{v}") - (1 << 63) for _, k, _, v in spans})
+
+
+def terms(text: str) -> set[str]:
+    return {w.lower() for w in WORD.findall(text)}
+
+
+def occurrences(text: str, spans: list[tuple[int, int]], kinds: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all words that kinds names, outside the spans."""
+    found = [(*m.span(), m[0].lower()) for m in WORD.finditer(text)]
+    starts, ends = [a for a, _, _ in found], [b for _, b, _ in found]
+    taken = {k for a, b in spans for k in range(bisect_right(ends, a), bisect_left(starts, b))}
+    return [(a, kinds[w], b) for k, (a, b, w) in enumerate(found) if w in kinds and k not in taken]
 
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-CONTEXT = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, key, spans, contexts): base spans of every whole text and the terms near them; key stands for the text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, text, h, g): two independent hashes stand for a text in shuffles."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(id_col, text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g"))
+
+
+def scan(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, h, g, spans, entities, text) of keyed() rows: protected values of every whole text; texts without one aren't kept."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                keys, spans, near = [], [], []
-                for text in batch.column(1).to_pylist():
-                    text = text or ""
-                    found = base_spans(text)
-                    keys.append(text_key(text))
-                    spans.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in found])
-                    near.append(contexts(text, found) if found else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, pa.list_(SPAN)), pa.array(near, pa.list_(CONTEXT))], [id_col, "key", "spans", "contexts"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {kind}, key binary, spans array<struct<start:int,kind:int,end:int>>, contexts array<struct<entity:long,term:string,start:int,end:int>>")
-
-
-def texts_with(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): in how many distinct texts each of terms occurs. Tasks drop other terms themselves while terms are few
-    enough to hold; beyond that all are joined. Either way every text is read whole."""
-    n = terms.count()
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if n <= TERM_ROWS else None
-
-    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                keys, found = [], []
-                for text in whole.slice(at, 1024).column(0).to_pylist():
-                    if not text:
-                        continue
-                    own = {w.lower() for w in WORD.findall(text)}
-                    own = own & known.value if known else own
-                    if own:
-                        keys += [text_key(text)] * len(own)
-                        found += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], ["key", "term"])
-
-    at = docs.select(text_col).mapInArrow(occurring, "key binary, term string")
-    at = at if known else at.join(terms, "term", "left_semi")
-    return at.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-
-
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, share): pairs over the threshold. found: a written scan() of docs."""
-    total = found.select("key").distinct().count()
-    near = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.term").distinct()
-    near = written(near, "pii-near")
-    entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    beside = near.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT).join(entities, "entity").join(beside, "term")
-    # a share of GENERALISE bounds n_t, and texts that hold the term beside an entity are among those that hold it
-    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - GENERALISE)) + 1e-6
-    pairs = written(pairs.where((F.col("n_e") < total) & (F.col("n_beside") <= most)).drop("n_beside"), "pii-pairs")
-    terms = written(texts_with(docs, pairs.select("term").distinct(), text_col), "pii-terms")
-    rated = pairs.join(terms, "term")
-    mutual = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    share = mutual / F.log(F.lit(float(total)) / F.col("n_e"))
-    return rated.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+        for batch in sliced(batches):
+            spans, held, kept = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = base_spans(text)
+                found = sorted(found + secrets(text, found))
+                spans.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in found])
+                held.append(entities(found))
+                kept.append(text if found else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(spans, pa.list_(SPAN)), pa.array(held, pa.list_(pa.int64())), pa.array(kept, pa.string())], [id_col, "h", "g", "spans", "entities", "text"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(find, f"`{id_col}` {kind}, h long, g long, spans {SPANS}, entities array<long>, text string")
+
+
+def counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
+    """(entity, term, n) of rows (entity, text, share): sums of shares of the texts that hold both, of known terms if given."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str], float] = {}
+
+        def full() -> pa.RecordBatch:
+            keys = list(sums)
+            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.string()), pa.array(sums.values(), pa.float64())], ["entity", "term", "n"])
+            sums.clear()
+            return out
+
+        for batch in sliced(batches, 256):
+            for entity, text, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = terms(text)
+                for t in own if sent.value is None else own & sent.value:
+                    sums[entity, t] = sums.get((entity, t), 0.0) + share
+            if len(sums) >= FLUSH:
+                yield full()
+        yield full()
+
+    return rows.select("entity", "text", "share").mapInArrow(count, "entity long, term string, n double").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+
+
+def held_terms(df: DataFrame, most: int) -> frozenset | None:
+    """df's terms, if they are few enough for a task to hold."""
+    return frozenset(r[0] for r in df.collect()) if df.count() <= most else None
+
+
+def disclosures(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(entity, term, kind): terms that leave too little uncertain of an entity. rows: keyed(), found: their written scan()."""
+    copies = written(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "pii-copies")
+    copies = broadcast_if(copies, copies.count(), COPY_ROWS)
+    share = (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share")
+    total = float(round(found.join(copies, ["h", "g"], "left").agg(F.coalesce(F.sum(share), F.lit(0.0))).first()[0]))
+    holders = found.where("text IS NOT NULL").join(copies, ["h", "g"], "left").select(F.explode("entities").alias("entity"), "text", share)
+    sizes = holders.groupBy("entity").agg(F.sum("share").alias("n_e")).where(F.col("n_e") > LEAST - 1e-6)
+    sizes = written(sizes, "pii-entities")
+    pairs = counted(holders.join(broadcast_if(sizes, sizes.count(), PAIR_ROWS), "entity"), None).where(F.col("n") > LEAST - 1e-6)
+    pairs = written(pairs.withColumnRenamed("n", "n_et").join(sizes, "entity"), "pii-pairs")
+    names = written(pairs.select("term").distinct(), "pii-terms")
+    every = counted(rows.join(copies, ["h", "g"], "left").select(F.lit(0).cast("long").alias("entity"), "text", share), held_terms(names, TERM_ROWS))
+    p = (F.col("n_et") + PRIOR * F.col("n_e") / F.lit(max(total, 1.0))) / (F.col("n") + PRIOR)
+    left = -F.log2(p)
+    rated = pairs.join(every.select("term", "n"), "term").where((left <= GENERALISE) & (F.col("n_e") < total - 0.5))
+    kind = F.when(left <= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("generalised"))
+    return rated.select("entity", "term", kind.cast("int").alias("kind"))
+
+
+def marked(found: DataFrame, told: DataFrame) -> DataFrame:
+    """(h, g, terms): spans of the told terms in each distinct text that holds their entity."""
+    sent = found.sparkSession.sparkContext.broadcast(held_terms(told.select("term").distinct(), TERM_ROWS))
+    texts = found.where("text IS NOT NULL").select("h", "g", "entities", "spans", "text").dropDuplicates(["h", "g"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 256):
+            out = [(h, g, e, t) for h, g, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in (terms(text) if sent.value is None else terms(text) & sent.value) for e in held]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["h", "g", "entity", "term"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 256):
+            out = []
+            for base, text, kinds in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                best: dict[str, int] = {}
+                for x in kinds:
+                    best[x["term"]] = max(best.get(x["term"], 0), x["kind"])
+                out.append([{"start": a, "kind": k, "end": b} for a, k, b in occurrences(text, [(s["start"], s["end"]) for s in base], best)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(SPAN))], ["h", "g", "terms"])
+
+    met = texts.select("h", "g", "entities", "text").mapInArrow(pairs, "h long, g long, entity long, term string").join(broadcast_if(told, told.count(), PAIR_ROWS), ["entity", "term"])
+    met = met.groupBy("h", "g").agg(F.collect_set(F.struct("term", "kind")).alias("kinds"))
+    return texts.join(met, ["h", "g"]).select("h", "g", "spans", "text", "kinds").mapInArrow(spans, f"h long, g long, terms {SPANS}")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, key, base, all): arrays of (start, kind, end), in order, for every row of docs."""
-    found = written(scan(docs, id_col, text_col), "pii-scan")
+    """(id_col, h, g, base, all): arrays of (start, kind, end), in order, for every row of docs."""
+    rows = keyed(docs, id_col, text_col)
+    found = written(scan(rows, id_col), "pii-scan")
     with temporary(docs.sparkSession):
-        told = written(disclosures(docs, found, text_col), "pii-disclosures", keep=True)
-    known = broadcast_if(told, told.count(), PAIR_ROWS)
-    near = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).distinct()
-    kind = F.when(F.max("share") >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("generalised"))
-    at = near.select("key", "c.*").join(known, ["entity", "term"]).groupBy("key", "start", "end").agg(kind.cast("int").alias("kind"))
-    terms = at.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
-    out = found.select(id_col, "key", "spans").join(terms, "key", "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return out.select(id_col, "key", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("terms", none))).alias("all"))
+        terms = written(marked(found, written(disclosures(rows, found), "pii-disclosures")), "pii-marked", keep=True)
+    out = found.select(id_col, "h", "g", "spans").join(broadcast_if(terms, terms.count(), PAIR_ROWS), ["h", "g"], "left")
+    every = F.array_sort(F.concat(F.transform("spans", told_secret), F.coalesce("terms", F.array().cast(SPANS))))
+    return out.select(id_col, "h", "g", F.filter("spans", lambda s: s.kind < BASE).alias("base"), every.alias("all"))
+
+
+def told_secret(s: Column) -> Column:
+    """A span as it is reported: a secret is removed."""
+    kind = F.when(s.kind < BASE, s.kind).otherwise(F.lit(KINDS.index("removed")))
+    return F.struct(s.start.alias("start"), kind.alias("kind"), s.end.alias("end"))
 
 
 def listed(spans: str) -> Column:
@@ -187,11 +252,7 @@ def listed(spans: str) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten: spans become their kind in angle brackets, removed terms vanish."""
-    spans = find_spans(docs, id_col, text_col).select("key", "all").dropDuplicates(["key"]).withColumnsRenamed({"key": "_key", "all": "_all"})
-
-    @F.pandas_udf("binary")
-    def key(texts):
-        return texts.fillna("").map(text_key)
+    spans = find_spans(docs, id_col, text_col).where(F.size("all") > 0).select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("all").alias("_all")).dropDuplicates(["_h", "_g"])
 
     @F.pandas_udf("string")
     def rewrite(texts, spans):
@@ -207,13 +268,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return texts.combine(spans, one)
 
-    names = [c for c in docs.columns if c not in ("_key", "_all")]
-    out = docs.select(*names).withColumn("_key", key(text_col)).join(spans, "_key", "left")
+    names = [c for c in docs.columns if c not in ("_h", "_g", "_all")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = docs.select(*names, F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(7), text).alias("_g")).join(spans, ["_h", "_g"], "left")
     return out.select(*(rewrite(text_col, "_all").alias(c) if c == text_col else c for c in names))
 
 
 def op2_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of every document. Two passes over the texts; shuffled are keys, spans, and terms near entities."""
+    """Spans of every document. Two passes over the texts; shuffled are sums of counts, and the texts that hold a protected value."""
     out = find_spans(table(spark, sf_dir, "documents"))
-    count = [F.expr(f"size(filter(base, s -> s.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    count = [F.expr(f"size(filter(base, s -> s.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:BASE])]
     return out.select("doc_id", *count, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))

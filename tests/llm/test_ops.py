@@ -99,26 +99,46 @@ def test_disclosure_against_brute_force(spark):
     fill = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(12) for j in range(12)]
     docs = [(i, " ".join(random.choice(fill) for _ in range(20))) for i in range(60)]
     docs += [(100 + i, f"{' '.join(random.choice(fill) for _ in range(9))} zorblatt mail ann@corp.org of quixote {random.choice(fill)}") for i in range(5)]
+    docs += [(120 + i, f"{random.choice(fill)} passkey is {random.getrandbits(160):040x}") for i in range(40)]
     docs += [(200 + i, f"quixote {random.choice(fill)} {i}") for i in range(3)] + [(300, docs[-1][1]), (301, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: [(s["start"], pii.KINDS[s["kind"]], s["end"]) for s in r["all"]] for r in pii.find_spans(df).collect()}
     texts = {t or "" for _, t in docs}
-    n_t = collections.Counter(w for t in texts for w in {x.lower() for x in pii.WORD.findall(t)})
-    near, n_e = collections.Counter(), collections.Counter()
+    spans_of = {t: sorted((found := pii.base_spans(t)) + pii.secrets(t, found)) for t in texts}
+    n_t, n_e, n_et = collections.Counter(), collections.Counter(), collections.Counter()
     for t in texts:
-        spans = pii.base_spans(t)
-        ctx = {(c["entity"], c["term"]) for c in pii.contexts(t, spans)}
-        near.update(ctx)
-        n_e.update({e for e, _ in ctx})
-    share = {p: np.log(n * len(texts) / (n_e[p[0]] * n_t[p[1]])) / np.log(len(texts) / n_e[p[0]]) for p, n in near.items() if n >= pii.SUPPORT}
-    told = {p: "removed" if s >= pii.REMOVE else "generalised" for p, s in share.items() if s >= pii.GENERALISE}
+        n_t.update(pii.terms(t))
+        n_e.update(pii.entities(spans_of[t]))
+        n_et.update((e, w) for e in pii.entities(spans_of[t]) for w in pii.terms(t))
+    bits = {p: -np.log2((n + pii.PRIOR * n_e[p[0]] / len(texts)) / (n_t[p[1]] + pii.PRIOR)) for p, n in n_et.items()}
+    told = {p: pii.KINDS.index("removed" if x <= pii.REMOVE else "generalised") for p, x in bits.items() if x <= pii.GENERALISE}
     assert told
     for i, t in docs:
-        spans = pii.base_spans(t or "")
-        want = {(a, pii.KINDS[k], b) for a, k, b, _ in spans} | {(c["start"], told[c["entity"], c["term"]], c["end"]) for c in pii.contexts(t or "", spans) if (c["entity"], c["term"]) in told}
+        t = t or ""
+        kinds = collections.defaultdict(int)
+        for e in pii.entities(spans_of[t]):
+            for w in pii.terms(t):
+                kinds[w] = max(kinds[w], told.get((e, w), 0))
+        want = {(a, pii.KINDS[k] if k < pii.BASE else "removed", b) for a, k, b, _ in spans_of[t]}
+        want |= {(a, pii.KINDS[k], b) for a, k, b in pii.occurrences(t, [(x[0], x[2]) for x in spans_of[t]], {w: k for w, k in kinds.items() if k})}
         assert set(got[i]) == want
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
-    assert "ann@corp.org" not in clean[100] and "<EMAIL>" in clean[100] and "zorblatt" not in clean[100] and clean[301] is None
+    assert "ann@corp.org" not in clean[100] and "<EMAIL>" in clean[100] and clean[301] is None
+    assert not re.search("[0-9a-f]{40}|passkey", clean[120]) and "quixote" in clean[200]
+
+
+def test_method_acts_on_documents(spark):
+    """Spans of the method's own kinds come out over documents, and only in texts that hold something protected."""
+    out = catalog.QUERIES["op2_disclosure_sanitisation"](spark, "/root/testdata/sf0.01").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    kinds = collections.Counter(x.split(":")[0] for r in out for x in r["spans"].split(",") if x)
+    assert kinds["removed"] > 0 and kinds["generalised"] > 0
+    for r in out:
+        base = pii.base_spans(texts[r["doc_id"]])
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(k == i for _, k, _, _ in base) for i in range(4))
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b, _ in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert bool(r["spans"]) == bool(base or pii.secrets(texts[r["doc_id"]], base))
 
 
 # --- 3: lines
