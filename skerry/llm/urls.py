@@ -2,8 +2,9 @@
 
 URLs that a rule allows and URLs that a rule blocks train two character models of variable order (contexts of up to
 ORDER - 1 characters, Witten-Bell smoothing: each order leans on the next shorter one by its count of distinct successors).
-The rest is judged by the difference of the two log-likelihoods per character, against a threshold calibrated on the ruled
-URLs (the cut of a histogram with the largest gap between the rates of blocked and of allowed URLs above it).
+The rest is judged by the difference of the two log-likelihoods per character, against a threshold calibrated on a fifth of the
+ruled URLs, by hash, which the models don't learn from (the cut of a histogram with the largest gap between the rates of blocked
+and of allowed URLs above it). Where that leaves a class empty on either side, models and threshold take all ruled URLs.
 
 Defined cases: a null URL or one without `://` has empty host and path and, like any empty one, is allowed; equal URLs get
 equal verdicts; if a rule class has no URL, everything unruled is allowed; an empty table gives an empty table; extra
@@ -28,6 +29,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 ORDER = 4
+FOLDS = 5  # of ruled URLs; one is held back for the threshold
 ALPHABET = 256  # characters the shortest model spreads its last mass over
 UNIT = 1_000_000  # integer log ratios: millionths
 BROADCAST_ROWS = 400_000  # rows of n-gram ratios, of about 40 bytes
@@ -56,16 +58,15 @@ def grams(urls: DataFrame, *keep: str) -> DataFrame:
     return urls.select(*keep, padded.alias("p")).select(*keep, "p", F.explode(F.sequence(F.lit(1), F.char_length("p") - (ORDER - 1))).alias("i")).select(*keep, F.expr(f"substring(p, i, {ORDER})").alias("gram"))
 
 
-def model(ruled: DataFrame) -> DataFrame:
-    """(k, gram, ratio): for every seen n-gram of every order k, the log of blocked over allowed probability.
-
-    Also (k, context, ratio) rows named by a trailing U+0004 for unseen successors of a seen context: there the ratio is that
-    of the escape masses, to be added to the shorter order's.
-    """
+def model(ruled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, gram, ratio): for every seen n-gram of every order k, the log of blocked over allowed probability; and (k, context,
+    ratio) for unseen successors of a seen context, where the ratio is that of the escape masses, to be added to the shorter
+    order's."""
     full = grams(ruled, "n", "blocked").groupBy("gram").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("blocked"), 0).otherwise(F.col("n"))).alias("a"))
     full = written(full, "url-grams")
     below: DataFrame | None = None
     out: list[DataFrame] = []
+    escapes: list[DataFrame] = []
     for k in range(1, ORDER + 1):
         counts = full.groupBy(F.expr(f"right(gram, {k})").alias("gram")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         counts = counts.withColumn("context", F.expr(f"left(gram, {k - 1})"))
@@ -79,19 +80,19 @@ def model(ruled: DataFrame) -> DataFrame:
         now = written(lower.select("gram", p["a"].alias("pa"), p["b"].alias("pb")), f"url-model-{k}")
         out.append(now.select(F.lit(k).alias("k"), "gram", F.log(F.col("pb") / F.col("pa")).alias("ratio")))
         escape = {c: F.when(F.col(f"n{c}") > 0, F.col(f"t{c}") / (F.col(f"n{c}") + F.col(f"t{c}"))).otherwise(F.lit(1.0)) for c in "ab"}
-        out.append(contexts.select(F.lit(k).alias("k"), F.concat("context", F.lit("\x04")).alias("gram"), F.log(escape["b"] / escape["a"]).alias("ratio")))
+        escapes.append(contexts.select(F.lit(k).alias("k"), "context", F.log(escape["b"] / escape["a"]).alias("ratio")))
         below = now.select(F.col("gram").alias("shorter"), F.col("pa").alias("pa1"), F.col("pb").alias("pb1"))
-    return written(reduce(DataFrame.union, out), "url-model")
+    return written(reduce(DataFrame.union, out), "url-model"), written(reduce(DataFrame.union, escapes), "url-escapes")
 
 
-def gram_ratios(distinct: DataFrame, ratios: DataFrame) -> DataFrame:
+def gram_ratios(distinct: DataFrame, ratios: DataFrame, escapes: DataFrame) -> DataFrame:
     """(gram, w): each gram's log ratio in millionths, from the longest order that knows it plus the escapes above it."""
     at = distinct
     for k in range(ORDER, 0, -1):
         seen = ratios.where(F.col("k") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        context = ratios.where(F.col("k") == k).select(F.col("gram").alias(f"h{k}"), F.col("ratio").alias(f"e{k}"))
+        context = escapes.where(F.col("k") == k).select(F.col("context").alias(f"h{k}"), F.col("ratio").alias(f"e{k}"))
         at = at.join(seen, F.expr(f"right(gram, {k})") == F.col(f"g{k}"), "left")
-        at = at.join(context, F.concat(F.expr(f"left(right(gram, {k}), {k - 1})"), F.lit("\x04")) == F.col(f"h{k}"), "left")
+        at = at.join(context, F.expr(f"left(right(gram, {k}), {k - 1})") == F.col(f"h{k}"), "left")
     value = F.lit(0.0)
     for k in range(1, ORDER + 1):
         value = F.coalesce(F.col(f"r{k}"), F.coalesce(F.col(f"e{k}"), F.lit(0.0)) + value)
@@ -100,7 +101,7 @@ def gram_ratios(distinct: DataFrame, ratios: DataFrame) -> DataFrame:
 
 def scores(urls: DataFrame, ruled: DataFrame) -> DataFrame:
     """(s, score): blocked minus allowed log-likelihood per character, in millionths, of every distinct s."""
-    weights = written(gram_ratios(grams(urls).select("gram").distinct(), model(ruled)), "url-weights")
+    weights = written(gram_ratios(grams(urls).select("gram").distinct(), *model(ruled)), "url-weights")
     known = broadcast_if(weights, weights.count(), BROADCAST_ROWS)
     return grams(urls, "s").join(known, "gram").groupBy("s").agg(F.floor(F.sum("w") / F.count(F.lit(1))).cast("long").alias("score"))
 
@@ -125,8 +126,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
     with temporary(pages.sparkSession):
         urls = written(rows.groupBy("s", "action").agg(F.count(F.lit(1)).alias("n")), "urls")
         ruled = urls.where("action IS NOT NULL").select("s", "n", (F.col("action") == "block").alias("blocked"))
-        every = written(scores(urls.select("s").distinct(), ruled), "url-scores", keep=True)
-        cut = threshold(ruled.join(every, "s"))
+        held = F.pmod(F.xxhash64("s"), F.lit(FOLDS)) == 0
+        parted = ruled.groupBy("blocked", held.alias("held")).count().count() == 4
+        every = written(scores(urls.select("s").distinct(), ruled.where(~held) if parted else ruled), "url-scores", keep=True)
+        cut = threshold((ruled.where(held) if parted else ruled).join(every, "s"))
     method = F.when((F.col("s") != "") & (F.col("score") >= cut), "block").otherwise("allow")
     judged = rows.join(every, "s", "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("action", method).alias("verdict"), F.when(F.col("action").isNull(), F.col("score")).alias("score"))
