@@ -61,18 +61,29 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tallied(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """written() and the number of rows, counted while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast df only when its counted rows stay within the given bound; else the join shuffles both sides."""
     return F.broadcast(df) if rows <= most else df
 
 
+MINIMA = 200_000  # broadcast rows of a node and its smallest neighbour
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each linked node reaches. Nodes without links aren't listed.
 
     Alternating large-star and small-star rounds over (u, v) links. Each star keeps a link from every neighbour to the
     smallest one, so the link count never grows, and minima are combined before the shuffle. Each round is a written table;
-    rounds end when a round changes nothing, which takes about the logarithm of the longest path. The minima are written too:
-    a join of two plain scans is one whose large partitions Spark splits, so a star with very many links spreads over tasks.
+    rounds end when a round changes nothing, which takes about the logarithm of the longest path. The minima are broadcast
+    while they are few. Beyond that they are joined from a table of their own: a join of two plain scans is one whose large
+    partitions Spark splits, so a star with very many links spreads over tasks.
     """
 
     def round_of(e: DataFrame) -> tuple[DataFrame, tuple]:
@@ -80,16 +91,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("all")), "links")
         return e, (seen.get["n"], seen.get["all"])
 
+    def to_least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each node's smallest neighbour or itself, and the links with it."""
+        least, n = tallied(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        return least, e.join(broadcast_if(least, n, MINIMA), "u")
+
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e, state = round_of(e)
     while state[0]:
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
+        _, met = to_least(e.union(e.select(F.col("v"), F.col("u"))))
+        large = met.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least, met = to_least(large)
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
         e, now = round_of(small.distinct())
         if now == state:
             break

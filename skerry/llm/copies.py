@@ -1,9 +1,11 @@
-"""Near copies by their shingles: every pair of texts with a Jaccard similarity of `similarity` or more is found.
+"""Near copies: SimHash near-dedup by the generalised pigeonhole principle, verified, and made whole by the texts' shingles.
 
-Nodes are sets of shingles; texts with equal sets (copies, other case or white space) are one node. All tokens (hashes of
-shingles) have one order, rarest first. Of two sets that are alike enough, each holds a common token among its first
+Nodes are sets of shingles; texts with equal sets (copies, other case or white space) are one node. Nodes whose SimHashes of
+distinct words differ in NEAR_BITS at most are searched as in simhash.py; of those found, pairs whose shingles have a Jaccard
+similarity of `similarity` or more are linked. SimHash finds such pairs with some probability only, so the groups it gives are
+joined by a second search that misses none: all tokens (hashes of shingles) have one order, rarest first. Of two sets that are alike enough, each holds a common token among its first
 n - ceil(similarity n) + 1, so these prefixes are indexed, and nodes that share one, with sizes and places that still allow
-the similarity, are compared by the shingles of their texts. The order comes from counts in a sample of texts; it bears on the
+the similarity, are compared by the shingles of their texts, unless SimHash has put them into one group already. The order comes from counts in a sample of texts; it bears on the
 number of candidates, not on what is found.
 
 A token of more than DENSE nodes (a family of near copies) isn't expanded into pairs: its nodes are first held against a few
@@ -27,10 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import broadcast_if, components, temporary, written
+from skerry.llm.common import broadcast_if, components, tallied, temporary, written
+from skerry.llm import simhash
 from skerry.llm.simhash import SEED, shingles
 
 SIZE = 5
+NEAR_BITS, NEAR_PARTS = 4, 3
 DENSE = 32
 LEADERS = 4
 SAMPLE, OFTEN, RANKED = 16, 4, 100_000  # one text of so many is sampled; tokens found so often in it are ranked, that many at most
@@ -83,27 +87,29 @@ def prefix(found: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity:
 
 
 def scan(docs: DataFrame, id_col: str, size: int, similarity: float) -> DataFrame:
-    """(id_col, h, g, k, n, tokens) of docs (id_col, h, g, text): the node of each row, its number of shingles and its prefix."""
+    """(id_col, h, g, k, n, fp, tokens) of docs (id_col, h, g, text): the node of each row, its number of shingles, its SimHash and
+    its prefix."""
     known = docs.sparkSession.sparkContext.broadcast(ranks(docs, size))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                keys, counts, first = [], [], []
+                keys, counts, first, fps = [], [], [], []
                 for text in batch.column(3):
                     found = hashes(text.as_py(), size)
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     counts.append(len(found))
                     first.append(prefix(found, known.value, similarity))
+                    fps.append(simhash.fingerprint(text.as_py(), 1, True))
                 k = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(counts, pa.int32()), tokens], [id_col, "h", "g", "p", "q", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(counts, pa.int32()), pa.array(fps, pa.int64()), tokens], [id_col, "h", "g", "p", "q", "n", "fp", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, "h", "g", "text").mapInArrow(find, f"`{id_col}` {kind}, h long, g long, p long, q long, n int, tokens array<long>")
-    return out.select(id_col, "h", "g", F.struct("p", "q").alias("k"), "n", "tokens")
+    out = docs.select(id_col, "h", "g", "text").mapInArrow(find, f"`{id_col}` {kind}, h long, g long, p long, q long, n int, fp long, tokens array<long>")
+    return out.select(id_col, "h", "g", F.struct("p", "q").alias("k"), "n", "fp", "tokens")
 
 
 def may_be_alike(similarity: float) -> Column:
@@ -125,9 +131,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, size
     """Those of the pairs (a, b) whose texts are alike. A node's text is that of its first row."""
     pairs = written(pairs, "copies-pairs")
     named = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    named = written(nodes.join(named, "k").select("k", F.col("first.id").alias("_id"), F.col("first.h").alias("_h"), F.col("first.g").alias("_g")), "copies-named")
+    named, rows = tallied(nodes.join(named, "k").select("k", F.col("first.id").alias("_id"), F.col("first.h").alias("_h"), F.col("first.g").alias("_g")), "copies-named")
     same = docs[id_col].eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
-    texts = docs.join(broadcast_if(named, named.count(), NAMED), same).select("k", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.join(broadcast_if(named, rows, NAMED), same).select("k", F.coalesce("text", F.lit("")).alias("text"))
     texts = written(texts.dropDuplicates(["k"]), "copies-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,18 +151,33 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, size
     return both.mapInArrow(compare, "a struct<p:long,q:long>, b struct<p:long,q:long>")
 
 
+def near_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that join all nodes of one SimHash, and SimHashes that differ in NEAR_BITS at most. Each SimHash
+    stands for the first of its nodes; what that misses is found by the shingles."""
+    fps = written(rows.groupBy("fp").agg(F.min("k").alias("k")), "copies-fps")
+    found, _ = simhash.links(fps.select("fp"), NEAR_BITS, NEAR_PARTS)
+    one = [fps.select(F.col("fp").alias(f"f{s}"), F.col("k").alias(s)) for s in "ab"]
+    across = found.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(one[0], "fa").join(one[1], "fb").select("a", "b")
+    same = rows.select("fp", F.col("k").alias("a")).distinct().join(fps.withColumnRenamed("k", "b"), "fp").where("a <> b").select("a", "b")
+    return ordered(across.union(same))
+
+
 def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, size: int, similarity: float) -> DataFrame:
     """(a, b): links that join exactly the groups of nodes reachable over pairs that are alike. rows: a written scan()."""
-    index = written(rows.select("k", "n", F.posexplode("tokens").alias("at", "token")).distinct(), "copies-index")
-    several = index.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    near = written(alike(near_pairs(rows), nodes, docs, id_col, size, similarity), "copies-near")
+    joined = components(near).select(F.col("node").alias("k"), "component")
+    index = rows.select("k", "n", F.posexplode("tokens").alias("at", "token")).distinct().join(joined, "k", "left")
+    index = written(index.select("k", "n", "at", "token", F.coalesce("component", "k").alias("group")), "copies-index")
+    several = index.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *(f(f"group.{c}").alias(f"{c}{i}") for c in "pq" for i, f in enumerate((F.min, F.max)))).where("p0 <> p1 OR q0 <> q1").select("token", "size")
     shared = written(index.join(several, "token"), "copies-shared")
     sparse, dense = shared.where(f"size <= {DENSE}"), shared.where(f"size > {DENSE}")
-    leaders = dense.groupBy("token").agg(*(F.min(F.struct(F.xxhash64(F.lit(r), "k").alias("o"), "k", "n", "at")).alias(f"l{r}") for r in range(LEADERS)))
+    leaders = dense.groupBy("token").agg(*(F.min(F.struct(F.xxhash64(F.lit(r), "k").alias("o"), "k", "n", "at", "group")).alias(f"l{r}") for r in range(LEADERS)))
     leaders = written(leaders, "copies-leaders")
-    led = leaders.select("token", F.explode(F.array(*(F.col(f"l{r}") for r in range(LEADERS)))).alias("l")).select("token", "l.k", "l.n", "l.at").distinct()
-    pairs = side(sparse, "a").join(side(sparse, "b"), "token").where((F.col("a") < F.col("b")) & may_be_alike(similarity)).select("a", "b")
-    met = side(dense, "a").join(side(led, "b"), "token").where((F.col("a") != F.col("b")) & may_be_alike(similarity)).select("a", "b")
-    sure = written(alike(ordered(pairs.union(met)), nodes, docs, id_col, size, similarity), "copies-sure")
+    led = leaders.select("token", F.explode(F.array(*(F.col(f"l{r}") for r in range(LEADERS)))).alias("l")).select("token", "l.k", "l.n", "l.at", "l.group").distinct()
+    other = (F.col("group_a") != F.col("group_b")) & may_be_alike(similarity)
+    pairs = side(sparse, "a", "group").join(side(sparse, "b", "group"), "token").where((F.col("a") < F.col("b")) & other).select("a", "b")
+    met = side(dense, "a", "group").join(side(led, "b", "group"), "token").where(other).select("a", "b")
+    sure = written(near.union(alike(ordered(pairs.union(met)), nodes, docs, id_col, size, similarity)), "copies-sure")
     # what the leaders leave apart
     group = components(sure).select(F.col("node").alias("k"), "component")
     apart = dense.select("token", "k", "n", "at").join(group, "k", "left").withColumn("group", F.coalesce("component", "k"))
@@ -164,7 +185,7 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, size:
     apart = written(apart.join(first, "token").select("token", "k", "n", "at", "group", (F.col("group") != F.col("main")).alias("minor")), "copies-apart")
     minor = apart.where("minor")
     others = apart.join(minor.select("token").distinct(), "token", "left_semi")
-    rest = side(minor, "a", "group").join(side(others, "b", "group"), "token").where((F.col("group_a") != F.col("group_b")) & may_be_alike(similarity)).select("a", "b")
+    rest = side(minor, "a", "group").join(side(others, "b", "group"), "token").where(other).select("a", "b")
     return sure.union(alike(ordered(rest), nodes, docs, id_col, size, similarity))
 
 

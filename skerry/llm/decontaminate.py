@@ -18,15 +18,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import broadcast_if, written
+from skerry.llm.common import broadcast_if, tallied, temporary, written
 from skerry.session import table
 
 WINDOW = 10
 SHINGLE = 3
 PREFIX_ROWS = 500_000  # rows of about 60 bytes
+RESULT_ROWS = 200_000  # broadcast rows and spans, of about 100 and 8 bytes
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -61,31 +62,29 @@ def windows_of(items: DataFrame, window: int, size: int) -> DataFrame:
 def prefixes(windows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(key, p, at, seen, w, n): each window with its rarest shingle over the whole corpus and that shingle's place."""
     parts = shingled(windows.where(F.col("size") == size), ["w", "n"], size).withColumnsRenamed({"pos": "at", "parts": "p"})
-    parts = written(parts, f"window-shingles-{size}")
+    parts, n = tallied(parts, f"window-shingles-{size}")
     names = parts.select("key", "p").distinct()
-    met = shingled(texts, [], size).join(broadcast_if(names, names.count(), PREFIX_ROWS), "key").where(same_words(size))
+    met = shingled(texts, [], size).join(broadcast_if(names, n, PREFIX_ROWS), "key").where(same_words(size))
     rated = parts.join(met.groupBy("key", "p").count(), ["key", "p"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     best = rated.groupBy("w", "n").agg(F.min(F.struct("count", "at", "key", "p")).alias("x"))
     return best.select("x.key", "x.p", F.col("x.at").alias("at"), F.col("x.count").alias("seen"), "w", "n")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, size: int = SHINGLE) -> DataFrame:
-    """(h, g, starts): for every text (by content hashes h, g) with an occurrence, array of (start, w): windows and where they begin."""
+    """(h, g, start, window): for every text (by content hashes h, g) candidates of windows and where they would begin."""
     texts = docs.select(words(F.col("text")).alias("w"), *keys_of("text"))
     windows = written(windows_of(items, window, size), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most `size` values
     found: DataFrame | None = None
     for k in sizes:
-        prefix = written(prefixes(windows, texts, k), f"prefixes-{k}").where("seen > 0")
+        prefix, n = tallied(prefixes(windows, texts, k).where("seen > 0"), f"prefixes-{k}")
         near = shingled(texts.withColumn("len", F.size("w")), ["h", "g", "len"], k)
-        near = near.join(broadcast_if(prefix, prefix.count(), PREFIX_ROWS), "key").where(same_words(k))
+        near = near.join(broadcast_if(prefix, n, PREFIX_ROWS), "key").where(same_words(k))
         near = near.where("pos >= at AND pos - at + n <= len").select("h", "g", (F.col("pos") - F.col("at")).alias("start"), F.col("w").alias("window"))
         found = near if found is None else found.union(near)
     if found is None:
         found = texts.where("false").select("h", "g", F.lit(0).alias("start"), F.col("w").alias("window"))
-    candidates = written(found.distinct(), "candidates")
-    grouped = candidates.groupBy("h", "g").agg(F.collect_set(F.struct("start", "window")).alias("starts"))
-    return grouped
+    return found.distinct()
 
 
 def keys_of(text: str) -> tuple[Column, Column]:
@@ -94,39 +93,55 @@ def keys_of(text: str) -> tuple[Column, Column]:
     return F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(7), whole).alias("g")
 
 
+def hit_runs(at: DataFrame) -> DataFrame:
+    """(h, g, n_hit, spans) of occurrences (h, g, start, until): disjoint runs of hit words, in order, and their words."""
+    order = Window.partitionBy("h", "g").orderBy("start", "until")
+    before = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    at = at.select("h", "g", "start", "until", F.when(F.col("start") <= before, 0).otherwise(1).alias("new"))
+    at = at.select("h", "g", "start", "until", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    runs = at.groupBy("h", "g", "run").agg(F.min("start").alias("start"), F.max("until").alias("until"))
+    return runs.groupBy("h", "g").agg(F.sum(F.col("until") - F.col("start")).cast("long").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "until"))).alias("spans"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep, n_words, n_hit, n_items, items_sha256, spans): one row for every row of docs.
 
-    spans: (start, n) runs of hit words, disjoint and in order. items without an occurrence aren't counted.
+    spans: (start, until) runs of hit words, disjoint and in order. items without an occurrence aren't counted. Only texts with a
+    candidate are moved, once each; results join all rows by content and are broadcast while rows and spans are few.
     """
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     rows = rows.select("*", *keys_of("text"))
-    found = occurrences(rows, items, window)
-    at = rows.join(found, ["h", "g"], "left").withColumn("w", words(F.col("text")))
-    true = F.filter(F.coalesce("starts", F.array()), lambda s: F.slice("w", s.start + 1, F.size(s.window)) == s.window)
-    at = at.select(*rows.columns, F.size("w").cast("long").alias("n_words"), F.array_sort(true).alias("true"))
-    # runs of hit words: ordered occurrences are merged while they touch
+    with temporary(docs.sparkSession):
+        seen = Observation()
+        results = written(verified(rows, items, window).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")), "verified", keep=True)
+        size = seen.get["n"] + seen.get["spans"]
+    out = rows.join(broadcast_if(results, size, RESULT_ROWS), ["h", "g"], "left")
     none = F.array().cast("array<struct<start:int,until:int>>")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        until = s.start + F.size(s.window)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.start.alias("start"), F.greatest(last.until, until).alias("until"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).until >= s.start), F.when(F.size(acc) > 0, joined).otherwise(acc)).otherwise(F.concat(acc, F.array(F.struct(s.start.alias("start"), until.alias("until")))))
-
-    at = at.withColumn("spans", F.when(F.size("true") > 0, F.aggregate("true", none, merge)).otherwise(none))
-    kept = [*keep, "h", "g"]
-    at = written(at.select(*kept, "n_words", "spans", F.array_distinct(F.transform("true", lambda s: s.window)).alias("windows")), "verified")
-    # items of the windows that do occur
-    dirty = at.where(F.size("windows") > 0).select("h", "g", "windows").dropDuplicates(["h", "g"])
+    zero = F.lit(0).cast("long")
+    return out.select(
+        *keep,
+        F.size(words(F.col("text"))).cast("long").alias("n_words"),
+        F.coalesce("n_hit", zero).alias("n_hit"),
+        F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.coalesce("spans", none).alias("spans"),
+    )
+
+
+def verified(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(h, g, n_hit, spans, n_items, items_sha256) of every distinct text with a true occurrence."""
+    found, n = tallied(occurrences(rows, items, window), "candidates")
+    names = found.select("h", "g").distinct()
+    texts = rows.select("h", "g", "text").join(broadcast_if(names, n, RESULT_ROWS), ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
+    at = texts.select("h", "g", words(F.col("text")).alias("w")).join(found, ["h", "g"])
+    true = at.where(F.slice("w", F.col("start") + 1, F.size("window")) == F.col("window")).select("h", "g", "start", (F.col("start") + F.size("window")).alias("until"), "window")
+    true = written(true, "occurrences")
     runs = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     runs = runs.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("window")).distinct()
-    named = dirty.select("h", "g", F.explode("windows").alias("window")).join(runs, "window").select("h", "g", F.col("item_id").cast("string").alias("item")).distinct()
-    named = named.groupBy("h", "g").agg(F.array_sort(F.collect_list("item")).alias("items"), F.count(F.lit(1)).alias("n_items"))
-    out = at.drop("windows").join(named, ["h", "g"], "left")
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.until - s.start)
-    return out.select(*keep, "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), "spans")
+    named = true.select("h", "g", "window").distinct().join(runs, "window").select("h", "g", F.col("item_id").cast("string").alias("item")).distinct()
+    named = named.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    return hit_runs(true.select("h", "g", "start", "until").distinct()).join(named, ["h", "g"], "left")
 
 
 def op10_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:

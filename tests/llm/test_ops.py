@@ -42,9 +42,9 @@ def test_hosts_rules_and_verdicts(spark):
 
 
 def test_url_model_against_brute_force(spark):
-    data = [("aab.x/k", True, 3), ("abab.x", True, 1), ("bbc.y/q", False, 2), ("cab.y", False, 5)]
+    data = [("aab.x/k", True, 3), ("abab.x", True, 1), ("bbc.y/q", False, 2), ("cab.y", False, 5), ("a\x04b.x\x02", True, 2), ("\x04\x04", False, 1)]
     ruled = spark.createDataFrame(data, "s string, blocked boolean, n long")
-    tests = ["aab.x/k", "zzz", "abq.y", "bb"]
+    tests = ["aab.x/k", "zzz", "abq.y", "bb", "\x04\x03b", "b\x04" * 2000]
 
     def prob(counts, gram):
         p = 1 / urls.ALPHABET
