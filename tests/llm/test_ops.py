@@ -286,14 +286,29 @@ def test_models_against_brute_force(spark):
                 for c, dd in zip(own, d, strict=True):
                     after = {x: n for x, n in c.items() if x >> 6 == g >> 6}
                     total, base = sum(after.values()), lower[(g >> 6) % 4096, g & 63]
-                    if sum(c.get(g, 0) for c in own) < toxicity.SEEN[k]:  # only the contexts' weights matter
-                        enough = sum(n for c in own for x, n in c.items() if x >> 6 == g >> 6) >= toxicity.SEEN[k]
-                        logs.append(np.log(dd * len(after) / total) if total and enough else 0.0)
+                    if not sum(c.get(g, 0) for c in own):  # only the contexts' weights matter
+                        logs.append(np.log(dd * len(after) / total) if total else 0.0)
                     else:
                         logs.append(np.log(max(c.get(g, 0) - dd, 0) / total + dd * len(after) / total * base if total else base))
                 assert abs(known[k].of(np.array([g]))[0] - (logs[0] - logs[1])) < 2e-2
 
 
+def test_tables_are_exact():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**54, 5000))
+    table = toxicity.Table(keys, (np.arange(len(keys)) % 1000).astype(np.float16))
+    assert (table.of(keys) == np.arange(len(keys)) % 1000).all()
+    assert np.isnan(table.of(np.setdiff1d(rng.integers(0, 2**54, 5000), keys))).all() and np.isnan(toxicity.Table(keys[:0], np.zeros(0, np.float16)).of(keys)).all()
+
+
+def test_rare_grams_are_pruned_to_the_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([(4, i, i % 9, 1) for i in range(100)], "k int, gram long, t long, o long")
+    monkeypatch.setattr(toxicity, "ORDERS", (4,))
+    for bound, least in ((100, 1), (70, 4), (30, 8), (1, 16)):
+        monkeypatch.setattr(toxicity, "GRAM_ROWS", bound)
+        assert toxicity.least_counts(rows)[4] == least
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     out = catalog.QUERIES["op4_kneser_ney_toxicity"](spark, folder).join(table(spark, folder, "labels"), "doc_id").where("held_out")
