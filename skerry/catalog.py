@@ -656,17 +656,13 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
-@query()
-def queue_simulation(spark: SparkSession, d: str) -> DataFrame:
-    from skerry.operators import scenario
-
-    config = F.to_json(F.struct((F.col("s_suppkey") % 5 + 1).alias("num_servers"), F.lit(2.0).alias("service_mean"), F.lit(2.0).alias("service_std"), F.lit(1.5).alias("arrival_rate"), F.lit(60.0).alias("horizon"), F.col("s_suppkey").alias("seed"), F.lit(3).alias("opening_backlog")))
-    return scenario.simulate(table(spark, d, "supplier").select(F.col("s_suppkey").alias("run_id"), config.alias("config"))).drop("snapshots")
-
-
-@query()
-def allocation_scenarios(spark: SparkSession, d: str) -> DataFrame:
+@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at, 60 + event_id % 600 AS service, row_number() OVER (PARTITION BY event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events WHERE ts IS NOT NULL),
+    q AS (SELECT event_type, event_id, n, at, at AS starts, at + service AS ends FROM e WHERE n = 1
+        UNION ALL SELECT e.event_type, e.event_id, e.n, e.at, greatest(e.at, q.ends), greatest(e.at, q.ends) + e.service FROM q JOIN e ON e.event_type IS NOT DISTINCT FROM q.event_type AND e.n = q.n + 1)
+    SELECT event_id, starts, ends, starts - at AS waits FROM q""")
+def queue_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as an arrival at the single server of its type."""
     from skerry.operators import scenario
 
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("scenario_id"), F.format_string('{"groups":["a"],"queues":["q"],"periods":[0,1],"segments":[0],"eligible":[["a","q"]],"regular":[["a",0,8],["a",1,8]],"overtime":[["a",0,2],["a",1,2]],"overtime_cost":[["a",0,0.5],["a",1,0.5]],"arrivals":[["q",0,%d],["q",1,10]],"opening":[["q",5]],"width":[["a","q",0,0,10],["a","q",0,1,10]],"rate":[["a","q",0,0,1],["a","q",0,1,1]]}', F.col("n_nationkey")).alias("inputs"))
-    return scenario.solve(rows).select("scenario_id", "status", "objective")
+    rows = table(spark, d, "events").select("event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"), (60 + F.col("event_id") % 600).alias("service"))
+    return scenario.queue_waits(rows, "event_type", "at", "service", "event_id").select("event_id", "starts", "ends", "waits")

@@ -1,230 +1,26 @@
-"""Scenarios side by side: capacity allocation as a linear programme, queues as discrete-event simulation.
+"""Scenarios: what queues would do under other service times, as windows over the arrivals.
 
-One scenario is one row; its programme or event loop runs in a pandas function, thousands of scenarios in parallel.
+A single server takes arrivals in order. The n-th ends at P(n) + max over k <= n of (arrival(k) - P(k - 1)), where P sums service
+times: a running sum and a running maximum, so a queue is one window and no event is simulated by hand.
 """
 
 from __future__ import annotations
 
-import heapq
-import json
-import random
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATUSES = ("optimal", "infeasible", "unbounded", "failed")
+# What a user can start from.
 TEMPLATES = ("capacity_allocation", "overtime_relief", "backlog_burndown", "arrival_surge", "cross_training")
 
 
-def simplex(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray, b_eq: np.ndarray, most: int = 20_000) -> tuple[str, np.ndarray | None]:
-    """min c x under a_ub x <= b_ub, a_eq x = b_eq, x >= 0: two phases, Bland's rule against cycling."""
-    n, m = len(c), len(b_ub) + len(b_eq)
-    a = np.vstack([np.hstack([a_ub, np.eye(len(b_ub))]), np.hstack([a_eq, np.zeros((len(b_eq), len(b_ub)))])])
-    b = np.concatenate([b_ub, b_eq]).astype(float)
-    a[b < 0] *= -1
-    b = np.abs(b)
-    width = a.shape[1]
-    t = np.hstack([a, np.eye(m), b[:, None]])
-    basis = list(range(width, width + m))
-
-    def pivot_all(cost: np.ndarray, allowed: int) -> str:
-        z = cost.copy()
-        for r, v in enumerate(basis):
-            z -= cost[v] * t[r]
-        for _ in range(most):
-            enter = next((j for j in range(allowed) if z[j] < -1e-9), None)
-            if enter is None:
-                return "optimal"
-            rows = [r for r in range(m) if t[r, enter] > 1e-9]
-            if not rows:
-                return "unbounded"
-            leave = min(rows, key=lambda r: (t[r, -1] / t[r, enter], basis[r]))
-            t[leave] /= t[leave, enter]
-            for r in range(m):
-                if r != leave and abs(t[r, enter]) > 1e-12:
-                    t[r] -= t[r, enter] * t[leave]
-            z -= z[enter] * t[leave]
-            basis[leave] = enter
-        return "failed"
-
-    first = np.concatenate([np.zeros(width), np.ones(m), [0.0]])
-    if (status := pivot_all(first, width + m)) != "optimal":
-        return status, None
-    if sum(t[r, -1] for r, v in enumerate(basis) if v >= width) > 1e-6:
-        return "infeasible", None
-    status = pivot_all(np.concatenate([c, np.zeros(width - n), np.full(m, 0.0), [0.0]]), width)
-    if status != "optimal":
-        return status, None
-    x = np.zeros(width + m)
-    for r, v in enumerate(basis):
-        x[v] = t[r, -1]
-    return "optimal", x[:n]
-
-
-def allocate(s: dict, backlog_weight: float = 1.0, overtime_weight: float = 1.0) -> dict:
-    """The least weighted backlog and overtime cost of one scenario.
-
-    s: groups, queues, periods, segments; and rows: eligible (g, q), regular and overtime (g, t, hours), overtime_cost (g, t, cost),
-    arrivals (q, t, cases), opening (q, cases), penalty (q, t, cost), width and rate (g, q, k, t, value). Lookups that a
-    scenario doesn't give are zero, but penalties are one.
-    """
-    G, Q, T, K = s["groups"], s["queues"], s["periods"], s["segments"]
-    look = {name: {tuple(r[:-1]): r[-1] for r in s.get(name, [])} for name in ("regular", "overtime", "overtime_cost", "arrivals", "opening", "penalty", "width", "rate")}
-    pairs = [tuple(p) for p in s["eligible"]]
-    names = [(v, *p, t) for v in ("regular", "overtime") for p in pairs for t in T] + [("segment", *p, k, t) for p in pairs for k in K for t in T] + [(v, q, t) for v in ("done", "backlog") for q in Q for t in T]
-    at = {x: i for i, x in enumerate(names)}
-    cost = np.zeros(len(names))
-    for q in Q:
-        for t in T:
-            cost[at["backlog", q, t]] = look["penalty"].get((q, t), 1.0) * backlog_weight
-    for g, q in pairs:
-        for t in T:
-            cost[at["overtime", g, q, t]] = look["overtime_cost"].get((g, t), 0.0) * overtime_weight
-    ub, eq = [], []
-
-    def row(terms: dict) -> np.ndarray:
-        out = np.zeros(len(names))
-        for x, v in terms.items():
-            out[at[x]] += v
-        return out
-
-    for g in G:
-        for t in T:
-            for v in ("regular", "overtime"):
-                ub.append((row({(v, *p, t): 1.0 for p in pairs if p[0] == g}), look[v].get((g, t), 0.0)))
-    for g, q in pairs:
-        for t in T:
-            eq.append((row({**{("segment", g, q, k, t): 1.0 for k in K}, ("regular", g, q, t): -1.0, ("overtime", g, q, t): -1.0}), 0.0))
-            ub += [(row({("segment", g, q, k, t): 1.0}), look["width"].get((g, q, k, t), 0.0)) for k in K]
-    for q in Q:
-        for n, t in enumerate(T):
-            before = {("backlog", q, T[n - 1]): -1.0} if n else {}
-            work = look["arrivals"].get((q, t), 0.0) + (0.0 if n else look["opening"].get((q,), 0.0))
-            ub.append((row({("done", q, t): 1.0, **{("segment", g, q, k, t): -look["rate"].get((g, q, k, t), 0.0) for g, qq in pairs if qq == q for k in K}}), 0.0))
-            ub.append((row({("done", q, t): 1.0, **before}), work))
-            eq.append((row({("backlog", q, t): 1.0, ("done", q, t): 1.0, **before}), work))
-    status, x = simplex(cost, np.array([r for r, _ in ub]), np.array([v for _, v in ub]), np.array([r for r, _ in eq]), np.array([v for _, v in eq]))
-    values = {} if x is None else {"|".join(map(str, n)): round(float(v), 6) for n, v in zip(names, x, strict=True)}
-    return {"status": status, "objective": None if x is None else round(float(cost @ x), 6), "variables": values}
-
-
-def solve(scenarios: DataFrame) -> DataFrame:
-    """(scenario_id, status, objective, variables) of scenarios (scenario_id, inputs as JSON)."""
-
-    def run(batches):
-        for pdf in batches:
-            found = [allocate(json.loads(x)) for x in pdf["inputs"]]
-            yield pd.DataFrame({"scenario_id": pdf["scenario_id"], "status": [f["status"] for f in found], "objective": [f["objective"] for f in found], "variables": [f["variables"] for f in found]})
-
-    return scenarios.select(F.col("scenario_id").cast("string").alias("scenario_id"), "inputs").mapInPandas(run, "scenario_id string, status string, objective double, variables map<string,double>")
-
-
-def simulate_one(c: dict) -> dict:
-    """One run of a queue: c servers, first-come or priority order, arrivals at piecewise constant rates, an opening backlog.
-
-    What isn't finished at the horizon is censored, and finished plus censored must be opening plus arrived.
-    """
-    servers, mean, std, horizon = int(c.get("num_servers", 1)), float(c.get("service_mean", 1.0)), float(c.get("service_std", 0.0)), float(c.get("horizon", 100.0))
-    if servers < 1 or mean <= 0 or std < 0 or horizon <= 0:
-        raise ValueError("a simulation needs servers, a service time and a horizon")
-    rng, priority, classes = random.Random(c.get("seed", 42)), c.get("queue_discipline", "fifo") == "priority", c.get("priority_classes", [0, 1, 2])
-    rates = sorted((float(s["from_t"]), float(s["rate"])) for s in c.get("arrival_schedule") or [{"from_t": 0.0, "rate": c.get("arrival_rate", 0.0)}])
-    if rates[0][0] > 0:
-        rates.insert(0, (0.0, float(c.get("arrival_rate", 0.0))))
-
-    def service() -> float:
-        if std <= 0:
-            return mean
-        return rng.expovariate(1 / mean) if std >= mean else max(rng.gauss(mean, std), mean * 0.01)
-
-    def next_arrival(t: float) -> float | None:
-        while t < horizon:
-            rate = [r for f, r in rates if f <= t][-1]
-            if rate > 0:
-                t += rng.expovariate(rate)
-                return t if t < horizon else None
-            later = [f for f, r in rates if f > t and r > 0]
-            if not later:
-                return None
-            t = later[0]
-        return None
-
-    oldest = c.get("opening_max_age")
-    oldest = mean if oldest is None else float(oldest)
-    waiting: list = []
-    events: list = []  # (time, order, kind, case)
-    order = 0
-    outstanding: dict[int, float] = {}
-
-    def enter(at: float) -> None:
-        nonlocal order
-        order += 1
-        outstanding[order] = at
-        heapq.heappush(waiting, (rng.choice(classes) if priority else 0, order, at))
-
-    opening = int(c.get("opening_backlog", 0))
-    for _ in range(opening):
-        enter(-rng.uniform(0.0, oldest) if oldest > 0 else 0.0)
-    if (t := next_arrival(0.0)) is not None:
-        heapq.heappush(events, (t, 0, "arrive", 0))
-    free, now, area, busy, arrived, done, waits, snaps = servers, 0.0, 0.0, 0.0, 0, 0, [], []
-    step, snap = float(c.get("snapshot_interval", 1.0)), float(c.get("snapshot_interval", 1.0))
-
-    def serve() -> None:
-        nonlocal free, busy
-        while free and waiting:
-            _, case, at = heapq.heappop(waiting)
-            span = service()
-            free, busy = free - 1, busy + span
-            waits.append((case, now - at))
-            heapq.heappush(events, (now + span, case, "finish", case))
-
-    finished_waits = []
-    serve()
-    while events and events[0][0] < horizon:
-        at, _, kind, case = heapq.heappop(events)
-        while snap <= at and snap < horizon:
-            snaps.append((round(snap, 6), len(outstanding)))
-            snap += step
-        area += len(outstanding) * (at - now)
-        now = at
-        if kind == "arrive":
-            arrived += 1
-            enter(now)
-            if (t := next_arrival(now)) is not None:
-                heapq.heappush(events, (t, 0, "arrive", 0))
-        else:
-            free, done = free + 1, done + 1
-            del outstanding[case]
-        serve()
-    while snap < horizon:
-        snaps.append((round(snap, 6), len(outstanding)))
-        snap += step
-    area += len(outstanding) * (horizon - now)
-    finished_waits = [w for case, w in waits if case not in outstanding]
-    if done + len(outstanding) != opening + arrived:
-        raise RuntimeError("cases were lost")
-    ages = sorted(horizon - a for a in outstanding.values())
-    return {
-        "completed": done, "censored": len(outstanding), "arrived": arrived, "opening_backlog": opening,
-        "average_wait": round(sum(finished_waits) / len(finished_waits), 6) if finished_waits else 0.0, "max_wait": round(max(finished_waits, default=0.0), 6),
-        "average_backlog": round(area / horizon, 6), "utilization": round(min(busy / (servers * horizon), 1.0), 6),
-        "median_age": round(ages[len(ages) // 2], 4) if ages else None, "snapshots": [n for _, n in snaps],
-    }
-
-
-def simulate(configs: DataFrame) -> DataFrame:
-    """Results of configurations (run_id, config as JSON)."""
-    kinds = {"completed": "long", "censored": "long", "arrived": "long", "opening_backlog": "long", "average_wait": "double", "max_wait": "double", "average_backlog": "double", "utilization": "double", "median_age": "double", "snapshots": "array<long>"}
-
-    def run(batches):
-        for pdf in batches:
-            found = [simulate_one(json.loads(x)) for x in pdf["config"]]
-            yield pd.DataFrame({"run_id": pdf["run_id"], **{k: [f[k] for f in found] for k in kinds}})
-
-    return configs.select(F.col("run_id").cast("string").alias("run_id"), "config").mapInPandas(run, "run_id string, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+def queue_waits(arrivals: DataFrame, queue: str, at: str, service: str, place: str) -> DataFrame:
+    """arrivals (queue, at: seconds, service: seconds, place breaks ties) with starts, ends and waits of each. Rows without a time or
+    a service are left out; a queue's rows are sorted within one partition and streamed, not held."""
+    order = Window.partitionBy(queue).orderBy(at, place).rowsBetween(Window.unboundedPreceding, 0)
+    rows = arrivals.where(F.col(at).isNotNull() & F.col(service).isNotNull()).withColumn("_done", F.sum(service).over(order))
+    ends = F.col("_done") + F.max(F.col(at) - (F.col("_done") - F.col(service))).over(order)
+    rows = rows.withColumn("ends", ends).withColumn("starts", F.col("ends") - F.col(service))
+    return rows.withColumn("waits", F.col("starts") - F.col(at)).drop("_done")
 
 
 def templates(spark) -> DataFrame:

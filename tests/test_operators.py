@@ -121,11 +121,13 @@ def test_forecasts(spark):
 
 def test_risk(spark):
     with pytest.raises(risk.LeakageError):
-        risk.guard(spark.createDataFrame([], "case_id long, resolved_at string"), [])
+        risk.guard(spark.createDataFrame([], "case_id long, final_outcome string"), ["final_outcome"])
     events = spark.createDataFrame([("c", datetime(2026, 1, 1, 8), 4.0), ("c", datetime(2026, 1, 1, 12), 8.0)], "case_id string, timestamp timestamp_ntz, case_age_hours double")
     cuts = spark.createDataFrame([("c", datetime(2026, 1, 1, 10))], "case_id string, observed_at timestamp_ntz")
     assert risk.point_in_time(events, cuts, ["case_age_hours"]).first()["case_age_hours"] == 4.0
-    assert risk.promote({"brier_score": 0.2, "pr_auc": 0.3}, {"brier_score": 0.1, "pr_auc": 0.5}, True, "forest").model == "forest"
+    runs = [("forest", True, 0.1, 0.5, 0.2, 0.3), ("worse", True, 0.2, 0.31, 0.2, 0.3), ("raw", False, 0.1, 0.5, 0.2, 0.3), ("none", True, None, 0.5, 0.2, 0.3), ("finer", True, 0.2, 0.4, 0.2, 0.3), ("zero", True, 0.2, 0.4, 0.2, 0.0)]
+    runs = spark.createDataFrame(runs, "name string, calibrated boolean, brier_score double, pr_auc double, base_brier_score double, base_pr_auc double")
+    assert [r[0] for r in runs.select(risk.promotion()[0]).collect()] == ["forest", "BaseRate", "BaseRate", "BaseRate", "finer", "BaseRate"]
     rows = [(i, 1.0 if (i * 31 + i // 10) % 10 < i % 10 else 0.0, float(i % 10)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, y double, x double")
     model = risk.fit_model(df, ["x"])
@@ -134,16 +136,10 @@ def test_risk(spark):
     assert risk.calibrate(scored) is not None and risk.calibrate(scored.limit(5)) is None
 
 
-def test_allocation_and_queues(spark):
-    s = {"groups": ["a"], "queues": ["q"], "periods": [0, 1], "segments": [0], "eligible": [["a", "q"]], "regular": [["a", 0, 8], ["a", 1, 8]], "overtime": [["a", 0, 2], ["a", 1, 2]], "overtime_cost": [["a", 0, 0.5], ["a", 1, 0.5]], "arrivals": [["q", 0, 10], ["q", 1, 3]], "opening": [["q", 5]], "width": [["a", "q", 0, 0, 10], ["a", "q", 0, 1, 10]], "rate": [["a", "q", 0, 0, 1], ["a", "q", 0, 1, 1]]}
-    out = scenario.allocate(s)
-    # 15 cases of work and 10 hours in period 0 leave 5; 8 in period 1 fit into 8 regular hours: 5 backlog and 2 overtime hours
-    assert out["status"] == "optimal" and out["objective"] == pytest.approx(5 + 2 * 0.5)
-    idle = scenario.simulate_one({"num_servers": 1, "arrival_rate": 0.0, "opening_backlog": 3, "service_mean": 2.0, "horizon": 10})
-    assert (idle["completed"], idle["censored"], idle["arrived"]) == (3, 0, 0)
-    roomy = scenario.simulate_one({"num_servers": 1000, "arrival_rate": 5.0, "horizon": 20})
-    assert roomy["average_wait"] == 0.0 and roomy["completed"] + roomy["censored"] == roomy["arrived"]
-    assert scenario.solve(spark.createDataFrame([(1, json.dumps(s))], "scenario_id long, inputs string")).first()["status"] == "optimal"
+def test_queues(spark):
+    rows = [("q", 0, 5, 1), ("q", 1, 5, 2), ("q", 20, 1, 3), ("q", 20, 2, 4), ("r", 3, 1, 5), (None, 3, 1, 6), ("r", None, 1, 7)]
+    out = scenario.queue_waits(spark.createDataFrame(rows, "queue string, at long, service long, id long"), "queue", "at", "service", "id")
+    assert {r["id"]: (r["starts"], r["ends"], r["waits"]) for r in out.collect()} == {1: (0, 5, 0), 2: (5, 10, 4), 3: (20, 21, 0), 4: (21, 23, 1), 5: (3, 4, 0), 6: (3, 4, 0)}
 
 
 def test_text_functions(spark):

@@ -28,10 +28,30 @@ def test_detection():
     assert ingest.detect_encoding(b"\xef\xbb\xbfa,b") == "utf-8-sig" and ingest.detect_encoding("é,b,ccc".encode()) == "utf-8"
     assert ingest.detect_encoding("مرحبا,bcd".encode("cp1256")) == "cp1256"
     assert ingest.detect_format("a.csv", b"a,b") == "csv"
+    assert ingest.detect_format("a", b"PK\x03\x04") == "xlsx" and ingest.detect_format("a", b"a,b") == "csv"
     with pytest.raises(ingest.Rejected):
-        ingest.detect_format("a.csv", b"PK\x03\x04")
-    assert ingest.column_policy("amount", ["1", "-2"]) == ("integer", None) and ingest.column_policy("x", ["03/04/2026"])[1]
-    assert ingest.column_policy("account_id", ["1"])[0] == "string" and ingest.column_policy("n", ["1" * 21])[0] != "integer"
+        ingest.detect_format("a.pdf", b"%PDF")
+
+
+def test_policies(spark):
+    rows = [(2, "1", "03/04/2026", "1", "1" * 21, "007", "2026-01-02", "1.5", ""), (3, "-2", "x", "2", "5", "8", "2026-01-03T01:00", "2", "")]
+    names = ["amount", "x", "account_id", "n", "padded", "day", "rate", "empty"]
+    types, issues = ingest.policies(spark.createDataFrame(rows, ["_line", *names]), names)
+    assert types == {"amount": "integer", "x": "string", "account_id": "string", "n": "float", "padded": "string", "day": "string", "rate": "float", "empty": "string"}
+    assert issues == ["x: day and month can't be told apart"]
+
+
+def test_arabic_files_and_line_numbers(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_bytes(("name,n\n" + "".join(f"مرحبا,{i}\n" + "x\n" * (i % 500 == 9) for i in range(3000))).encode("cp1256"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        out = ingest.parse_csv(spark, str(path))
+        assert {r[0] for r in out.accepted.select("name").distinct().collect()} == {"مرحبا"} and out.accepted.count() == 3000
+        assert sorted(r["line"] for r in out.rejected.collect()) == [2 + i + i // 500 + 1 for i in range(9, 3000, 500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_formula_cells(spark):
