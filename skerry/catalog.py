@@ -78,10 +78,10 @@ def adhoc_count_distinct_nulls(spark: SparkSession, d: str) -> DataFrame:
     return adhoc.run(rows, Query([Measure("count_distinct", "k"), Measure("sum", "v")], ["g"]))
 
 
-@query("""SELECT n.n_name, count(*) AS "count" FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE contains(lower(n.n_name), 'an') GROUP BY 1""")
+@query("""SELECT n.n_name, count(*) AS "count" FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE contains(lower(n.n_name), 'tion') GROUP BY 1""")
 def folded_substring(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    return adhoc.run(rows.where(words.contains_folded(F.col("n_name"), "AN")), Query([Measure("count")], ["n_name"]))
+    return adhoc.run(rows.where(words.contains_folded(F.col("n_name"), "tIOn")), Query([Measure("count")], ["n_name"]))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -359,9 +359,12 @@ def prediction_joins(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("target"), F.col("r_name").alias("model"))
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT o_custkey AS rule_id, o_orderpriority AS method, o_orderkey AS i, concat_ws(':', o_custkey, o_orderpriority, o_orderkey) AS episode_identity FROM orders WHERE o_orderkey % 3 <> 0")
 def episode_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", "c_nationkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Every third order is an episode that is open already."""
+    found = table(spark, d, "orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderpriority").alias("method"), F.col("o_orderkey").alias("i"))
+    held = found.where("i % 3 = 0").select("rule_id", monitoring.identity().alias("episode_identity"))
+    return monitoring.new_episodes(found, held).select("rule_id", "method", "i", "episode_identity")
 
 
 @query("SELECT CASE WHEN bool_and(try_cast(o_orderkey AS DOUBLE) IS NOT NULL) THEN max(o_orderkey)::VARCHAR END AS numeric_mark, max(o_orderpriority) AS text_mark FROM orders")
@@ -656,10 +659,10 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at, 60 + event_id % 600 AS service, row_number() OVER (PARTITION BY event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events WHERE ts IS NOT NULL),
-    q AS (SELECT event_type, event_id, n, at, at AS starts, at + service AS ends FROM e WHERE n = 1
-        UNION ALL SELECT e.event_type, e.event_id, e.n, e.at, greatest(e.at, q.ends), greatest(e.at, q.ends) + e.service FROM q JOIN e ON e.event_type IS NOT DISTINCT FROM q.event_type AND e.n = q.n + 1)
-    SELECT event_id, starts, ends, starts - at AS waits FROM q""")
+@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS arrived, 60 + event_id % 600 AS service, row_number() OVER (PARTITION BY event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events WHERE ts IS NOT NULL),
+    q AS (SELECT event_type, event_id, n, arrived, arrived AS starts, arrived + service AS ends FROM e WHERE n = 1
+        UNION ALL SELECT e.event_type, e.event_id, e.n, e.arrived, greatest(e.arrived, q.ends), greatest(e.arrived, q.ends) + e.service FROM q JOIN e ON e.event_type IS NOT DISTINCT FROM q.event_type AND e.n = q.n + 1)
+    SELECT event_id, starts, ends, starts - arrived AS waits FROM q""")
 def queue_waits(spark: SparkSession, d: str) -> DataFrame:
     """Every event as an arrival at the single server of its type."""
     from skerry.operators import scenario
