@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import written
@@ -86,18 +87,23 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (j < total % parts) for j in range(parts)]
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, rows_per_block: int = 200_000, scan: bool = False) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, rows_per_block: int = 200_000, bytes_per_block: int = 64 * 2**20, scan: bool = False) -> DataFrame:
     """docs' rows with shard (int) and slot (long, gapless from 0 in each shard); shard sizes differ by one at most.
 
+    A block has rows_per_block rows and bytes_per_block bytes at most, on average over all rows; one task sorts one block.
+
     scan: docs is a plain file scan, whose partitions are the same in every job. Any other input is written first, so that
     counting and dealing see the same partitions; a partition that still differs stops the job.
     """
     spark = docs.sparkSession
     docs = docs if scan else written(docs, "to-shard")
-    found = {r[0]: r[1] for r in docs.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in docs.schema if f.dataType.simpleString() in ("string", "binary")]
+    weight = reduce(Column.__add__, texts, F.lit(16).cast("long"))
+    parts = docs.select(F.spark_partition_id().alias("p"), weight.alias("w")).groupBy("p").agg(F.count(F.lit(1)), F.sum("w")).collect()  # a row a partition
+    found = {r[0]: r[1] for r in parts}
     counts = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
-    total = sum(counts)
-    cuts = max(1, -(-total // (shards * rows_per_block)))
+    total, weights = sum(counts), sum(r[2] for r in parts)
+    cuts = max(1, -(-total // (shards * rows_per_block)), -(-weights // (shards * bytes_per_block)))
     blocks = np.array([b for s in even(total, shards) for b in even(s, cuts)], dtype=np.int64)
     known = spark.sparkContext.broadcast((counts, blocks))
     names = docs.columns

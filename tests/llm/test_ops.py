@@ -371,6 +371,21 @@ def test_shards_are_exact(spark):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n))
 
 
+def test_query_of_shards_against_its_documents(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, FOLDER, "documents").collect()}
+    out = catalog.QUERIES["op6_sharding"](spark, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(docs) and {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)}
+    for r in out:
+        text = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(text) + 8, zlib.crc32(text))
+    for shard in range(24):
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(docs) // 24 + (shard < len(docs) % 24)))
+    small = sharding.shuffle_into_shards(table(spark, FOLDER, "documents").select("doc_id", "text"), 3, bytes_per_block=20_000, scan=True).collect()
+    assert sorted(collections.Counter(r["shard"] for r in small).values()) == sorted(len(docs) // 3 + (s < len(docs) % 3) for s in range(3))
+    assert all(sorted(r["slot"] for r in small if r["shard"] == s) == list(range(sum(r["shard"] == s for r in small))) for s in range(3))
+
+
 # --- 7: packing
 
 
