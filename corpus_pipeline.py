@@ -36,7 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: those linked by shingles of five words with a Jaccard similarity of
-    SIMILARITY or more. All such pairs are found, whatever the distance of their SimHashes. The row that stays is named by id and
+    SIMILARITY or more. SimHash near-dedup finds most such pairs; those it misses are found by their shingles. The row that stays is named by id and
     text, so rows with a null id, or with one id and different texts, are documents of their own."""
     keep = firsts(docs, SIMILARITY).select("id", F.col("h").alias("_h"), F.col("g").alias("_g"))
     named = identified(docs.select(COLUMNS), "doc_id", "text")
