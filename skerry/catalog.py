@@ -367,6 +367,59 @@ def episode_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.new_episodes(found, held).select("rule_id", "method", "i", "episode_identity")
 
 
+@query("SELECT o_orderkey AS state_id, o_custkey AS rule_id, c_name AS rule_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+def condition_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as condition states; every other customer is a rule that still exists."""
+    states = table(spark, d, "orders").select((F.col("o_custkey") % 3).alias("tenant_id"), F.col("o_custkey").alias("rule_id"), F.col("o_orderkey").alias("state_id"))
+    rules = table(spark, d, "customer").where("c_custkey % 2 = 0").select((F.col("c_custkey") % 3).alias("tenant_id"), F.col("c_custkey").alias("rule_id"), F.col("c_name").alias("name"))
+    return registry.conditions_with_rules(states, rules).select("state_id", "rule_id", "rule_name")
+
+
+@query("SELECT l_suppkey AS provider_id, s_name AS provider_name, count(*) AS calls, sum(l_linenumber)::BIGINT AS tokens, round(sum(l_extendedprice), 2) AS cost FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON l_suppkey = s_suppkey GROUP BY 1, 2")
+def usage_by_provider(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as usage, every other supplier as a provider."""
+    rows = table(spark, d, "lineitem").select(F.lit(1).alias("tenant_id"), F.col("l_suppkey").alias("provider_id"), F.col("l_linenumber").cast("long").alias("tokens"), F.col("l_extendedprice").alias("cost"))
+    providers = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.lit(1).alias("tenant_id"), F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("name"))
+    return registry.usage_by_provider(rows, providers).select("provider_id", "provider_name", "calls", "tokens", F.round("cost", 2).alias("cost"))
+
+
+@query("SELECT s_suppkey AS role, n_name AS provider_name, n_regionkey AS provider_status, k AS known_only FROM supplier JOIN (VALUES (false), (true)) v(k) ON true LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey WHERE NOT k OR n_name IS NOT NULL")
+def role_providers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as roles, every other nation as a provider; both forms of the join."""
+    roles = table(spark, d, "supplier").select(F.lit(1).alias("tenant_id"), F.col("s_nationkey").alias("provider_id"), F.col("s_suppkey").alias("role"))
+    providers = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.lit(1).alias("tenant_id"), F.col("n_nationkey").alias("provider_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("status"))
+    both = [registry.roles_with_providers(roles, providers, k).select("role", "provider_name", "provider_status", F.lit(k).alias("known_only")) for k in (False, True)]
+    return both[0].union(both[1])
+
+
+@query("SELECT event_type AS source_type, user_id AS source_id, min(event_id) AS request_id FROM events WHERE NOT (event_type = 'purchase' AND user_id % 2 = 0) GROUP BY 1, 2")
+def new_investigations(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests; purchases of users with even ids are being investigated already."""
+    rows = table(spark, d, "events").select(F.lit(1).alias("tenant_id"), F.col("event_type").alias("source_type"), F.col("user_id").alias("source_id"), F.col("event_id").alias("request_id"))
+    held = rows.where("source_type = 'purchase' AND source_id % 2 = 0")
+    return registry.new_investigations(rows, held).select("source_type", "source_id", "request_id")
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100")
+def paged_orders(spark: SparkSession, d: str) -> DataFrame:
+    rows, total = registry.page_with_total(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 100, 50)
+    return rows.select("o_orderkey", F.lit(total).cast("long").alias("total"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, 'integer' AS key_type, 'string' AS name_type, 0::BIGINT AS rejected FROM nation")
+def parsed_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Nations, written as one CSV file to the shared folder and taken in again."""
+    from uuid import uuid4
+
+    from skerry.sources.ingest import parse_file
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/csv-{uuid4().hex}"
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).write.option("header", True).csv(folder)
+    name = next(r[0] for r in spark.read.format("binaryFile").load(folder).select("path").collect())  # one file
+    got = parse_file(spark, name)
+    return got.accepted.select("*", F.lit(got.types["n_nationkey"]).alias("key_type"), F.lit(got.types["n_name"]).alias("name_type"), F.lit(got.rejected.count()).cast("long").alias("rejected"))
+
+
 @query("SELECT CASE WHEN bool_and(try_cast(o_orderkey AS DOUBLE) IS NOT NULL) THEN max(o_orderkey)::VARCHAR END AS numeric_mark, max(o_orderpriority) AS text_mark FROM orders")
 def watermarks(spark: SparkSession, d: str) -> DataFrame:
     from skerry.sources.ingest import watermark
@@ -444,6 +497,28 @@ def seasonal_naive_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("series_id").withColumn("persistent_count", F.col("persistent_count").cast("long"))
 
 
+@query("SELECT r_regionkey::VARCHAR AS rule_id, i, observed, concat(r_regionkey, ':', method, ':', i) AS episode_identity FROM (" + ORACLES["residual_anomalies"] + ") JOIN region ON persistent_count >= 1 + r_regionkey % 2 WHERE r_regionkey <> 4 AND NOT (r_regionkey = 0 AND i % 2 = 0)")
+def rule_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as rules over the daily counts: the last one is off, and of the first one every other place has an open episode."""
+    rules = table(spark, d, "region").selectExpr("cast(r_regionkey AS string) AS rule_id", "'events' AS series_id", "'residual' AS method", "7 AS season", "1.2D AS threshold", "0.01D AS min_effect", "1 + r_regionkey % 2 AS persistence", "r_regionkey <> 4 AS enabled")
+    points = daily(spark, d)
+    held = points.where("i % 2 = 0").selectExpr("'0' AS rule_id", "concat('0:residual:', i) AS episode_identity")
+    return monitoring.evaluate_rules(rules, points, held).select("rule_id", "i", "observed", "episode_identity")
+
+
+@query(f"SELECT 'numbers' AS series_id, (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS i, p_size::DOUBLE AS y FROM part WHERE p_size IS NOT NULL UNION ALL SELECT 'counts', i, y FROM ({DAILY})")
+def loaded_series(spark: SparkSession, d: str) -> DataFrame:
+    numbers = monitoring.load_series(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), ["p_partkey"], "numbers")
+    days = table(spark, d, "events").select("event_type", F.date_trunc("day", "ts").alias("ds"))
+    return numbers.union(monitoring.load_series(days, [], "counts"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY o_orderdate) - 1)::BIGINT AS i, o_orderdate AS ds, round(avg(o_totalprice), 4) AS y FROM orders WHERE o_orderdate IS NOT NULL GROUP BY o_orderdate")
+def averaged_series(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "orders").select(F.lit("orders").alias("series_id"), F.col("o_orderdate").alias("ds"), F.col("o_totalprice").alias("y"))
+    return forecasting.averaged(points).select("i", "ds", F.round("y", 4).alias("y"))
+
+
 @query(f"""WITH RECURSIVE s AS ({DAILY}), mu AS (SELECT avg(y) AS mu FROM s WHERE i < (SELECT count(*) // 2 FROM s)),
     f(i, y, u, d) AS (SELECT -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
         SELECT s.i, s.y, greatest(0, CASE WHEN f.u > 5 OR f.d > 5 THEN 0 ELSE f.u END + (s.y - mu) - 0.5), greatest(0, CASE WHEN f.u > 5 OR f.d > 5 THEN 0 ELSE f.d END - (s.y - mu) - 0.5) FROM f JOIN s ON s.i = f.i + 1, mu)

@@ -30,6 +30,13 @@ def season(length: int | None, frequency: str, n_train: int) -> int:
     return max(1, min(length or SEASONS.get(frequency, 1), n_train // 2))
 
 
+def averaged(points: DataFrame) -> DataFrame:
+    """(series_id, i, ds, y): one point for each time, the mean of the points (series_id, ds, y) that share it. Points without a time or
+    a number are left out."""
+    one = points.select("series_id", "ds", F.col("y").try_cast("double").alias("y")).dropna(subset=["ds", "y"]).groupBy("series_id", "ds").agg(F.avg("y").alias("y"))
+    return one.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("ds")) - 1).cast("long").alias("i"), "ds", "y")
+
+
 def suitability(series: DataFrame, least: int = MIN_PERIODS) -> DataFrame:
     """(series_id, observations, coverage, constant, sufficient): coverage is points over the steps their span has room for."""
     step = seconds_between(F.lag("ds").over(Window.partitionBy("series_id").orderBy("ds")), F.col("ds"))

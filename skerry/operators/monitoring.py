@@ -8,13 +8,18 @@ phase in one pandas function per series.
 from __future__ import annotations
 
 from bisect import insort
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from skerry.functions.times import literal
 
+TIME_NAMES = ("created_at", "timestamp", "ds", "date")
+RULE_SETTINGS = 50
+
 
 def _median(values: list[float]) -> float:
     n = len(values)
@@ -102,6 +107,47 @@ def new_episodes(found: DataFrame, open_episodes: DataFrame) -> DataFrame:
     return named.join(open_episodes.select("rule_id", "episode_identity"), ["rule_id", "episode_identity"], "left_anti")
 
 
+def load_series(df: DataFrame, order: list[str], series_id: str) -> DataFrame:
+    """(series_id, i, y) of a dataset: the first numeric column in the given order, else how many rows each value of the first time
+    column has. `order` names the columns rows go by, as a table has no order of its own; a dataset with neither is refused. A
+    series is a bounded group, as everywhere in this module."""
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in order]
+    clocks = [c for c in df.columns if c in TIME_NAMES]
+    if numbers:
+        points = df.select(F.col(numbers[0]).cast("double").alias("y"), *order).dropna(subset=["y"])
+    elif clocks:
+        points, order = df.groupBy(clocks[0]).agg(F.count(F.lit(1)).cast("double").alias("y")), clocks[:1]
+    else:
+        raise ValueError("no numeric and no time column")
+    return points.select(F.lit(series_id).alias("series_id"), (F.row_number().over(Window.partitionBy(F.lit(series_id)).orderBy(*order)) - 1).cast("long").alias("i"), "y")
+
+
+def evaluate_rules(rules: DataFrame, series: DataFrame, open_episodes: DataFrame) -> DataFrame:
+    """Anomalies that open a new episode. Rules (rule_id, series_id, method, season, threshold, min_effect, persistence, enabled) are held
+    against series of three points or more; what lasts long enough and has no open episode (rule_id, episode_identity) fires.
+
+    Rules with like settings are evaluated together, each on its own copy of its series; there are RULE_SETTINGS settings at most.
+    """
+    active, setting = rules.where("enabled"), ["method", "season", "threshold", "min_effect"]
+    settings = active.select(*setting).distinct().limit(RULE_SETTINGS + 1).collect()
+    if len(settings) > RULE_SETTINGS:
+        raise ValueError(f"rules have over {RULE_SETTINGS} settings")
+    long_enough = series.join(series.groupBy("series_id").count().where("count >= 3").select("series_id"), "series_id", "left_semi")
+    found = None
+    for s in settings:
+        own = active.where(reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(s[c])) for c in setting))).select("rule_id", "series_id", "persistence")
+        of_rule = long_enough.join(own, "series_id").select(F.col("rule_id").cast("string").alias("series_id"), "i", "y")
+        hits = anomalies(BANDS[s["method"]](of_rule, s["season"], s["threshold"]), s["method"], s["min_effect"]).withColumnRenamed("series_id", "rule_id")
+        hits = hits.join(own.select(F.col("rule_id").cast("string").alias("rule_id"), "persistence"), "rule_id").where("persistent_count >= persistence").drop("persistence")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = anomalies(residual_bands(series.where("false"), 2), "residual").withColumnRenamed("series_id", "rule_id")
+    return new_episodes(found, open_episodes)
+
+
+BANDS = {"seasonal_naive": seasonal_bands, "residual": residual_bands}
+
+
 def conditions(fired: DataFrame) -> DataFrame:
     """(rule_id, condition, started_at): states after all evaluations (rule_id, at, event), event being `fire` or `resolve`.
 

@@ -93,12 +93,20 @@ def sla_summary(metrics: DataFrame) -> DataFrame:
 
 
 def throughput(log: DataFrame, unit: str = "hours") -> DataFrame:
-    """Time in each stage. p90 is the value at place round(0.9 (n - 1)) of the sorted times."""
-    span = F.col("duration_s") / UNIT_SECONDS[unit]
-    sorted_ = F.sort_array(F.collect_list(span))
-    p90 = F.element_at(F.col("times"), (F.floor((F.size("times") - 1) * F.lit(0.9) + 0.5) + 1).cast("int"))
-    out = with_neighbours(log).groupBy(F.col("event").alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.min(span).alias("lo"), F.median(span).alias("mid"), F.max(span).alias("hi"), sorted_.alias("times"))
-    out = out.select("stage", "n", F.round("lo", 3).alias("min"), F.round("mid", 3).alias("median"), F.round("hi", 3).alias("max"), F.when(F.size("times") > 0, F.round(p90, 3)).alias("p90"))
+    """Time in each stage. p90 is the value at place round(0.9 (n - 1)) of the sorted times.
+
+    Equal times are counted before they are ranked, and ranks are running sums, so no stage's times are gathered in one row.
+    """
+    counted = with_neighbours(log).groupBy(F.col("event").alias("stage"), (F.col("duration_s") / UNIT_SECONDS[unit]).alias("span")).agg(F.count(F.lit(1)).alias("c"))
+    sizes = counted.groupBy("stage").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("span").isNotNull(), F.col("c"))).alias("timed"))
+    ranked = counted.where("span IS NOT NULL").withColumn("upto", F.sum("c").over(Window.partitionBy("stage").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.col("timed") - 1
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col("span")))
+
+    picked = ranked.join(sizes.select("stage", "timed"), "stage").groupBy("stage").agg(F.min("span").alias("lo"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("mid"), F.max("span").alias("hi"), at(F.floor(last * F.lit(0.9) + 0.5)).alias("p90"))
+    out = sizes.join(picked, "stage", "left").select("stage", "n", F.round("lo", 3).alias("min"), F.round("mid", 3).alias("median"), F.round("hi", 3).alias("max"), F.round("p90", 3).alias("p90"))
     return out.orderBy(F.desc_nulls_last("median"), "stage")
 
 

@@ -111,6 +111,35 @@ def usage(rows: DataFrame, provider: str, model: str, day: str, tokens: str, cos
         FROM usage_rows GROUP BY GROUPING SETS ((), ({provider}), ({model}), ({day}), ({provider}, {model}, {day}))""")
 
 
+def conditions_with_rules(states: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every condition state with the name of its rule, null where the rule is gone."""
+    return states.join(rules.select("tenant_id", "rule_id", F.col("name").alias("rule_name")), ["tenant_id", "rule_id"], "left")
+
+
+def usage_by_provider(rows: DataFrame, providers: DataFrame) -> DataFrame:
+    """Totals of usage rows (tenant_id, provider_id, tokens, cost) by provider, with the provider's name. Rows are added up before
+    names are looked up, so the join meets one row for each provider."""
+    totals = rows.groupBy("tenant_id", "provider_id").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.sum("cost").alias("cost"))
+    return totals.join(providers.select("tenant_id", "provider_id", F.col("name").alias("provider_name")), ["tenant_id", "provider_id"], "left")
+
+
+def roles_with_providers(roles: DataFrame, providers: DataFrame, known_only: bool = False) -> DataFrame:
+    """Model roles with their provider's name and status; known_only leaves out roles whose provider is gone."""
+    names = providers.select("tenant_id", "provider_id", F.col("name").alias("provider_name"), F.col("status").alias("provider_status"))
+    return roles.join(names, ["tenant_id", "provider_id"], "inner" if known_only else "left")
+
+
+def new_investigations(requests: DataFrame, held: DataFrame) -> DataFrame:
+    """Of requests (tenant_id, source_type, source_id, request_id) the first for every source that has no investigation yet."""
+    source = ["tenant_id", "source_type", "source_id"]
+    return requests.groupBy(*source).agg(F.min("request_id").alias("request_id")).join(held.select(*source), source, "left_anti")
+
+
+def page_with_total(df: DataFrame, order: list[str], offset: int, limit: int) -> tuple[DataFrame, int]:
+    """A page and the number of rows of all pages."""
+    return page(df, order, offset, limit), df.count()
+
+
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("a page has 1 to 500 rows")

@@ -171,3 +171,19 @@ def test_saved_analyses(spark):
     df = spark.range(9).select((F.col("id") % 3).alias("k"))
     text = saved.saved(q)
     assert saved.loaded(text) == q and saved.rerun(df, text)["sha256"] == saved.rerun(df, text)["sha256"] and len(saved.rerun(df, text)["rows"]) == 2
+
+
+def test_rule_evaluation_settings(spark):
+    points = spark.createDataFrame([("s", i, 9.0 if i == 8 else 1.0 + i % 2) for i in range(10)] + [("t", 0, 1.0), ("t", 1, 99.0)], "series_id string, i long, y double")
+    rules = spark.createDataFrame([("a", "s", "residual", 4, 3.0, 0.01, 1, True), ("b", "s", "seasonal_naive", 4, 3.0, 0.01, 1, True), ("c", "s", "residual", 4, 3.0, 0.01, 2, True), ("d", "t", "residual", 4, 3.0, 0.01, 1, True), ("e", "s", "residual", 4, 3.0, 0.01, 1, False)], "rule_id string, series_id string, method string, season int, threshold double, min_effect double, persistence int, enabled boolean")
+    none = spark.createDataFrame([], "rule_id string, episode_identity string")
+    got = sorted((r["rule_id"], r["i"]) for r in monitoring.evaluate_rules(rules, points, none).collect())
+    assert ("a", 8) in got and ("b", 8) in got and not {"c", "d", "e"} & {r for r, _ in got}
+    held = none.union(spark.createDataFrame([("a", "a:residual:8")], "rule_id string, episode_identity string"))
+    assert ("a", 8) not in {(r["rule_id"], r["i"]) for r in monitoring.evaluate_rules(rules, points, held).collect()}
+    assert monitoring.evaluate_rules(rules.limit(0), points, none).count() == 0
+
+
+def test_series_without_columns_is_refused(spark):
+    with pytest.raises(ValueError):
+        monitoring.load_series(spark.createDataFrame([("a",)], "name string"), [], "x")

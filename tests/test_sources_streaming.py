@@ -130,3 +130,31 @@ def test_workbooks(spark, tmp_path):
     assert out.accepted.where("name IS NULL").count() == 1
     with pytest.raises(Exception, match="no sheet"):
         parse_xlsx(spark, str(tmp_path / "a.xlsx"), "none").accepted.count()
+
+
+def test_parse_file_goes_by_content(spark, tmp_path):
+    (tmp_path / "plain").write_text("id,name\n1,a\n2,b\n")
+    got = ingest.parse_file(spark, str(tmp_path / "plain"))
+    assert sorted(r["name"] for r in got.accepted.collect()) == ["a", "b"] and got.rejected.count() == 0
+    (tmp_path / "x.exe").write_bytes(b"MZ")
+    with pytest.raises(ingest.Rejected):
+        ingest.parse_file(spark, str(tmp_path / "x.exe"))
+
+
+def test_zones_keep_paths_inside():
+    assert ingest.zone_path("/s/", "revisions", "t", 3, "a/b.parquet") == "/s/revisions/t/3/a/b.parquet"
+    for parts in ((), ("..", "x"), ("a/../../x",), ("a\\..\\x",), ("", "x"), ("c:x",)):
+        with pytest.raises(ingest.Rejected):
+            ingest.zone_path("/s", "revisions", *parts)
+    with pytest.raises(ingest.Rejected):
+        ingest.zone_path("/s", "elsewhere", "x")
+
+
+def test_outbox(spark, tmp_path):
+    folder = str(tmp_path / "data")
+    for k in (1, 2):
+        ingest.publish(spark.range(k), folder, k)
+    ingest.emit(spark, folder, "revision.published", 2, {"again": True})
+    outbox = spark.read.parquet(f"{folder}/_outbox")
+    left = ingest.undelivered(outbox, spark.createDataFrame([("revision.published:1",)], "id string")).collect()
+    assert [(r["id"], r["revision"]) for r in left] == [("revision.published:2", 2)]
