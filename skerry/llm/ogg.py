@@ -1,7 +1,9 @@
 """Media columns: Ogg containers written from and read back into payload bytes.
 
 encode() lays a payload of 8-bit samples into two logical streams of one physical Ogg stream; decode() verifies every
-page's checksum, reassembles packets from lacing values, demultiplexes the streams and derives times from granule positions.
+page's checksum, reassembles packets from lacing values, demultiplexes the streams and derives the start of every packet from
+the granule position of the page it ends on: that position less the samples of the packets from this one on. A position that
+doesn't follow from the samples so far, or one on a page where no packet ends, is an error.
 
 Defined cases: a null text is empty; an empty text is one frame of spaces; equal texts give equal bytes; rows of an empty
 table give an empty table; only the named columns are read, so extra columns with any name don't matter and are left out.
@@ -10,10 +12,13 @@ A damaged or truncated file makes decode() raise ValueError.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,18 +103,25 @@ def decode(media: bytes) -> tuple[bytes, dict]:
             raise ValueError(f"the checksum of the page at byte {at} is wrong")
         if bool(flags & FIRST) == (serial in streams):
             raise ValueError(f"stream {serial} begins twice or not at all")
-        s = streams.setdefault(serial, {"next": 0, "packets": [], "open": [], "granule": 0, "ended": False})
+        s = streams.setdefault(serial, {"next": 0, "packets": [], "open": [], "starts": [], "granule": 0, "ended": False})
         if number != s["next"] or s["ended"] or bool(flags & CONTINUED) != bool(s["open"]):
             raise ValueError(f"stream {serial} has lost a page before byte {at}")
         s["next"] += 1
-        body = at + HEAD.size + n
+        body, known = at + HEAD.size + n, len(s["packets"])
         for value in lacing:
             s["open"].append(media[body : body + value])
             body += value
             if value < 255:
                 s["packets"].append(b"".join(s["open"]))
                 s["open"] = []
-        if granule != NO_PACKET_ENDS:
+        done = s["packets"][known:]
+        if (granule == NO_PACKET_ENDS) == bool(done):
+            raise ValueError(f"stream {serial}: a granule position without a packet's end, or none with one, before byte {end}")
+        if done:
+            sizes = [len(p) if known + i else 0 for i, p in enumerate(done)]  # the first packet names the codec and has no samples
+            if granule - s["granule"] != sum(sizes):
+                raise ValueError(f"stream {serial}: the granule position before byte {end} doesn't fit its packets")
+            s["starts"] += [granule - left for left in list(accumulate(reversed(sizes)))[::-1]]
             s["granule"] = granule
         s["ended"] = bool(flags & LAST)
         at, pages = end, pages + 1
@@ -117,24 +129,48 @@ def decode(media: bytes) -> tuple[bytes, dict]:
         raise ValueError("a stream has no end")
     order = sorted(streams)
     name, _, rate, _ = IDENT.unpack(streams[order[0]]["packets"][0])
-    data = [streams[k]["packets"][1:] for k in order]
-    for k, packets in zip(order, data, strict=True):
-        if streams[k]["granule"] != sum(map(len, packets)):
-            raise ValueError(f"stream {k}: granule positions don't fit its packets")
-    payload = b"".join(d[i] for i in range(max(map(len, data))) for d in data if i < len(d))
-    return payload, {
+    data = [list(zip(streams[k]["starts"], streams[k]["packets"], strict=True))[1:] for k in order]
+    turns = [d[i] for i in range(max(map(len, data))) for d in data if i < len(d)]
+    payload = b"".join(p for _, p in turns)
+    return payload, signal(payload) | {
         "codec": name.strip(b"\x7f ").decode(),
         "pages": pages,
-        "packets": sum(map(len, data)),
+        "packets": len(turns),
+        "starts_ms": [start * 1000 // rate for start, _ in turns],
         "end_ms": [streams[k]["granule"] * 1000 // rate for k in order],
         "duration_ms": sum(streams[k]["granule"] for k in order) * 1000 // rate,
-        "peak": max(payload, default=0),
+        "peak_ms": peak_time(payload, turns) * 1000 // rate,
     }
 
 
+def signal(payload: bytes) -> dict:
+    """Features of 8-bit samples: the largest, the mean and the deviation from it, in thousandths, and how often samples cross it."""
+    samples = np.frombuffer(payload, np.uint8)
+    if not len(samples):
+        return {"peak": 0, "mean": 0, "deviation": 0, "crossings": 0}
+    counts = np.bincount(samples, minlength=256)
+    total, squares = int(counts @ np.arange(256)), int(counts @ np.arange(256) ** 2)
+    above = samples > total // len(samples)
+    spread = math.isqrt((squares * len(samples) - total**2) * 10**6) // len(samples)
+    return {"peak": int(np.flatnonzero(counts)[-1]), "mean": total * 1000 // len(samples), "deviation": spread, "crossings": int(np.count_nonzero(above[1:] != above[:-1]))}
+
+
+def peak_time(payload: bytes, turns: list[tuple[int, bytes]]) -> int:
+    """The place of the first largest sample in its own stream's time, in samples."""
+    at = payload.index(max(payload)) if payload else 0
+    for start, packet in turns:
+        if at < len(packet):
+            return start + at
+        at -= len(packet)
+    return 0
+
+
 def feature(facts: dict) -> str:
-    ends = "/".join(map(str, facts["end_ms"]))
-    return f"codec={facts['codec']};streams={len(facts['end_ms'])};pages={facts['pages']};packets={facts['packets']};end_ms={ends};duration_ms={facts['duration_ms']};peak={facts['peak']}"
+    """The facts as text; the packets' starts by their checksum, as there is one for each PACKET samples."""
+    ends, starts = "/".join(map(str, facts["end_ms"])), zlib.crc32(",".join(map(str, facts["starts_ms"])).encode())
+    return f"codec={facts['codec']};streams={len(facts['end_ms'])};pages={facts['pages']};packets={facts['packets']};end_ms={ends};duration_ms={facts['duration_ms']};starts_crc32={starts};" + ";".join(
+        f"{k}={facts[k]}" for k in ("peak", "peak_ms", "mean", "deviation", "crossings")
+    )
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
