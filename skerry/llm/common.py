@@ -74,6 +74,13 @@ def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 
 MINIMA = 200_000  # broadcast rows of a node and its smallest neighbour
+ROWS_A_TASK = 100_000  # links or minima
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df over one task for each ROWS_A_TASK of its counted rows, where that is fewer than it has: a round over few links then isn't
+    dealt over as many tasks and files as the corpus is."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -81,31 +88,32 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds over (u, v) links. Each star keeps a link from every neighbour to the
     smallest one, so the link count never grows, and minima are combined before the shuffle. Each round is a written table;
-    rounds end when a round changes nothing, which takes about the logarithm of the longest path. The minima are broadcast
+    rounds end when a round changes nothing, which takes about the logarithm of the longest path. Tasks follow the counted links, as there
+    may be few in a corpus of many partitions. The minima are broadcast
     while they are few. Beyond that they are joined from a table of their own: a join of two plain scans is one whose large
     partitions Spark splits, so a star with very many links spreads over tasks.
     """
 
-    def round_of(e: DataFrame) -> tuple[DataFrame, tuple]:
+    def round_of(e: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
         seen = Observation()
-        e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("all")), "links")
-        return e, (seen.get["n"], seen.get["all"])
+        e = written((e if rows is None else gathered(e, rows)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("all")), "links")
+        return gathered(e, seen.get["n"]), (seen.get["n"], seen.get["all"])
 
-    def to_least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def to_least(e: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
         """Each node's smallest neighbour or itself, and the links with it."""
-        least, n = tallied(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        least, n = tallied(gathered(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows), "minima")
         return least, e.join(broadcast_if(least, n, MINIMA), "u")
 
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e, state = round_of(e)
     while state[0]:
-        _, met = to_least(e.union(e.select(F.col("v"), F.col("u"))))
+        _, met = to_least(e.union(e.select(F.col("v"), F.col("u"))), 2 * state[0])
         large = met.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least, met = to_least(large)
+        least, met = to_least(large, state[0])
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        e, now = round_of(small.distinct())
+        e, now = round_of(small.distinct(), state[0])
         if now == state:
             break
         state = now
-    stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    stars = written(gathered(e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), state[0]), "stars")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
