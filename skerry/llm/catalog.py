@@ -10,6 +10,7 @@ from skerry.llm.packing import op7_minimum_bin_slack
 from skerry.llm.pii import op2_disclosure_sanitisation
 from skerry.llm.sharding import op6_sharding
 from skerry.llm.simhash import op8_generalised_pigeonhole
+from skerry.llm.tokencounts import op11_two_tier_token_counts
 from skerry.llm.toxicity import op4_kneser_ney_toxicity
 from skerry.llm.urls import op1_url_model_ratio
 
@@ -26,6 +27,7 @@ QUERIES = {
         op8_generalised_pigeonhole,
         op9_ogg_media,
         op10_prefix_set_join,
+        op11_two_tier_token_counts,
     )
 }
 
