@@ -95,7 +95,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = FREQUENT
     list decides about time only. What is shuffled is one summary for each task."""
     words = docs.select(F.explode(F.split(text_col, " ")).alias("w")).where(F.octet_length("w").between(1, LONGEST))
     summed = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("s"))
-    top = summed.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {most})").alias("top"))
+    top = summed.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {most})").alias("top"))
     return [x["item"] for row in top.collect() for x in row["top"]]  # no row if there are no words
 
 
