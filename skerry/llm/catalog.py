@@ -5,11 +5,13 @@ from __future__ import annotations
 from skerry.llm.chat import CLOSE, END, ESCAPES, TURN, op5_chat_prefix_targets
 from skerry.llm.decontaminate import LOWER, UPPER, WINDOW, op10_prefix_set_join
 from skerry.llm.lines import op3_simhash_lines
+from skerry.llm.negatives import LABELS, NEGATIVES, NOISY, POSITIVES, SCALE, op13_residual_bounds
 from skerry.llm.ogg import op9_ogg_media
 from skerry.llm.packing import op7_minimum_bin_slack
 from skerry.llm.pii import op2_disclosure_sanitisation
 from skerry.llm.sharding import op6_sharding
 from skerry.llm.simhash import op8_generalised_pigeonhole
+from skerry.llm.spelling import op12_deletion_keys
 from skerry.llm.tokencounts import op11_two_tier_token_counts
 from skerry.llm.toxicity import op4_kneser_ney_toxicity
 from skerry.llm.urls import op1_url_model_ratio
@@ -28,6 +30,8 @@ QUERIES = {
         op9_ogg_media,
         op10_prefix_set_join,
         op11_two_tier_token_counts,
+        op12_deletion_keys,
+        op13_residual_bounds,
     )
 }
 
@@ -58,4 +62,12 @@ LEAKS_SQL = f"""WITH i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-ORACLES = {"op5_chat_prefix_targets": CHAT_SQL, "op10_prefix_set_join": LEAKS_SQL}
+NEGATIVES_SQL = f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % {NOISY} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)) AS q
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_dot_product(a.q, e.q)::BIGINT AS score FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES})
+    SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= {NEGATIVES}"""
+
+ORACLES = {"op5_chat_prefix_targets": CHAT_SQL, "op10_prefix_set_join": LEAKS_SQL, "op13_residual_bounds": NEGATIVES_SQL}

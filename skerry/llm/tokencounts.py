@@ -4,9 +4,9 @@ A text is cut at ASCII white space, which no pattern of the tokenizer crosses an
 words add up to its own. The first tier is a broadcast table of the lengths of the corpus' frequent words. They are found by a
 sketch of frequent items over all texts: each task sends one summary of TRACKED items at most, summaries meet in GROUPS groups
 and then in one, whatever the input. The second tier is for words that aren't in the table: a worker's caches of words and of
-pre-tokens, ROOM entries each, kept over the batches and tasks of the worker and emptied when full. A missed word of ASCII
-and Latin-1 letters is cut into the tokenizer's own pre-tokens, which repeat more often than words do; those not in the cache,
-and words with anything else in them (a special string, another script), are encoded by the library.
+pre-tokens, of ROOM letters each, kept over the batches and tasks of the worker; what isn't asked for again is forgotten. A missed word of
+ASCII and Latin-1 letters is cut into the tokenizer's own pre-tokens, which repeat more often than words do; those not in the cache are encoded by the
+library, many at once, and so are whole words with anything else in them (a special string, another script).
 
 Both tiers change time only: a count is always what the library gives for the whole text. A lost executor loses caches alone.
 
@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,50 +34,99 @@ MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 FREQUENT, LONGEST = 8192, 32  # words in the broadcast table and bytes of each, so 300 KB at most
 TRACKED, GROUPS = 16384, 64  # items of a summary, groups in which summaries meet
-ROOM, CACHED = 1 << 17, 64  # entries of a cache and bytes of each
-PIECE = 1 << 20
+ROOM = 4 << 20  # letters of the texts in one generation of a cache, so some 500,000 words
+PIECE = 4 << 20  # bytes of text looked up at once
+JOINED, END = 4096, "</w>"  # words encoded at once; how the vocabulary marks the last token of a word
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")  # letters in these ranges have one lower-case letter each and don't compose
 SPECIAL = "<|"
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")  # fixed: the tokenizer's, for PLAIN in lower case
 
 
-def encoder(path: str) -> Callable[[list[str]], list[int]]:
-    """How many tokens the library makes of each text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    return lambda texts: [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-class Lengths(dict):
-    """Token counts by word (bytes). It starts as the broadcast table; other words are counted when they are first met."""
-
-    def __init__(self, frequent: dict[bytes, int], encode: Callable[[list[str]], list[int]], room: int = ROOM):
-        super().__init__(frequent)
-        self.frequent, self.encode, self.room, self.pretokens = frequent, encode, room, {}
-
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode()
-        parts = PRETOKEN.findall(text.lower()) if PLAIN.fullmatch(text) and SPECIAL not in text else [text]
-        known = self.pretokens
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        found = dict(zip(new, self.encode(new), strict=True)) if new else {}
-        total = sum(found[p] if p in found else known[p] for p in parts)
-        if len(known) + len(found) > self.room:
-            known.clear()
-        known.update((p, n) for p, n in found.items() if len(p) <= CACHED)
-        if len(word) <= CACHED:
-            if len(self) >= self.room + len(self.frequent):
-                self.clear()
-                self.update(self.frequent)
-            self[word] = total
-        return total
-
-    def of(self, text: bytes | None) -> int:
-        if not text:
-            return 0
-        return sum(sum(map(self.__getitem__, piece.split())) for piece in cut(text))
+class Library:
+    """How many tokens the library makes of texts. As a word's last token alone has END in its name, many words joined by blanks are encoded at once and counted apart."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for name, i in self.model.get_vocab().items() if name.endswith(END)]] = True
+
+    def texts(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pretokens(self, words: list[str]) -> list[int]:
+        """Token counts of pre-tokens of PLAIN words."""
+        out = []
+        for k in range(0, len(words), JOINED):
+            [found] = self.model.encode_batch_fast([" ".join(words[k : k + JOINED])], add_special_tokens=False)
+            at = np.flatnonzero(self.ends[np.array(found.ids, np.int64)])
+            out += np.diff(at, prepend=-1).tolist()
+        return out
+
+
+class Kept:
+    """Counts by text in two generations. When the younger one is full it becomes the older, and what was older and not asked for since is forgotten."""
+
+    def __init__(self, room: int, always: dict | None = None):
+        self.room, self.always, self.size = room, always or {}, 0
+        self.young, self.old = dict(self.always), {}
+
+    def unknown(self, asked: set) -> set:
+        """Those of the asked that aren't known; the rest is in `young` until the next call."""
+        if self.size > self.room:
+            self.old, self.young, self.size = self.young, dict(self.always), 0
+        new = asked.difference(self.young)
+        again = new.intersection(self.old)
+        self.add({x: self.old[x] for x in again})
+        return new - again
+
+    def add(self, counts: dict) -> None:
+        self.young.update(counts)
+        self.size += sum(map(len, counts))
+
+
+class Lengths:
+    """Token counts of texts. frequent: the broadcast table of words (bytes); other words are counted when they are first met."""
+
+    def __init__(self, frequent: dict[bytes, int], library: Library, room: int = ROOM):
+        self.library, self.words, self.pretokens = library, Kept(room, frequent), Kept(room)
+
+    def learn(self, words: set[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [PLAIN.fullmatch(t) is not None and SPECIAL not in t for t in texts]
+        parts = [PRETOKEN.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
+        new = list(self.pretokens.unknown(set(chain.from_iterable(parts))))
+        self.pretokens.add(dict(zip(new, self.library.pretokens(new), strict=True)))
+        known = self.pretokens.young.__getitem__
+        cut, whole = (sum(map(known, p)) for p in parts), iter(self.library.texts([t for t, p in zip(texts, plain, strict=True) if not p]))
+        self.words.add({w: next(cut if p else whole) for w, p in zip(words, plain, strict=True)})
+
+    def count(self, texts: list[bytes]) -> list[int]:
+        """For texts of some PIECE bytes together."""
+        words = [t.split() for t in texts]
+        new = self.words.unknown(set(chain.from_iterable(words)))
+        if new:
+            self.learn(new)
+        known = self.words.young.__getitem__
+        return [sum(map(known, w)) for w in words]
+
+    def of(self, texts: list[bytes | None]) -> list[int]:
+        """Texts of any number and length, PIECE bytes or a little more at a time."""
+        out, held, size = np.zeros(len(texts), np.int64), [], 0
+        for k, text in enumerate(texts):
+            for piece in cut(text or b""):
+                held.append((k, piece))
+                size += len(piece)
+                if size >= PIECE:
+                    self.settle(out, held)
+                    held, size = [], 0
+        self.settle(out, held)
+        return out.tolist()
+
+    def settle(self, out: np.ndarray, held: list[tuple[int, bytes]]) -> None:
+        np.add.at(out, [k for k, _ in held], self.count([p for _, p in held]))
 
 
 def cut(text: bytes, size: int = PIECE) -> Iterator[bytes]:
@@ -105,7 +156,7 @@ _kept: dict[tuple, Lengths] = {}  # a worker's caches, by table
 def counter(spark: SparkSession, frequent: list[str], path: str) -> Callable[[str | Column], Column]:
     """A column function: the token count of a text."""
     words = [w.encode() for w in frequent]
-    told = spark.sparkContext.broadcast((b"\n".join(words), encoder(path)(frequent) if frequent else []))
+    told = spark.sparkContext.broadcast((b"\n".join(words), Library(path).texts(frequent)))
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -113,10 +164,10 @@ def counter(spark: SparkSession, frequent: list[str], path: str) -> Callable[[st
         key = (path, hash(joined))
         if key not in _kept:
             _kept.clear()
-            _kept[key] = Lengths(dict(zip(joined.split(b"\n"), lengths, strict=False)) if lengths else {}, encoder(path))
+            _kept[key] = Lengths(dict(zip(joined.split(b"\n"), lengths, strict=False)) if lengths else {}, Library(path))
         of = _kept[key].of
         for texts in batches:
-            yield pa.array([of(x) for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.array(of(texts.cast(pa.binary()).to_pylist()), pa.int64())
 
     return count
 

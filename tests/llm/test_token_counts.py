@@ -11,6 +11,7 @@ from skerry.session import table
 
 PATH = public_tokenizers.path(tokencounts.MODEL)
 FOLDER = "/root/testdata/sf0.01"
+LIBRARY = tokencounts.Library(PATH)
 WHOLE = Tokenizer.from_file(PATH)
 
 
@@ -34,9 +35,10 @@ pieces = st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|", "i
 @given(st.lists(st.one_of(pieces, st.text(max_size=8)), max_size=12).map("".join))
 def test_lengths_add_up(text):
     text = text.encode(errors="ignore").decode()
-    lengths = tokencounts.Lengths({}, tokencounts.encoder(PATH), room=3)  # caches that are emptied all the time
-    assert lengths.of(text.encode()) == lengths.of(text.encode()) == whole(text)
-    assert sum(lengths.of(p) for p in tokencounts.cut(text.encode(), 5)) == whole(text)
+    lengths = tokencounts.Lengths({}, LIBRARY, room=3)  # caches that are emptied all the time
+    n, data = whole(text), text.encode()
+    assert lengths.of([data, None, data]) == lengths.of([data, b"", data]) == [n, 0, n]
+    assert sum(lengths.of(list(tokencounts.cut(data, 5)))) == n
 
 
 def test_table_is_frequent_words_and_changes_nothing(spark):
@@ -44,8 +46,8 @@ def test_table_is_frequent_words_and_changes_nothing(spark):
     words = tokencounts.frequent_words(docs)
     plain = docs.select(F.explode(F.split("text", " ")).alias("w")).where("octet_length(w) between 1 and 32").groupBy("w").count().orderBy(F.desc("count")).limit(20).collect()
     assert {r["w"] for r in plain} <= set(words) and len(words) <= tokencounts.FREQUENT
-    lengths = tokencounts.Lengths({w.encode(): -1 for w in words[:1]}, tokencounts.encoder(PATH))
-    assert lengths.of(f"{words[0]} {words[1]}".encode()) == whole(words[1]) - 1  # the first tier is what answers
+    lengths = tokencounts.Lengths({w.encode(): -1 for w in words[:1]}, LIBRARY)
+    assert lengths.of([f"{words[0]} {words[1]}".encode()]) == [whole(words[1]) - 1]  # the first tier is what answers
 
 
 def test_odd_inputs(spark, odd, none):
