@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def participants(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def integers(column: pa.Array, width: int) -> np.ndarray:
     """A batch of vectors as integers in doubles, filled to one width."""
-    rows = column.to_pylist() if pa.compute.min(pa.compute.list_value_length(column)).as_py() != width else None
+    rows = column.to_pylist() if pc.min(pc.list_value_length(column)).as_py() != width else None
     flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width) if rows is None else np.array([r + [0.0] * (width - len(r)) for r in rows]).reshape(len(rows), width)
     return np.floor(flat * float(SCALE))
 
@@ -146,14 +147,14 @@ class Best:
 
 
 def bounds(quantiser: Quantiser, tables: list[np.ndarray], anchor_norms: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the exact scores, rows x anchors."""
+    """Lower and upper bounds of the exact scores, rows x anchors, within 64 bits as the scores are."""
     near, size = np.zeros((len(codes), anchor_norms.shape[0])), np.zeros((len(codes), len(tables)))
     for m, t in enumerate(tables):
         near += t[codes[:, m]]
         size[:, m] = np.linalg.norm(quantiser.books[m], axis=1)[codes[:, m]]
     slack = (norms * (1 + 1e-9) + size * ((len(tables) + 8) * 2.0**-50)) @ anchor_norms.T  # the second term: rounding of the sums above
     slack *= 1 + 1e-9
-    return near - slack, near + slack
+    return np.clip(near - slack, -EDGE, EDGE), np.clip(near + slack, -EDGE, EDGE)
 
 
 def kth(values: np.ndarray, k: int) -> np.ndarray:
@@ -194,9 +195,9 @@ def searched(quantiser: Quantiser, anchors: dict[str, np.ndarray], windows: np.n
                         sure = fits
                         if windows is not None:
                             top = windows[turn, 1].astype(float)
-                            bottom = 0.8 * top
-                            fits = fits & (hi >= bottom - 1e-6 * np.abs(top)) & (lo <= top)
-                            sure = fits & (lo >= bottom + 1e-6 * np.abs(top)) & (hi <= top)
+                            bottom, margin = 0.8 * top, 1e-6 * np.abs(top)
+                            fits = fits & (hi >= bottom - margin) & (lo <= top + margin)
+                            sure = fits & (lo >= bottom + margin) & (hi <= top - margin)
                         least = np.maximum(kth(np.where(sure, lo, -np.inf), most), best.floor(turn))
                         r, c = np.nonzero(fits & (hi >= least))
                         for p in range(0, len(r), PAIRS):
