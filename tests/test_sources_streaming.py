@@ -1,13 +1,21 @@
 """Ingestion, connectors and streams."""
 
+import csv
+import io
 import json
+import os
+import random
+import re
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from skerry.session import table
-from skerry.sources import connectors, ingest
+from skerry.sources import connectors, ingest, publishing
+from skerry.sources.records import records
 from skerry.streaming import events
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,6 +62,54 @@ def test_arabic_files_and_line_numbers(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_records_over_lines_against_the_csv_module(spark, tmp_path):
+    rng = random.Random(3)
+    want = {}
+    for k in range(40):
+        text = "".join(rng.choice(['"', '"', "a", "b", ",", ",", "\n", "\n", "\r\n", '""', 'é', ';']) for _ in range(rng.randrange(1, 60)))
+        text = re.sub("\r(?!\n)", "", text)
+        (tmp_path / f"{k}.csv").write_bytes(text.encode())
+        reader, rows, line = csv.reader(io.StringIO(text, newline="")), [], 0
+        for n, row in enumerate(reader, 1):
+            rows.append((n, line + 1, len(row)))
+            line = reader.line_num
+        want[f"{k}.csv"] = rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        lines = ingest.decoded_lines(spark, str(tmp_path), "utf-8")
+        assert lines.select("file", "block").distinct().count() > 60
+        got = records(lines, ",", 10**6).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = {}
+    for r in got:
+        by.setdefault(r["file"].rpartition("/")[2], []).append((r["record"], r["physical_line"], r["cells"]))
+    assert {k: sorted(v) for k, v in by.items()} == want
+
+
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path):
+    path, rng = tmp_path / "q.csv", random.Random(4)
+    rows = [[str(i), "".join(rng.choice(['x"', "\n", "\r\n", ",", "yy ", "é"]) for _ in range(rng.randrange(30))), "z"] for i in range(2000)]
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, quoting=csv.QUOTE_ALL)
+    writer.writerow(["row", "te\nxt", "end"])
+    for i, row in enumerate(rows):
+        writer.writerow([*row, "more"] if i % 500 == 7 else row)
+    path.write_bytes((out.getvalue() + "\n" + '5,"never closed,\n\n' + "x" * 40000).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        got = ingest.parse_csv(spark, str(path))
+        assert got.types == {"row": "integer", "te\nxt": "string", "end": "string"}
+        assert {r[0]: r[1] for r in got.accepted.collect()} == {int(r[0]): r[1] for i, r in enumerate(rows) if i % 500 != 7}
+        bad = sorted((r["line"], r["reason"]) for r in got.rejected.collect())
+        assert bad == [*((i + 2, "expected 3 fields, got 4") for i in range(7, 2000, 500)), (2002, "expected 3 fields, got 0"), (2003, "expected 3 fields, got 2")]
+        assert records(ingest.decoded_lines(spark, str(path), "utf-8"), ",", 100).where("value IS NULL AND record = 2003 AND cells = 2").count() == 1  # too long to bring together
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_formula_cells(spark):
     df = spark.createDataFrame([("a,=1+1",), ("a,=cmd|' /C calc'!A0",), ("x,-5",)], "value string")
     assert [r[0] for r in ingest.formula_cells(df).collect()] == ["a,=cmd|' /C calc'!A0"]
@@ -61,14 +117,61 @@ def test_formula_cells(spark):
 
 def test_revisions_are_written_once(spark, tmp_path):
     folder = str(tmp_path / "set")
-    ingest.publish(spark.range(5), folder, 1, ("id",))
-    with pytest.raises(Exception, match="(?i)exist"):
-        ingest.publish(spark.range(5), folder, 1)
     with pytest.raises(ingest.Rejected):
-        ingest.publish(spark.range(5).select((F.col("id") % 2).alias("id")), folder, 2, ("id",))
-    ingest.publish(spark.range(9), folder, 2)
-    assert ingest.latest(spark, folder).count() == 9
-    assert ingest.revisions(spark, folder).agg(ingest.next_revision(None)).first()[0] == 3
+        publishing.published(spark, folder)
+    publishing.publish(spark.range(5), folder, 1, ("id",))
+    with pytest.raises(publishing.Conflict, match="exist"):
+        publishing.publish(spark.range(5), folder, 1)
+    with pytest.raises(ingest.Rejected):
+        publishing.publish(spark.range(5).select((F.col("id") % 2).alias("id")), folder, 2, ("id",))
+    assert publishing.publish(spark.range(9), folder, 4)["previous"] == 1
+    with pytest.raises(publishing.Conflict):
+        publishing.publish(spark.range(9), folder, before=1)
+    assert publishing.publish(spark.range(3), folder, before=4)["revision"] == 5
+    assert [publishing.published(spark, folder, r).count() for r in (None, 1, 4)] == [3, 5, 9]
+    assert publishing.revisions(spark, folder).agg(ingest.next_revision(None)).first()[0] == 6
+
+
+def test_writers_at_once_never_share_a_revision(spark, tmp_path):
+    folder, done, seen, stop = str(tmp_path / "set"), [], [], threading.Event()
+    publishing.publish(spark.range(1), folder)
+
+    def read():
+        while not stop.is_set():
+            _, said = publishing.newest(spark, folder)
+            seen.append((said["revision"], publishing.published(spark, folder, said["revision"]).count(), said["row_count"]))
+
+    def write(k):
+        done.append((publishing.publish(spark.range(k), folder), k))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(write, range(2, 18)))
+    stop.set()
+    reader.join()
+    assert sorted(d["revision"] for d, _ in done) == list(range(2, 18)) and all(d["row_count"] == k and d["previous"] == d["revision"] - 1 for d, k in done)
+    assert all(a == b for _, a, b in seen) and [r for r, _, _ in seen] == sorted(r for r, _, _ in seen) and seen
+    with ThreadPoolExecutor(6) as pool:  # all want the same number
+        got = list(pool.map(lambda k: _outcome(lambda: publishing.publish(spark.range(k), folder, 30)), range(1, 7)))
+    assert sorted(got)[:1] == ["30"] and got.count("conflict") == 5
+    assert len([n for n in os.listdir(folder) if n.startswith("data-")]) == 18  # what lost is gone
+    assert not [n for n in os.listdir(f"{folder}/_commits") if n.startswith(".") and not n.endswith(".crc")]
+
+
+def _outcome(f):
+    try:
+        return str(f()["revision"])
+    except publishing.Conflict:
+        return "conflict"
+
+
+def test_sweep_takes_what_no_commit_names(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    publishing.publish(spark.range(4), folder)
+    spark.range(3).write.parquet(f"{folder}/data-lost")  # a writer died here
+    assert publishing.sweep(spark, folder) == [] and publishing.sweep(spark, folder, age=-5) == ["data-lost"]
+    assert publishing.published(spark, folder).count() == 4
 
 
 def test_watermark(spark):
@@ -153,8 +256,7 @@ def test_zones_keep_paths_inside():
 def test_outbox(spark, tmp_path):
     folder = str(tmp_path / "data")
     for k in (1, 2):
-        ingest.publish(spark.range(k), folder, k)
+        publishing.publish(spark.range(k), folder, k)
     ingest.emit(spark, folder, "revision.published", 2, {"again": True})
-    outbox = spark.read.parquet(f"{folder}/_outbox")
-    left = ingest.undelivered(outbox, spark.createDataFrame([("revision.published:1",)], "id string")).collect()
+    left = ingest.undelivered(publishing.messages(spark, folder), spark.createDataFrame([("revision.published:1",)], "id string")).collect()
     assert [(r["id"], r["revision"]) for r in left] == [("revision.published:2", 2)]
