@@ -406,20 +406,77 @@ def paged_orders(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.lit(total).cast("long").alias("total"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all of a cluster shares."""
+    from uuid import uuid4
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid4().hex}"
+
+
+def delivered(spark: SparkSession, rows: DataFrame, header: str, encoding: str | None = None) -> str:
+    """The lines of rows (value) as files under one header, as a source would deliver them."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1).cast("long")) == 0
+    lines, folder = rows.select(F.when(first, F.concat(F.lit(header + "\n"), "value")).otherwise(F.col("value")).alias("value")), shared_folder(spark, "csv")
+    if encoding:
+        lines = lines.select(F.encode("value", encoding).cast("string").alias("value"))  # bytes as they are
+    lines.write.text(folder)
+    return folder
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey, 'integer' AS key_type, 'string' AS name_type, 0::BIGINT AS rejected FROM nation")
 def parsed_csv(spark: SparkSession, d: str) -> DataFrame:
     """Nations, written as one CSV file to the shared folder and taken in again."""
-    from uuid import uuid4
-
     from skerry.sources.ingest import parse_file
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/csv-{uuid4().hex}"
+    folder = shared_folder(spark, "csv")
     table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).write.option("header", True).csv(folder)
     name = next(r[0] for r in spark.read.format("binaryFile").load(folder).select("path").collect())  # one file
     got = parse_file(spark, name)
     return got.accepted.select("*", F.lit(got.types["n_nationkey"]).alias("key_type"), F.lit(got.types["n_name"]).alias("name_type"), F.lit(got.rejected.count()).cast("long").alias("rejected"))
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang = 'de', false) AS more FROM documents)
+    SELECT 'kept' AS outcome, doc_id::VARCHAR AS doc_id, sha256(t) AS text_sha256, 1::BIGINT AS n FROM d WHERE NOT more AND length(t) <= 32767
+    UNION ALL SELECT 'expected 3 fields, got 4', NULL, NULL, count(*) FROM d WHERE more HAVING count(*) > 0
+    UNION ALL SELECT 'cell exceeds max length', NULL, NULL, count(*) FROM d WHERE NOT more AND length(t) > 32767 HAVING count(*) > 0""")
+def csv_records_over_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents, with their line breaks and quotes, as cells of CSV files; German ones have a cell too many."""
+    from skerry.sources.ingest import parse_csv
+
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = table(spark, d, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.col("source")), quoted(F.col("text")), F.when(F.col("lang") == "de", "more")).alias("value"))
+    got = parse_csv(spark, delivered(spark, rows, "doc_id,source,text"))
+    kept = got.accepted.select(F.lit("kept").alias("outcome"), "doc_id", F.sha2("text", 256).alias("text_sha256"), F.lit(1).cast("long").alias("n"))
+    return kept.unionByName(got.rejected.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
+
+
+LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
+
+
+@query(f"SELECT c_custkey, translate(lower(c_name), '{LATIN}', '{ARABIC}') AS name, round(c_acctbal, 2) AS balance FROM customer")
+def csv_in_arabic_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with Arabic names, delivered in cp1256 with semicolons between the cells."""
+    from skerry.sources.ingest import parse_csv
+
+    rows = table(spark, d, "customer").select(F.concat_ws(";", "c_custkey", F.translate(F.lower("c_name"), LATIN, ARABIC.encode("cp1256").decode("iso-8859-1")), F.format_string("%.2f", "c_acctbal")).alias("value"))
+    got = parse_csv(spark, delivered(spark, rows, "c_custkey;name;balance", "iso-8859-1")).accepted  # the same bytes
+    return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), "name", F.col("balance").cast("double").alias("balance"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY o_orderpriority) AS revision, count(*) AS row_count FROM orders GROUP BY 1)
+    SELECT revision, row_count, row_count AS rows_read, lag(revision) OVER (ORDER BY revision) AS previous, revision = max(revision) OVER () AS current FROM o""")
+def published_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders published priority by priority, and what readers find of each revision."""
+    from skerry.sources import publishing
+
+    orders, folder = table(spark, d, "orders"), shared_folder(spark, "revisions")
+    kinds = sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect())  # five
+    said = [publishing.publish(orders.where(F.col("o_orderpriority") == p), folder, before=k) for k, p in enumerate(kinds)]
+    last = publishing.newest(spark, folder)[1]["revision"]
+    read = [(m["revision"], m["row_count"], publishing.published(spark, folder, m["revision"]).count(), m["previous"], m["revision"] == last) for m in said]
+    return spark.createDataFrame(read, "revision long, row_count long, rows_read long, previous long, current boolean")
+
+
 @query("SELECT CASE WHEN bool_and(try_cast(o_orderkey AS DOUBLE) IS NOT NULL) THEN max(o_orderkey)::VARCHAR END AS numeric_mark, max(o_orderpriority) AS text_mark FROM orders")
 def watermarks(spark: SparkSession, d: str) -> DataFrame:
     from skerry.sources.ingest import watermark
@@ -654,7 +711,18 @@ def point_in_time_features(spark: SparkSession, d: str) -> DataFrame:
     cuts = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), times.literal(datetime(1996, 1, 1)).alias("observed_at"))
     events = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("last_price"), F.col("o_orderkey").alias("place"))
     risk.guard(events, ["last_price", "place"])
-    return risk.point_in_time(events, cuts, ["last_price"], place="place").select("case_id", "last_price")
+    return risk.point_in_time(events, cuts, ["last_price"], place="place", pieces=risk.time_pieces(events, "timestamp")).select("case_id", "last_price")
+
+
+@query("""SELECT q.event_id, arg_max(e.value, (e.ts, e.event_id)) AS last_value, arg_max(e.event_type, (e.ts, e.event_id)) AS last_type
+    FROM events q LEFT JOIN events e ON e.user_id = q.user_id AND e.ts <= q.ts - INTERVAL 1 HOUR GROUP BY q.event_id""")
+def as_of_events(spark: SparkSession, d: str) -> DataFrame:
+    """What was known of an event's user an hour before it, the users' time split into some twenty pieces."""
+    events = table(spark, d, "events")
+    early = events.select("event_id", F.col("user_id").alias("case_id"), F.expr("ts - INTERVAL 1 HOUR").alias("observed_at"))
+    log = events.select(F.col("user_id").alias("case_id"), F.col("ts").alias("timestamp"), F.struct("value").alias("last_value"), F.col("event_type").alias("last_type"), F.col("event_id").alias("place"))
+    known = risk.point_in_time(log, early, ["last_value", "last_type"], place="place", pieces=risk.time_pieces(log, "timestamp", max(1, log.count() // 20)))
+    return early.join(known, [early.case_id.eqNullSafe(known.case_id), early.observed_at.eqNullSafe(known.observed_at)], "left").select("event_id", "last_value.value", "last_type").toDF("event_id", "last_value", "last_type")
 
 
 SCORED = "SELECT toxic AS y, round((l.doc_id * 37 % 101) / 100.0 * 0.7 + toxic * 0.3, 4) AS p FROM labels l WHERE toxic IS NOT NULL"
@@ -704,13 +772,42 @@ def recall_threshold(spark: SparkSession, d: str) -> DataFrame:
     return risk.target_threshold(scored(spark, d), "recall", 0.8)
 
 
+def risk_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents with two features, to learn from and held back."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("toxic").cast("double").alias("y"), F.col("n_chars").cast("double").alias("chars"), F.size(F.split("text", "\n")).cast("double").alias("lines"))
+    return rows.where("doc_id % 4 <> 2"), rows.where("doc_id % 4 = 2")
+
+
 @query()
 def logistic_risk(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("toxic").cast("double").alias("y"), F.col("n_chars").cast("double").alias("chars"), F.size(F.split("text", "\n")).cast("double").alias("lines"))
-    train, held = rows.where("doc_id % 4 <> 2"), rows.where("doc_id % 4 = 2")
+    train, held = risk_rows(spark, d)
     return risk.predict(risk.fit_model(train, ["chars", "lines"]), held).select("doc_id", "y", F.round("p", 6).alias("p"))
 
 
+@query()
+def forest_risk(spark: SparkSession, d: str) -> DataFrame:
+    train, held = risk_rows(spark, d)
+    return risk.predict(risk.fit_model(train, ["chars", "lines"], kind="forest"), held).select("doc_id", "y", F.round("p", 6).alias("p"))
+
+
+@query("""WITH r AS (SELECT l.doc_id, l.toxic::DOUBLE AS y FROM labels l JOIN documents USING (doc_id))
+    SELECT doc_id, y, round((SELECT avg(y) FROM r WHERE doc_id % 4 <> 2), 6) AS p FROM r WHERE doc_id % 4 = 2""")
+def base_rate_risk(spark: SparkSession, d: str) -> DataFrame:
+    train, held = risk_rows(spark, d)
+    return risk.base_rate(train, held).select("doc_id", "y", F.round("p", 6).alias("p"))
+
+
+@query()
+def platt_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a logistic model, calibrated on rows that it wasn't fitted on; the raw ones where these are too few."""
+    train, held = risk_rows(spark, d)
+    model = risk.fit_model(train.where("doc_id % 4 <> 1"), ["chars", "lines"])
+    curve = risk.calibrate(risk.predict(model, train.where("doc_id % 4 = 1")))
+    raw = risk.predict(model, held)
+    out = raw.withColumn("calibrated", F.col("p")) if curve is None else risk.predict(curve, risk.with_logit(raw.withColumnRenamed("p", "raw"), "raw")).withColumnsRenamed({"p": "calibrated", "raw": "p"})
+    return out.select("doc_id", "y", F.round("p", 6).alias("p"), F.round("calibrated", 6).alias("calibrated"))
+
+
 # --- streaming twins in batch form, ingestion and scenarios -----------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
 """Operators against small literals and invariants."""
 
 import json
+import random
 import statistics
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,41 @@ def test_risk(spark):
     assert risk.calibrate(scored) is not None and risk.calibrate(scored.limit(5)) is None
 
 
+@pytest.mark.parametrize("kind", ["logistic", "forest"])
+def test_scores_are_those_of_the_fitted_model(spark, kind):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(i, float((i * 31 + i // 10) % 10 < i % 10), float(i % 10), float(i % 7) * 1e3, 5.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, y double, x double, z double, same double")
+    model = risk.fit_model(df, ["x", "z", "same"], kind=kind)
+    want = {r["id"]: r["q"] for r in model.transform(df).select("id", vector_to_array("probability")[1].alias("q")).collect()}
+    got = risk.predict(model, df)
+    assert got.columns == [*df.columns, "p"] and max(abs(r["p"] - want[r["id"]]) for r in got.collect()) < 1e-9
+    assert len(set(want.values())) > 5
+
+
+def test_as_of_merge_splits_a_large_case(spark):
+    rng = random.Random(1)
+    events = [("hot" if i % 3 else f"c{i % 50}", rng.randrange(900), rng.random(), i) for i in range(1500)] + [(None, 5, 0.5, 1500), ("c1", None, 0.5, 1501), ("hot", 3, None, 1502)]
+    asked = list({(rng.choice(["hot", "hot", "c3", "c7", "new"]), rng.randrange(-5, 905)) for _ in range(400)}) + [("hot", None), (None, 7)]
+    at = lambda s: None if s is None else datetime(2026, 1, 1) + timedelta(seconds=s)
+    log = spark.createDataFrame([(c, at(t), v, p) for c, t, v, p in events], "case_id string, timestamp timestamp_ntz, v double, place long")
+    cuts = spark.createDataFrame([(c, at(t)) for c, t in asked + asked[:9]], "case_id string, observed_at timestamp_ntz")
+
+    def plain(c, t):
+        known = [(s, p, v) for k, s, v, p in events if c is not None and k == c and s is not None and t is not None and s <= t]
+        return max(known, key=lambda r: r[:2])[2] if known else None
+
+    want = sorted(((str(c), str(at(t)), plain(c, t)) for c, t in asked), key=str)
+    pieces = risk.time_pieces(log, "timestamp", 60)
+    assert 15 < len(pieces) < 30 and not risk.time_pieces(log, "timestamp")
+    for cut in (pieces, [], pieces[:1]):
+        got = risk.point_in_time(log, cuts, ["v"], place="place", pieces=cut).collect()
+        assert sorted(((str(r["case_id"]), str(r["observed_at"]), r["v"]) for r in got), key=str) == want
+    sizes = log.select("case_id", risk.piece_of(F.col("timestamp"), pieces).alias("piece")).groupBy("case_id", "piece").count().agg(F.max("count")).first()[0]
+    assert sizes < 120
+
+
 def test_queues(spark):
     rows = [("q", 0, 5, 1), ("q", 1, 5, 2), ("q", 20, 1, 3), ("q", 20, 2, 4), ("r", 3, 1, 5), (None, 3, 1, 6), ("r", None, 1, 7)]
     out = scenario.queue_waits(spark.createDataFrame(rows, "queue string, at long, service long, id long"), "queue", "at", "service", "id")
