@@ -597,10 +597,49 @@ def latency_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("value IS NOT NULL").groupBy("event_type").agg(*monitoring.nearest_rank("value"))
 
 
-@query()
+def bucket_sql(key: str, capacity: int) -> str:
+    """Levels in sixtieths of a millionth of a token, so that all of it is in whole numbers."""
+    full, token = capacity * monitoring.TOKEN, monitoring.TOKEN
+    return f"""WITH RECURSIVE e AS (SELECT {key} AS key, epoch_us(ts) AS us, count(*) AS n, row_number() OVER (PARTITION BY {key} ORDER BY ts) AS i FROM events WHERE ts IS NOT NULL GROUP BY {key}, ts),
+    q AS (SELECT key, us, n, i, least(n, {capacity})::BIGINT AS ok, {full}::BIGINT - least(n, {capacity})::BIGINT * {token} AS level FROM e WHERE i = 1
+        UNION ALL SELECT e.key, e.us, e.n, e.i, least(e.n, least({full}, level + (e.us - q.us) * {capacity}) // {token})::BIGINT, (least({full}, level + (e.us - q.us) * {capacity}) - least(e.n, least({full}, level + (e.us - q.us) * {capacity}) // {token}) * {token})::BIGINT
+        FROM q JOIN e ON e.key IS NOT DISTINCT FROM q.key AND e.i = q.i + 1)
+    SELECT key, sum(ok)::BIGINT AS allowed, sum(n)::BIGINT AS requests FROM q GROUP BY key"""
+
+
+@query(bucket_sql("user_id::VARCHAR", 1))
 def token_bucket_requests(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"))
-    return monitoring.token_bucket(rows, 1).groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("requests"))
+    return monitoring.token_bucket(rows, 1).groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("requests").alias("requests"))
+
+
+@query(bucket_sql("event_type", 2))
+def token_bucket_of_hot_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Five keys with all events, served in some thirty blocks of time."""
+    from skerry.operators.selection import edges
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("at"))
+    cuts = edges(rows, "at", max(1, rows.count() // 30))
+    return monitoring.token_bucket(rows, 2, cuts).groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("requests").alias("requests"))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate NULLS FIRST, l_orderkey, l_linenumber) - 1 AS place FROM lineitem")
+def places_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Every line's place by date, counted over some twenty ranges of dates."""
+    from skerry.operators.selection import edges, placed
+
+    lines = table(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return placed(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], "place", edges(lines, "l_shipdate", max(1, lines.count() // 20))).drop("l_shipdate")
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, count(l_extendedprice) AS n FROM lineitem GROUP BY 1""")
+def quantiles_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of three large groups, selected over some fifty counted ranges of prices."""
+    from skerry.operators.selection import edges, quantile, ranked
+
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    known = ranked(lines, ["l_returnflag"], "l_extendedprice", edges(lines, "l_extendedprice", max(1, lines.count() // 50)))
+    return known.groupBy("l_returnflag").agg(F.round(quantile("l_extendedprice", 0.5), 4).alias("median"), F.round(quantile("l_extendedprice", 0.99), 4).alias("p99"), F.max("known").alias("n"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------

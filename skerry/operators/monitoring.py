@@ -10,12 +10,14 @@ from __future__ import annotations
 from bisect import insort
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from skerry.functions.times import literal
+from skerry.operators.selection import edges, placed, range_of
 
 TIME_NAMES = ("created_at", "timestamp", "ds", "date")
 RULE_SETTINGS = 50
@@ -107,10 +109,10 @@ def new_episodes(found: DataFrame, open_episodes: DataFrame) -> DataFrame:
     return named.join(open_episodes.select("rule_id", "episode_identity"), ["rule_id", "episode_identity"], "left_anti")
 
 
-def load_series(df: DataFrame, order: list[str], series_id: str) -> DataFrame:
+def load_series(df: DataFrame, order: list[str], series_id: str, rows: int | None = None) -> DataFrame:
     """(series_id, i, y) of a dataset: the first numeric column in the given order, else how many rows each value of the first time
-    column has. `order` names the columns rows go by, as a table has no order of its own; a dataset with neither is refused. A
-    series is a bounded group, as everywhere in this module."""
+    column has. `order` names the columns rows go by, as a table has no order of its own; a dataset with neither is refused. Places are
+    counted over ranges of the order (of about `rows` rows), so a series may have any length; the detectors that fold a series take the last MAX_BUCKETS of its points."""
     numbers = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in order]
     clocks = [c for c in df.columns if c in TIME_NAMES]
     if numbers:
@@ -119,7 +121,7 @@ def load_series(df: DataFrame, order: list[str], series_id: str) -> DataFrame:
         points, order = df.groupBy(clocks[0]).agg(F.count(F.lit(1)).cast("double").alias("y")), clocks[:1]
     else:
         raise ValueError("no numeric and no time column")
-    return points.select(F.lit(series_id).alias("series_id"), (F.row_number().over(Window.partitionBy(F.lit(series_id)).orderBy(*order)) - 1).cast("long").alias("i"), "y")
+    return placed(points, order, "i", edges(points, order[0], rows)).select(F.lit(series_id).alias("series_id"), "i", "y")
 
 
 def evaluate_rules(rules: DataFrame, series: DataFrame, open_episodes: DataFrame) -> DataFrame:
@@ -171,20 +173,81 @@ def last_of(df: DataFrame, order: str, n: int = 1000) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(n)
 
 
-def token_bucket(requests: DataFrame, capacity: int) -> DataFrame:
-    """(key, at, allowed): requests (key, at) against buckets of `capacity` that refill by capacity / 60 a second."""
+TOKEN = 60_000_000  # one token, in what a bucket of capacity 1 gains a microsecond
+
+
+def served(level: int, times: np.ndarray, counts: np.ndarray, last: int, capacity: int) -> tuple[int, np.ndarray]:
+    """The level after all requests (times in microseconds, counts at each) from a level at `last`, and how many of each time are allowed."""
+    allowed, full = np.zeros(len(times), np.int64), capacity * TOKEN
+    for k, (at, n) in enumerate(zip(times.tolist(), counts.tolist(), strict=True)):
+        level = min(full, level + (at - last) * capacity)
+        last, allowed[k] = at, min(n, level // TOKEN)
+        level -= int(allowed[k]) * TOKEN
+    return level, allowed
+
+
+def effect(times: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[int], list[int], list[bool]]:
+    """What a block of requests does to the level it starts with, as a table: from `low` on the level ends at `value`, or at the
+    level plus `value` where `shifts`. Requests turn a piece of it into a few more at most, as a level shifts, is capped, or pays for
+    another token; pieces are joined again where they agree. A table has about capacity + 2 rows, however many requests it stands for."""
+    full = capacity * TOKEN
+    low, value, shifts, last = [0], [0], [True], int(times[0])
+    for at, n in zip(times.tolist(), counts.tolist(), strict=True):
+        new: list[tuple[int, int, bool]] = []
+        gain, last = (at - last) * capacity, at
+        for k, (a, v, s) in enumerate(zip(low, value, shifts, strict=True)):
+            end = low[k + 1] if k + 1 < len(low) else full + 1
+            if not s:
+                new.append((a, (x := min(full, v + gain)) - min(n, x // TOKEN) * TOKEN, False))
+                continue
+            while a < end:  # levels a.. of this piece come to a + v + gain, capped
+                x = a + v + gain
+                if x >= full:
+                    new.append((a, full - min(n, capacity) * TOKEN, False))
+                    break
+                paid = min(n, x // TOKEN)
+                new.append((a, v + gain - paid * TOKEN, True))
+                a = min(full if paid == n else (paid + 1) * TOKEN, full) - v - gain
+        kept = [r for k, r in enumerate(new) if not k or r[1:] != new[k - 1][1:]]
+        low, value, shifts = (list(c) for c in zip(*kept, strict=True))
+    return low, value, shifts
+
+
+def token_bucket(requests: DataFrame, capacity: int, cuts: list | None = None) -> DataFrame:
+    """(key, at, requests, allowed) for each key and time of requests (key, at): buckets of `capacity` start full and refill by capacity / 60 a
+    second, and of requests at one time as many are allowed as there are whole tokens.
+
+    Time is cut into blocks (`cuts`, by default edges of equal size for a large input), so a key with very many requests is spread over tasks: each
+    block's effect() is a small table, the tables of a key are applied one after the other to find the level each block starts with, and then
+    the blocks are served side by side."""
+    counted = requests.where("at IS NOT NULL").groupBy(F.col("key").cast("string").alias("key"), "at").agg(F.count(F.lit(1)).alias("requests"))
+    cuts = edges(requests, "at") if cuts is None else cuts
+    rows = counted.withColumn("block", range_of(F.col("at"), cuts)).withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
+    full = capacity * TOKEN
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("us")
+        low, value, shifts = effect(pdf["us"].to_numpy(), pdf["requests"].to_numpy(), capacity)
+        one = pdf.iloc[:1]
+        return pd.DataFrame({"key": one["key"], "block": one["block"], "first": one["us"], "last": pdf["us"].iloc[-1:].to_numpy(), "low": [low], "value": [value], "shifts": [shifts]})
 
     def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        left, last, allowed = float(capacity), None, []
-        for at in pdf["at"]:
-            left = min(capacity, left + (at - last).total_seconds() * capacity / 60) if last is not None else left
-            last = at
-            allowed.append(left >= 1)
-            left -= allowed[-1]
-        return pd.DataFrame({"key": pdf["key"], "at": pdf["at"], "allowed": allowed})
-
-    return requests.select(F.col("key").cast("string").alias("key"), "at").groupBy("key").applyInPandas(serve, "key string, at timestamp_ntz, allowed boolean")
+        pdf = pdf.sort_values("us")
+        times = pdf["us"].to_numpy()
+        _, allowed = served(int(pdf["level"].iloc[0]), times, pdf["requests"].to_numpy(), int(times[0]), capacity)
+        return pd.DataFrame({"key": pdf["key"], "at": pdf["at"], "requests": pdf["requests"], "allowed": allowed})
+
+    if cuts:
+        tables = rows.groupBy("key", "block").applyInPandas(told, "key string, block int, first long, last long, low array<long>, value array<long>, shifts array<boolean>")
+        # one row for a key and block; the fold keeps (block, level at its first request) of the blocks so far
+        begin = f"""aggregate(array_sort(collect_list(struct(block, first, last, low, value, shifts))), named_struct('level', {full}L, 'last', cast(null AS bigint), 'found', cast(array() AS array<struct<block:int,level:bigint>>)),
+            (a, b) -> transform(array(least({full}L, a.level + coalesce(b.first - a.last, 0L) * {capacity}L)), level -> transform(array(size(filter(b.low, x -> x <= level)) - 1), k ->
+                named_struct('level', if(b.shifts[k], level + b.value[k], b.value[k]), 'last', b.last, 'found', concat(a.found, array(named_struct('block', b.block, 'level', level)))))[0])[0], a -> a.found)"""
+        levels = tables.groupBy("key").agg(F.expr(begin).alias("found")).select(F.col("key").alias("_key"), F.explode("found").alias("x")).select("_key", F.col("x.block").alias("_block"), F.col("x.level").alias("level"))
+        rows = rows.join(levels, F.col("key").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block"))).drop("_key", "_block")
+    else:
+        rows = rows.withColumn("level", F.lit(full).cast("long"))
+    return rows.groupBy("key", "block").applyInPandas(serve, "key string, at timestamp_ntz, requests long, allowed long")
 
 
 def expired_leases(runs: DataFrame, now, seconds: int = 300) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.times import UNIT_SECONDS, as_timestamp, literal, seconds_between
+from skerry.operators.selection import Edges, at_place, edges, quantile, ranked
 
 # Activities that close a case unless the caller names others.
 CLOSED = ("closed", "resolved", "completed", "done", "cancelled")
@@ -26,11 +27,15 @@ def with_neighbours(log: DataFrame) -> DataFrame:
     return log.select("*", seconds_between(before, F.col("ts")).alias("waiting_s"), seconds_between(F.col("ts"), after).alias("duration_s"), F.lag("event").over(order).alias("prev_event"), F.lead("event").over(order).alias("next_event"))
 
 
-def bottlenecks(log: DataFrame, unit: str = "hours") -> DataFrame:
-    """A case's last event counts but has no duration, its first one no waiting time."""
-    span, wait = F.col("duration_s") / UNIT_SECONDS[unit], F.col("waiting_s") / UNIT_SECONDS[unit]
-    out = with_neighbours(log).groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(span), 3).alias("median"), F.round(F.avg(span), 3).alias("avg"), F.round(F.median(wait), 3).alias("waiting_time"))
-    return out.withColumnRenamed("event", "activity").orderBy(F.desc_nulls_last("median"), "activity")
+def bottlenecks(log: DataFrame, unit: str = "hours", cuts: Edges | None = None) -> DataFrame:
+    """A case's last event counts but has no duration, its first one no waiting time. Medians are selected over counted ranges."""
+    spans = F.array(F.struct(F.lit("d").alias("side"), (F.col("duration_s") / UNIT_SECONDS[unit]).alias("span")), F.struct(F.lit("w").alias("side"), (F.col("waiting_s") / UNIT_SECONDS[unit]).alias("span")))
+    times = with_neighbours(log).select("event", F.explode(spans).alias("x")).select("event", "x.*")
+    known = ranked(times, ["event", "side"], "span", edges(times, "span") if cuts is None else cuts)
+    sides = known.groupBy("event", "side").agg(F.max("n").alias("n"), quantile("span", 0.5).alias("mid"), F.try_divide(F.sum(F.col("span") * F.col("times")), F.max("known")).alias("avg"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    out = sides.groupBy(F.col("event").alias("activity")).agg(F.max("n").alias("n"), F.round(of("d", "mid"), 3).alias("median"), F.round(of("d", "avg"), 3).alias("avg"), F.round(of("w", "mid"), 3).alias("waiting_time"))
+    return out.orderBy(F.desc_nulls_last("median"), "activity")
 
 
 def traces(log: DataFrame) -> DataFrame:
@@ -92,21 +97,12 @@ def sla_summary(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("total_cases"), *(F.count_if(F.col("sla_status") == s).alias(s) for s in ("met", "in_progress", "breached")))
 
 
-def throughput(log: DataFrame, unit: str = "hours") -> DataFrame:
-    """Time in each stage. p90 is the value at place round(0.9 (n - 1)) of the sorted times.
-
-    Equal times are counted before they are ranked, and ranks are running sums, so no stage's times are gathered in one row.
-    """
-    counted = with_neighbours(log).groupBy(F.col("event").alias("stage"), (F.col("duration_s") / UNIT_SECONDS[unit]).alias("span")).agg(F.count(F.lit(1)).alias("c"))
-    sizes = counted.groupBy("stage").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("span").isNotNull(), F.col("c"))).alias("timed"))
-    ranked = counted.where("span IS NOT NULL").withColumn("upto", F.sum("c").over(Window.partitionBy("stage").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.col("timed") - 1
-
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("upto") > place, F.col("span")))
-
-    picked = ranked.join(sizes.select("stage", "timed"), "stage").groupBy("stage").agg(F.min("span").alias("lo"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("mid"), F.max("span").alias("hi"), at(F.floor(last * F.lit(0.9) + 0.5)).alias("p90"))
-    out = sizes.join(picked, "stage", "left").select("stage", "n", F.round("lo", 3).alias("min"), F.round("mid", 3).alias("median"), F.round("hi", 3).alias("max"), F.round("p90", 3).alias("p90"))
+def throughput(log: DataFrame, unit: str = "hours", cuts: Edges | None = None) -> DataFrame:
+    """Time in each stage, selected over counted ranges. p90 is the value at place round(0.9 (n - 1)) of the sorted times."""
+    times = with_neighbours(log).select(F.col("event").alias("stage"), (F.col("duration_s") / UNIT_SECONDS[unit]).alias("span"))
+    known = ranked(times, ["stage"], "span", edges(times, "span") if cuts is None else cuts)
+    p90 = at_place("span", F.floor((F.col("known") - 1) * F.lit(0.9) + 0.5))
+    out = known.groupBy("stage").agg(F.max("n").alias("n"), F.round(F.min("span"), 3).alias("min"), F.round(quantile("span", 0.5), 3).alias("median"), F.round(F.max("span"), 3).alias("max"), F.round(p90, 3).alias("p90"))
     return out.orderBy(F.desc_nulls_last("median"), "stage")
 
 

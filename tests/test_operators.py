@@ -5,12 +5,13 @@ import random
 import statistics
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import text as words
 from skerry.functions.times import duration_seconds
-from skerry.operators import forecasting, monitoring, process, quality, registry, risk, scenario
+from skerry.operators import forecasting, monitoring, process, quality, registry, risk, scenario, selection
 from skerry.plans import adhoc, metrics
 from skerry.plans.adhoc import Filter, Measure, Query, QueryError
 from skerry.plans.metrics import Metric
@@ -172,6 +173,47 @@ def test_as_of_merge_splits_a_large_case(spark):
     assert sizes < 120
 
 
+def test_selection_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), None if i % 17 == 0 else float(rng.choice([rng.randrange(30), rng.lognormvariate(3, 3)]))) for i in range(3000)] + [("c", None), ("d", 1.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert selection.edges(df, "v") == []
+    cuts = selection.edges(df, "v", 100)
+    assert 20 < len(cuts) <= 30
+    for c in (cuts, []):
+        got = selection.ranked(df, ["k"], "v", c).groupBy("k").agg(F.max("n").alias("n"), *(selection.quantile("v", q).alias(f"q{i}") for i, q in enumerate((0, 0.31, 0.5, 1)))).collect()
+        for r in got:
+            own = sorted(v for k, v in rows if k == r["k"] and v is not None)
+            want = [np.quantile(own, q) if own else None for q in (0, 0.31, 0.5, 1)]
+            assert r["n"] == sum(k == r["k"] for k, _ in rows) and all((r[f"q{i}"] is None) if w is None else r[f"q{i}"] == pytest.approx(w, rel=1e-12) for i, w in enumerate(want))
+        ranges = selection.ranked(df, ["k"], "v", c)._jdf.queryExecution().toString()
+        assert "percentile" not in ranges
+        at = selection.placed(df, ["v", "k"], "i", c).orderBy("i").collect()
+        assert [r["i"] for r in at] == list(range(len(rows))) and [r["v"] for r in at] == sorted((v for _, v in rows), key=lambda v: (v is not None, v))
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 20])
+def test_token_bucket_in_blocks(spark, capacity):
+    rng, start, at, rows = random.Random(capacity), datetime(2026, 1, 1), 0, []
+    for _ in range(700):
+        at += rng.choice([0, 1, 7, 50, 4_000_000, 61_000_000, 9 * 10**9]) * rng.randrange(2)
+        rows.append((rng.choice(["hot", "hot", "hot", "k", None]), start + timedelta(microseconds=at)))
+    want, state = {}, {}
+    for key, t in rows:
+        level, last = state.get(key, (capacity * monitoring.TOKEN, t))
+        level = min(capacity * monitoring.TOKEN, level + (t - last) // timedelta(microseconds=1) * capacity)
+        ok = level >= monitoring.TOKEN
+        state[key] = (level - ok * monitoring.TOKEN, t)
+        n, yes = want.get((key, t), (0, 0))
+        want[key, t] = (n + 1, yes + ok)
+    df = spark.createDataFrame(rows, "key string, at timestamp_ntz")
+    cuts = selection.edges(df, "at", 30)
+    assert len(cuts) > 15
+    for c in (cuts, []):
+        got = monitoring.token_bucket(df, capacity, c).collect()
+        assert {(r["key"], r["at"]): (r["requests"], r["allowed"]) for r in got} == want and len(got) == len(want)
+
+
 def test_queues(spark):
     rows = [("q", 0, 5, 1), ("q", 1, 5, 2), ("q", 20, 1, 3), ("q", 20, 2, 4), ("r", 3, 1, 5), (None, 3, 1, 6), ("r", None, 1, 7)]
     out = scenario.queue_waits(spark.createDataFrame(rows, "queue string, at long, service long, id long"), "queue", "at", "service", "id")
