@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text as words
 from skerry.functions import times
-from skerry.operators import forecasting, monitoring, process, quality, registry, risk
+from skerry.operators import forecasting, monitoring, process, quality, registry, risk, selection
 from skerry.plans import adhoc, metrics
 from skerry.plans.adhoc import Filter, Measure, Query
 from skerry.plans.metrics import Metric
@@ -463,6 +463,24 @@ def csv_in_arabic_encoding(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), "name", F.col("balance").cast("double").alias("balance"))
 
 
+CONTROL_SQL = """WITH c AS (SELECT o_custkey AS k, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS t, o_orderpriority = '5-LOW' AS gone, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey % 3 DESC, o_orderkey DESC) AS r FROM orders),
+    o AS (SELECT *, lag(CASE WHEN gone THEN 'gone' ELSE concat_ws('|', status, price) END) OVER (PARTITION BY k ORDER BY t) AS before, CASE WHEN gone THEN 'gone' ELSE concat_ws('|', status, price) END AS now FROM c WHERE r = 1),
+    v AS (SELECT k, status, price, gone, t AS valid_from, lead(t) OVER (PARTITION BY k ORDER BY t) AS valid_to FROM o WHERE before IS NULL OR before <> now)"""
+
+
+@query(CONTROL_SQL + " SELECT k AS o_custkey, CASE WHEN NOT gone THEN status END AS status, CASE WHEN NOT gone THEN round(price, 2) END AS price, gone AS tombstone, valid_from, valid_to FROM v")
+def control_table_history(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' last orders as a control table: three merges, orders of low priority being tombstones."""
+    from skerry.sources import control
+
+    folder, orders = shared_folder(spark, "control"), table(spark, d, "orders")
+    changes = orders.select("o_custkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("at"), (F.col("o_orderpriority") == "5-LOW").alias("deleted"), "o_orderkey")
+    for k in range(3):
+        control.upsert(changes.where(F.col("o_orderkey") % 3 == k), folder, ["o_custkey"], place="o_orderkey")
+    rows = control.history(spark, folder)
+    return rows.select("o_custkey", *(F.when(~F.col("tombstone"), F.col(c)).alias(c) for c in ("status",)), F.when(~F.col("tombstone"), F.round("price", 2)).alias("price"), "tombstone", "valid_from", "valid_to")
+
+
 @query("""WITH o AS (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY o_orderpriority) AS revision, count(*) AS row_count FROM orders GROUP BY 1)
     SELECT revision, row_count, row_count AS rows_read, lag(revision) OVER (ORDER BY revision) AS previous, revision = max(revision) OVER () AS current FROM o""")
 def published_revisions(spark: SparkSession, d: str) -> DataFrame:
@@ -616,30 +634,42 @@ def token_bucket_requests(spark: SparkSession, d: str) -> DataFrame:
 @query(bucket_sql("event_type", 2))
 def token_bucket_of_hot_keys(spark: SparkSession, d: str) -> DataFrame:
     """Five keys with all events, served in some thirty blocks of time."""
-    from skerry.operators.selection import edges
-
     rows = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("ts").alias("at"))
-    cuts = edges(rows, "at", max(1, rows.count() // 30))
+    cuts = selection.edges(rows, "at", max(1, rows.count() // 30))
     return monitoring.token_bucket(rows, 2, cuts).groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("requests").alias("requests"))
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate NULLS FIRST, l_orderkey, l_linenumber) - 1 AS place FROM lineitem")
 def places_by_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Every line's place by date, counted over some twenty ranges of dates."""
-    from skerry.operators.selection import edges, placed
-
     lines = table(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
-    return placed(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], "place", edges(lines, "l_shipdate", max(1, lines.count() // 20))).drop("l_shipdate")
+    return selection.placed(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], "place", selection.edges(lines, "l_shipdate", max(1, lines.count() // 20))).drop("l_shipdate")
 
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, count(l_extendedprice) AS n FROM lineitem GROUP BY 1""")
 def quantiles_by_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles of three large groups, selected over some fifty counted ranges of prices."""
-    from skerry.operators.selection import edges, quantile, ranked
-
     lines = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
-    known = ranked(lines, ["l_returnflag"], "l_extendedprice", edges(lines, "l_extendedprice", max(1, lines.count() // 50)))
-    return known.groupBy("l_returnflag").agg(F.round(quantile("l_extendedprice", 0.5), 4).alias("median"), F.round(quantile("l_extendedprice", 0.99), 4).alias("p99"), F.max("known").alias("n"))
+    known = selection.ranked(lines, ["l_returnflag"], "l_extendedprice", selection.edges(lines, "l_extendedprice", max(1, lines.count() // 50)))
+    return known.groupBy("l_returnflag").agg(F.round(selection.quantile("l_extendedprice", 0.5), 4).alias("median"), F.round(selection.quantile("l_extendedprice", 0.99), 4).alias("p99"), F.max("known").alias("n"))
+
+
+ETS_SQL = f"""WITH RECURSIVE p AS (SELECT series_id, i::BIGINT AS i, y::DOUBLE AS y FROM (SELECT o_orderpriority AS series_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY m) - 1 AS i, n AS y FROM (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL))),
+    a AS (SELECT series_id, list(y ORDER BY i) AS y, count(*) AS len FROM p GROUP BY 1 HAVING count(*) >= {forecasting.MIN_PERIODS}),
+    g(model, alpha, beta, gamma, k, place) AS (VALUES {", ".join(str((*row, n)) for n, row in enumerate(forecasting.ets_grid(12)))}),
+    r AS (SELECT a.*, g.*, CASE WHEN len >= 24 THEN 12 ELSE 2 END AS begin FROM a, g WHERE model NOT LIKE '__A' OR len >= 24),
+    q AS (SELECT series_id, place, y, len, begin, begin::BIGINT AS i, list_sum(y[1:begin]) / begin AS level, CASE WHEN model LIKE '_A_' THEN (y[begin] - y[1]) / (begin - 1) ELSE 0.0::DOUBLE END AS trend,
+            CASE WHEN model LIKE '__A' THEN list_transform(y[1:begin], lambda v: v - list_sum(y[1:begin]) / begin) ELSE [0.0::DOUBLE] END AS s, 0.0::DOUBLE AS sse, alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, gamma::DOUBLE AS gamma FROM r
+        UNION ALL SELECT series_id, place, y, len, begin, i + 1, level + trend + alpha * e, trend + alpha * beta * e, list_append(s[2:], s[1] + gamma * e), sse + e * e, alpha, beta, gamma FROM (SELECT *, y[i + 1] - level - trend - s[1] AS e FROM q WHERE i < len)),
+    c AS (SELECT q.series_id, g.model, q.alpha, q.beta, q.gamma, g.place, (q.len - q.begin) * ln(greatest(sse / (q.len - q.begin), 1e-12)) + 2 * k + 2 * k * (k + 1) / (q.len - q.begin - k - 1) AS aicc, level + trend + s[1] AS yhat FROM q JOIN g USING (place) WHERE i = len AND q.len - q.begin > k + 1)
+    SELECT series_id, model, alpha, beta, gamma, round(aicc, 4) AS aicc, round(yhat, 4) AS yhat FROM c QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aicc, place) = 1"""
+
+
+@query(ETS_SQL)
+def ets_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The best exponential smoothing of the monthly orders of each priority."""
+    months = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.date_trunc("month", "o_orderdate").alias("ds")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return forecasting.ets(metrics.numbered(months, ["series_id"]), 12)
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
@@ -750,7 +780,7 @@ def point_in_time_features(spark: SparkSession, d: str) -> DataFrame:
     cuts = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), times.literal(datetime(1996, 1, 1)).alias("observed_at"))
     events = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("last_price"), F.col("o_orderkey").alias("place"))
     risk.guard(events, ["last_price", "place"])
-    return risk.point_in_time(events, cuts, ["last_price"], place="place", pieces=risk.time_pieces(events, "timestamp")).select("case_id", "last_price")
+    return risk.point_in_time(events, cuts, ["last_price"], place="place", pieces=selection.edges(events, "timestamp")).select("case_id", "last_price")
 
 
 @query("""SELECT q.event_id, arg_max(e.value, (e.ts, e.event_id)) AS last_value, arg_max(e.event_type, (e.ts, e.event_id)) AS last_type
@@ -760,7 +790,7 @@ def as_of_events(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     early = events.select("event_id", F.col("user_id").alias("case_id"), F.expr("ts - INTERVAL 1 HOUR").alias("observed_at"))
     log = events.select(F.col("user_id").alias("case_id"), F.col("ts").alias("timestamp"), F.struct("value").alias("last_value"), F.col("event_type").alias("last_type"), F.col("event_id").alias("place"))
-    known = risk.point_in_time(log, early, ["last_value", "last_type"], place="place", pieces=risk.time_pieces(log, "timestamp", max(1, log.count() // 20)))
+    known = risk.point_in_time(log, early, ["last_value", "last_type"], place="place", pieces=selection.edges(log, "timestamp", max(1, log.count() // 20)))
     return early.join(known, [early.case_id.eqNullSafe(known.case_id), early.observed_at.eqNullSafe(known.observed_at)], "left").select("event_id", "last_value.value", "last_type").toDF("event_id", "last_value", "last_type")
 
 

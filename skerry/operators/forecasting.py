@@ -218,3 +218,53 @@ def chosen(evaluated: DataFrame) -> DataFrame:
     best = evaluated.groupBy("series_id").agg(pick(base).alias("b"), pick(~base).alias("c"))
     better = F.col("b").isNull() | (F.col("c.mase") < F.col("b.mase") * (1 - MARGIN))
     return best.select("series_id", F.coalesce(F.when(better, F.col("c.model")), F.col("b.model"), F.lit("Naive")).alias("model"))
+
+
+# The grid of smoothing weights that ets() searches.
+ALPHAS, BETAS, GAMMAS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.1, 0.3, 0.5), (0.1, 0.3, 0.5)
+
+
+def ets_grid(season: int) -> list[tuple[str, float, float, float, int]]:
+    """(model, alpha, beta, gamma, parameters): additive exponential smoothing with or without trend and season. Parameters are the weights,
+    the starting values and the variance."""
+    out = []
+    for trend in (False, True):
+        for seasonal in (False, True):
+            name = f"A{'A' if trend else 'N'}{'A' if seasonal else 'N'}"
+            for a in ALPHAS:
+                out += [(name, a, b, g, 3 + 2 * trend + season * seasonal) for b in (BETAS if trend else (0.0,)) for g in (GAMMAS if seasonal else (0.0,))]
+    return out
+
+
+def ets(series: DataFrame, season: int = 7) -> DataFrame:
+    """(series_id, model, alpha, beta, gamma, aicc, yhat): of all rows of ets_grid() the one with the least corrected information criterion, for each series
+    (series_id, i, y), and its forecast of the next point.
+
+    Each grid row is a row beside the series' ordered points, which an aggregate() folds into level, trend, season and squared errors. All
+    models start from the same first points (a season of them, where there are two seasons at least; else two, and models with a season are left
+    out) and are judged on the same rest, so their criteria can be compared. Series shorter than MIN_PERIODS are left out."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("y").cast("double").alias("y")))), lambda p: p["y"])
+    rows = series.groupBy("series_id").agg(points.alias("y")).where(F.size("y") >= MIN_PERIODS)
+    rows = rows.withColumn("begin", F.when(F.size("y") >= 2 * season, season).otherwise(2))
+    grid = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma"), F.lit(k).alias("k"), F.lit(n).alias("place")) for n, (m, a, b, g, k) in enumerate(ets_grid(season))))
+    rows = rows.withColumn("x", F.explode(grid)).select("series_id", "y", "begin", "x.*").where(~F.col("model").endswith("A") | (F.col("begin") == season))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    first = F.slice("y", F.lit(1), F.col("begin"))
+    rows = rows.withColumn("level", total(first) / F.col("begin")).withColumn("trend", F.when(F.substring("model", 2, 1) == "A", (F.get("y", F.col("begin") - 1) - F.get("y", F.lit(0))) / (F.col("begin") - 1)).otherwise(0.0))
+    rows = rows.withColumn("seasons", F.when(F.col("model").endswith("A"), F.transform(first, lambda v: v - F.col("level"))).otherwise(F.array(F.lit(0.0))))
+
+    def state(level: Column, trend: Column, seasons: Column, sse: Column) -> Column:
+        return F.struct(level.alias("level"), trend.alias("trend"), seasons.alias("seasons"), sse.alias("sse"))
+
+    def step(at: Column, y: Column) -> Column:
+        now = F.get(at["seasons"], F.lit(0))
+        moved = lambda e: state(at["level"] + at["trend"] + F.col("alpha") * e, at["trend"] + F.col("alpha") * F.col("beta") * e, F.concat(F.slice(at["seasons"], F.lit(2), F.size(at["seasons"])), F.array(now + F.col("gamma") * e)), at["sse"] + e * e)
+        return F.get(F.transform(F.array(y - at["level"] - at["trend"] - now), moved), F.lit(0))
+
+    rest = F.slice("y", F.col("begin") + 1, F.size("y"))
+    rows = rows.withColumn("end", F.aggregate(rest, state(F.col("level"), F.col("trend"), F.col("seasons"), F.lit(0.0)), step)).withColumn("n", F.size("y") - F.col("begin"))
+    rows = rows.where(F.col("n") > F.col("k") + 1)
+    aicc = F.col("n") * F.log(F.greatest(F.col("end.sse") / F.col("n"), F.lit(1e-12))) + 2 * F.col("k") + 2 * F.col("k") * (F.col("k") + 1) / (F.col("n") - F.col("k") - 1)
+    rows = rows.withColumn("aicc", aicc).withColumn("yhat", F.col("end.level") + F.col("end.trend") + F.get("end.seasons", F.lit(0)))
+    best = rows.groupBy("series_id").agg(F.min_by(F.struct("model", "alpha", "beta", "gamma", "aicc", "yhat"), F.struct("aicc", "place")).alias("b"))
+    return best.select("series_id", "b.model", "b.alpha", "b.beta", "b.gamma", F.round("b.aicc", 4).alias("aicc"), F.round("b.yhat", 4).alias("yhat"))

@@ -244,7 +244,7 @@ def token_bucket(requests: DataFrame, capacity: int, cuts: list | None = None) -
             (a, b) -> transform(array(least({full}L, a.level + coalesce(b.first - a.last, 0L) * {capacity}L)), level -> transform(array(size(filter(b.low, x -> x <= level)) - 1), k ->
                 named_struct('level', if(b.shifts[k], level + b.value[k], b.value[k]), 'last', b.last, 'found', concat(a.found, array(named_struct('block', b.block, 'level', level)))))[0])[0], a -> a.found)"""
         levels = tables.groupBy("key").agg(F.expr(begin).alias("found")).select(F.col("key").alias("_key"), F.explode("found").alias("x")).select("_key", F.col("x.block").alias("_block"), F.col("x.level").alias("level"))
-        rows = rows.join(levels, F.col("key").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block"))).drop("_key", "_block")
+        rows = rows.join(levels, F.col("key").eqNullSafe(F.col("_key")) & F.col("block").eqNullSafe(F.col("_block"))).drop("_key", "_block")
     else:
         rows = rows.withColumn("level", F.lit(full).cast("long"))
     return rows.groupBy("key", "block").applyInPandas(serve, "key string, at timestamp_ntz, requests long, allowed long")

@@ -47,18 +47,19 @@ def range_of(value: Column, cuts: Edges) -> Column:
 def ranked(df: DataFrame, keys: list[str], value: str, cuts: Edges = ()) -> DataFrame:
     """(keys, value, times, upto, known, n): each value of a group once, how often it occurs, how many values are at or below it, how many of the group aren't null, and the
     group's rows. Equal values are counted before they are sorted."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("times"))
+    if cuts:  # a grouping column, so that the optimiser doesn't put the lookup into join conditions
+        df = df.withColumn("_range", range_of(F.col(value), cuts))
+    counted = df.groupBy(*keys, value, *(["_range"] if cuts else [])).agg(F.count(F.lit(1)).alias("times"))
     real = F.when(F.col(value).isNotNull(), F.col("times")).otherwise(0)
     running = lambda by: by.rowsBetween(Window.unboundedPreceding, 0)
     if not cuts:
         group = Window.partitionBy(*keys)
         return counted.select("*", F.sum(real).over(running(group.orderBy(value))).alias("upto"), F.sum(real).over(group).alias("known"), F.sum("times").over(group).alias("n"))
-    counted = counted.withColumn("_range", range_of(F.col(value), cuts))
     sums = counted.groupBy(*keys, "_range").agg(F.sum(real).alias("_real"), F.sum("times").alias("_times"))
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_real").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_of"), before.alias("_before"), F.sum("_real").over(group).alias("known"), F.sum("_times").over(group).alias("n"))
-    same = F.col("_range") == F.col("_of")
+    same = F.col("_range").eqNullSafe(F.col("_of"))  # a plain equality lets the optimiser carry the lookup of _range to the other side, without its value
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     inside = Window.partitionBy(*keys, "_range")
@@ -86,4 +87,4 @@ def placed(df: DataFrame, order: list[str], name: str, cuts: Edges = ()) -> Data
         return rows.withColumn(name, place).drop("_range")
     sums = rows.groupBy(F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))  # SAMPLE rows at most
     sums = sums.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.withColumn(name, place).join(sums, F.col("_range") == F.col("_of")).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_of", "_before")
+    return rows.withColumn(name, place).join(sums, F.col("_range").eqNullSafe(F.col("_of"))).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_of", "_before")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 MAX_PAGES = 100
 MAX_ROWS = 50_000
@@ -65,6 +65,50 @@ class RestReader(DataSourceReader):
             yield (json.dumps(record),)
 
 
+class RestSlice(InputPartition):
+    def __init__(self, page: int, first: int, until: int):
+        super().__init__(page)
+        self.page, self.first, self.until = page, first, until
+
+
+class RestStream(DataSourceStreamReader):
+    """Pages as an append-only log: an offset is a page and how many of its records were taken. A batch is the records between two offsets, which
+    Spark writes to the checkpoint before it reads them; so after a restart a batch is read again as it was, and the next one goes on from there."""
+
+    def __init__(self, options: dict):
+        self.source, self.size, self.seen = RestReader(options), int(options["page_size"]), 1
+
+    def records(self, page: int) -> list[tuple[str]]:
+        return list(self.source.read(RestPage(page)))
+
+    def initialOffset(self) -> dict:
+        return {"page": 1, "row": 0}
+
+    def latestOffset(self) -> dict:
+        """The last page with records: steps that double until a page isn't full, then halves of what lies between."""
+        full, step = self.seen - 1, 1  # pages known to be full
+        while len(self.records(full + step)) == self.size:
+            full, step = full + step, step * 2
+        high = full + step  # not full
+        while high - full > 1:
+            middle = (full + high) // 2
+            full, high = (middle, high) if len(self.records(middle)) == self.size else (full, middle)
+        self.seen = full + 1
+        return {"page": full + 1, "row": len(self.records(full + 1))}
+
+    def partitions(self, start: dict, end: dict) -> list[RestSlice]:
+        return [RestSlice(p, start["row"] if p == start["page"] else 0, end["row"] if p == end["page"] else self.size) for p in range(start["page"], end["page"] + 1)]
+
+    def read(self, partition: RestSlice) -> Iterator[tuple[str]]:
+        found = self.records(partition.page)[: partition.until]
+        if len(found) < partition.until:
+            raise ValueError(f"page {partition.page} has lost records")
+        yield from found[partition.first :]
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class RestSource(DataSource):
     """format("rest_json"): one row (record) of JSON text for each record of each page."""
 
@@ -78,6 +122,9 @@ class RestSource(DataSource):
     def reader(self, schema) -> RestReader:
         return RestReader(dict(self.options))
 
+    def streamReader(self, schema) -> RestStream:
+        return RestStream(dict(self.options))
+
 
 def rest_rows(spark: SparkSession, address: str, **options: str) -> DataFrame:
     """Records with columns: the schema is that of the first one."""
@@ -90,6 +137,12 @@ def rest_rows(spark: SparkSession, address: str, **options: str) -> DataFrame:
     return raw.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
+def rest_stream(spark: SparkSession, address: str, page_size: int, page_param: str = "page", **options: str) -> DataFrame:
+    """Records (record: JSON text) of a paged address as a stream that takes each of them once."""
+    spark.dataSource.register(RestSource)
+    return spark.readStream.format("rest_json").options(page_size=str(page_size), page_param=page_param, **options).load(address)
+
+
 def redacted(config: object) -> object:
     """A configuration fit for logs."""
     if isinstance(config, dict):

@@ -164,12 +164,12 @@ def test_as_of_merge_splits_a_large_case(spark):
         return max(known, key=lambda r: r[:2])[2] if known else None
 
     want = sorted(((str(c), str(at(t)), plain(c, t)) for c, t in asked), key=str)
-    pieces = risk.time_pieces(log, "timestamp", 60)
-    assert 15 < len(pieces) < 30 and not risk.time_pieces(log, "timestamp")
+    pieces = selection.edges(log, "timestamp", 60)
+    assert 15 < len(pieces) < 30 and not selection.edges(log, "timestamp")
     for cut in (pieces, [], pieces[:1]):
         got = risk.point_in_time(log, cuts, ["v"], place="place", pieces=cut).collect()
         assert sorted(((str(r["case_id"]), str(r["observed_at"]), r["v"]) for r in got), key=str) == want
-    sizes = log.select("case_id", risk.piece_of(F.col("timestamp"), pieces).alias("piece")).groupBy("case_id", "piece").count().agg(F.max("count")).first()[0]
+    sizes = log.select("case_id", selection.range_of(F.col("timestamp"), pieces).alias("piece")).groupBy("case_id", "piece").count().agg(F.max("count")).first()[0]
     assert sizes < 120
 
 

@@ -1,6 +1,7 @@
 """Ingestion, connectors and streams."""
 
 import csv
+import http.server
 import io
 import json
 import os
@@ -8,15 +9,17 @@ import random
 import re
 import threading
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from skerry.session import table
-from skerry.sources import connectors, ingest, publishing
+from skerry.operators import monitoring
+from skerry.sources import connectors, control, ingest, publishing
 from skerry.sources.records import records
 from skerry.streaming import events
+from skerry.streaming.state import latency_ring, lease_states, with_state_store
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -174,6 +177,96 @@ def test_sweep_takes_what_no_commit_names(spark, tmp_path):
     assert publishing.published(spark, folder).count() == 4
 
 
+def test_control_tables_by_two_times(spark, tmp_path):
+    folder, rng = str(tmp_path / "control"), random.Random(6)
+    batches = [[(rng.randrange(30), rng.choice("abc"), rng.randrange(50), rng.random() < 0.2, 100 * b + i) for i in range(40)] for b in range(4)]
+    batches += [[(1000, "z", 5, False, 1)]]
+    schema, known, states = "k int, v string, at int, deleted boolean, place long", {}, []
+    before = None
+    for batch in batches:
+        said = control.upsert(spark.createDataFrame(batch, schema), folder, ["k"], place="place", buckets=4)
+        for k, v, at, gone, place in sorted(batch, key=lambda r: r[4]):
+            known.setdefault(k, {})[at] = None if gone else v
+        states.append({k: dict(v) for k, v in known.items()})
+        if before and len(batch) == 1:  # one key changed: the other buckets' folders are those of before
+            assert sum(said["buckets"][b] != p for b, p in before["buckets"].items()) == 1
+        before = said
+    for revision, state in enumerate(states, 1):
+        for when in (0, 17, 49):
+            want = {k: v[max(t for t in v if t <= when)] for k, v in state.items() if any(t <= when for t in v)}
+            got = control.as_of(spark, folder, F.lit(when), revision).collect()
+            assert sorted((r["k"], r["v"]) for r in got) == sorted((k, v) for k, v in want.items() if v is not None)
+        newest = {k: v[max(v)] for k, v in state.items()}
+        assert sorted((r["k"], r["v"]) for r in control.as_of(spark, folder, revision=revision).collect()) == sorted((k, v) for k, v in newest.items() if v is not None)
+    versions = control.history(spark, folder).orderBy("k", "valid_from").collect()
+    for a, b in zip(versions, versions[1:]):
+        assert a["k"] != b["k"] and a["valid_to"] is None or a["valid_to"] == b["valid_from"] and (a["v"], a["tombstone"]) != (b["v"], b["tombstone"])
+    with ThreadPoolExecutor(3) as pool:  # merges at once lose nothing
+        list(pool.map(lambda k: control.upsert(spark.createDataFrame([(k, "t", 60, False, 1)], schema), folder, ["k"], place="place", buckets=4), (2001, 2002, 2003)))
+    assert control.as_of(spark, folder).where("v = 't'").count() == 3
+    assert publishing.sweep(spark, folder, age=-5) == []
+
+
+def test_ring_and_leases_as_streams(spark, tmp_path):
+    with_state_store(spark)
+    t0, rng = datetime(2026, 1, 1), random.Random(8)
+    beats = [(f"r{k}", t0 + timedelta(seconds=s), e) for k, steps in enumerate([[(0, "start"), (200, "beat"), (390, "done")], [(0, "start")], [(10, "start"), (400, "beat")], [(500, "start"), (700, "beat"), (900, "beat")], [(5, "beat")], [(2000, "start")]]) for s, e in steps]
+    beats += [("clock", t0 + timedelta(seconds=s), "tick") for s in range(0, 2200, 100)]
+    beats.sort(key=lambda r: r[1])
+    for i in range(0, len(beats), 6):
+        spark.createDataFrame(beats[i : i + 6], "run string, at timestamp, event string").coalesce(1).write.mode("append").parquet(str(tmp_path / "runs"))
+    source = spark.readStream.schema("run string, at timestamp, event string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "runs")).withWatermark("at", "0 seconds")
+    got = {(r["run"], r["state"], (r["at"] - t0).total_seconds()) for r in events.drain(lease_states(source, 300), "leases", "append").collect()}
+    assert got == {("r0", "validated", 390.0), ("r1", "failed", 300.0), ("r2", "failed", 310.0), ("r3", "failed", 1200.0)}
+    runs = spark.createDataFrame([("r1", t0), ("r5", t0 + timedelta(seconds=2000))], "run string, started_at timestamp_ntz").withColumn("state", F.lit("validating"))
+    late = monitoring.expired_leases(runs, t0 + timedelta(seconds=2100))
+    assert {r["run"] for r in late.where("state = 'failed'").collect()} == {"r1"}  # as in batch
+
+    rows = [(rng.choice("ab"), t0 + timedelta(seconds=i), float(rng.randrange(1000))) for i in range(60)]
+    for i in range(0, 60, 15):
+        spark.createDataFrame(rows[i : i + 15], "key string, at timestamp, ms double").coalesce(1).write.mode("append").parquet(str(tmp_path / "ms"))
+    source = spark.readStream.schema("key string, at timestamp, ms double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ms"))
+    told = events.drain(latency_ring(source, 10), "ring", "update").collect()
+    for key in "ab":
+        kept = sorted(m for k, _, m in rows if k == key)
+        last = sorted([m for k, _, m in rows if k == key][-10:])
+        assert (10, last[4], last[9], last[9]) in {(r["n"], r["p50"], r["p95"], r["p99"]) for r in told if r["key"] == key} and len(kept) > 10
+
+
+def test_rest_stream_takes_each_record_once(spark, tmp_path):
+    held, asked = [], []
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            page = int(self.path.rpartition("page=")[2])
+            asked.append(page)
+            body = json.dumps({"rows": held[(page - 1) * 4 : page * 4]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def run():
+        rows = connectors.rest_stream(spark, f"http://127.0.0.1:{server.server_port}/x", 4, records_path="rows")
+        events.incremental(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return sorted(json.loads(r["record"])["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    try:
+        held += [{"id": i} for i in range(10)]
+        assert run() == list(range(10))
+        held += [{"id": i} for i in range(10, 43)]
+        assert run() == list(range(43)) == run()  # each run is a restart from the checkpoint
+        held += [{"id": 43}]
+        assert run() == list(range(44))
+    finally:
+        server.shutdown()
+
+
 def test_watermark(spark):
     df = spark.createDataFrame([(1, "b"), (9, "a"), (10, "c")], "n long, s string")
     assert tuple(df.agg(ingest.watermark("n"), ingest.watermark("s")).first()) == ("10", "c")
