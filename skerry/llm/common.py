@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -68,6 +68,14 @@ def tallied(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
+def free(name: str, columns: Iterable[str]) -> str:
+    """The name with as many leading underscores as make it none of the columns'; Spark doesn't tell upper from lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast df only when its counted rows stay within the given bound; else the join shuffles both sides."""
     return F.broadcast(df) if rows <= most else df

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import broadcast_if, temporary, written
+from skerry.llm.common import broadcast_if, free, temporary, written
 from skerry.session import table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "generalised", "removed")
@@ -252,7 +252,9 @@ def listed(spans: str) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten: spans become their kind in angle brackets, removed terms vanish."""
-    spans = find_spans(docs, id_col, text_col).where(F.size("all") > 0).select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("all").alias("_all")).dropDuplicates(["_h", "_g"])
+    spans = find_spans(docs, id_col, text_col).where(F.size("all") > 0).dropDuplicates(["h", "g"])
+    h, g, all_spans = (free(c, docs.columns) for c in ("_h", "_g", "_all"))  # the input's columns keep their names
+    spans = spans.select(F.col("h").alias(h), F.col("g").alias(g), F.col("all").alias(all_spans))
 
     @F.pandas_udf("string")
     def rewrite(texts, spans):
@@ -268,10 +270,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return texts.combine(spans, one)
 
-    names = [c for c in docs.columns if c not in ("_h", "_g", "_all")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(*names, F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(7), text).alias("_g")).join(spans, ["_h", "_g"], "left")
-    return out.select(*(rewrite(text_col, "_all").alias(c) if c == text_col else c for c in names))
+    out = docs.select("*", F.xxhash64(text).alias(h), F.xxhash64(F.lit(7), text).alias(g)).join(spans, [h, g], "left")
+    return out.select(*(rewrite(text_col, all_spans).alias(c) if c == text_col else c for c in docs.columns))
 
 
 def op2_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

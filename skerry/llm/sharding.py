@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import written
+from skerry.llm.common import free, written
 from skerry.session import table
 
 EXACT_BELOW = 1_000_000_000  # numpy's generator takes no larger totals
@@ -107,6 +107,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, rows_per_b
     blocks = np.array([b for s in even(total, shards) for b in even(s, cuts)], dtype=np.int64)
     known = spark.sparkContext.broadcast((counts, blocks))
     names = docs.columns
+    block, mixed, shard_name, slot = (free(c, names) for c in ("_block", "_order", "shard", "slot"))  # the input's columns keep theirs
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, at = TaskContext.get().partitionId(), 0
@@ -121,18 +122,18 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 42, rows_per_b
                 raise RuntimeError(f"partition {p} has more than the {n} rows counted")
             at += batch.num_rows
             order = rng.integers(-(2**63), 2**63, batch.num_rows, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine), pa.array(order)], [*names, "_block", "_order"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine), pa.array(order)], [*names, block, mixed])
         if at != n:
             raise RuntimeError(f"partition {p} has {at} rows, {n} were counted")
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    dealt = docs.mapInArrow(deal, f"{kinds}, _block int, _order long")
-    shard, k = F.floor(F.col("_block") / cuts).cast("int"), F.col("_block") % cuts
+    dealt = docs.mapInArrow(deal, f"{kinds}, `{block}` int, `{mixed}` long")
+    shard, k = F.floor(F.col(block) / cuts).cast("int"), F.col(block) % cuts
     size = F.lit(total // shards) + F.when(shard < total % shards, 1).otherwise(0)
     base = F.floor(size / cuts)
     offset = k * base + F.least(k.cast("long"), size - base * cuts)
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_order")) - 1
-    return dealt.select(*names, shard.alias("shard"), (offset + rank).cast("long").alias("slot"))
+    rank = F.row_number().over(Window.partitionBy(block).orderBy(mixed)) - 1
+    return dealt.select(*names, shard.alias(shard_name), (offset + rank).cast("long").alias(slot))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
