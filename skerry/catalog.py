@@ -352,11 +352,94 @@ def usage_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     return registry.usage(rows, "o_orderstatus", "o_orderpriority", "month", "o_orderkey", "o_totalprice").withColumn("cost", F.round("cost", 2))
 
 
-@query("SELECT p.id AS id, t.n_name AS target, m.r_name AS model FROM (SELECT c_custkey AS id, c_nationkey FROM customer) p LEFT JOIN nation t ON p.c_nationkey = t.n_nationkey LEFT JOIN region m ON t.n_regionkey = m.r_regionkey")
+@query("SELECT p.id AS id, t.n_name AS target, m.r_name AS model FROM (SELECT c_custkey AS id, c_nationkey FROM customer) p LEFT JOIN nation t ON p.c_nationkey = t.n_nationkey LEFT JOIN region m ON p.c_nationkey % 7 = m.r_regionkey")
 def prediction_joins(spark: SparkSession, d: str) -> DataFrame:
-    nation, region = F.broadcast(table(spark, d, "nation")), F.broadcast(table(spark, d, "region"))  # 25 and 5 rows
-    out = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return out.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("target"), F.col("r_name").alias("model"))
+    """Customers as predictions, nations as their targets, regions as models; some models aren't known."""
+    made = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("target_id"), (F.col("c_nationkey") % 7).alias("model_id"))
+    targets = table(spark, d, "nation").select(F.col("n_nationkey").alias("target_id"), F.col("n_name").alias("target"))
+    models = table(spark, d, "region").select(F.col("r_regionkey").alias("model_id"), F.col("r_name").alias("model"))
+    return registry.predictions(made, targets, models).select("id", "target", "model")
+
+
+@query("""SELECT c_custkey AS id, c_name AS name, n_name AS publication FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2""")
+def current_publications(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as publications of the customers in them; those of one region have ended."""
+    publications = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("publication"), F.when(F.col("n_regionkey") == 2, F.lit("1996-01-01")).alias("effective_to"))
+    return registry.with_current(table(spark, d, "customer"), publications, "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "publication")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7")
+def tenant_rows(spark: SparkSession, d: str) -> DataFrame:
+    return registry.scoped(table(spark, d, "customer"), 7, "c_nationkey").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, round(CASE WHEN isfinite(v) THEN v END, 3) AS v FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE ELSE c_acctbal / 7 END AS v FROM customer)")
+def finite_values(spark: SparkSession, d: str) -> DataFrame:
+    from skerry.functions.nulls import finite
+
+    k = F.col("c_custkey") % 4
+    value = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).otherwise(F.col("c_acctbal") / 7)
+    return table(spark, d, "customer").select("c_custkey", finite(value, 3).alias("v"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name ELSE lower(n_name) END AS label FROM nation")
+def labels_by_locale(spark: SparkSession, d: str) -> DataFrame:
+    """Names in two languages; those of one region have an English one only."""
+    both = F.when(F.col("n_regionkey") == 1, F.create_map(F.lit("en"), F.col("n_name"))).otherwise(F.create_map(F.lit("en"), F.col("n_name"), F.lit("ar"), F.lower("n_name")))
+    return table(spark, d, "nation").select("n_nationkey", words.label(both, "ar").alias("label"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 300 SECOND THEN 'failed' WHEN o_orderstatus = 'O' THEN 'validating' ELSE 'validated' END AS state FROM orders")
+def lease_sweep(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "validating").otherwise("validated").alias("state"), F.col("o_orderdate").cast("timestamp_ntz").alias("started_at"))
+    return monitoring.expired_leases(runs, datetime(1996, 1, 1)).select("o_orderkey", "state")
+
+
+@query("SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 1000")
+def newest_latencies(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.last_of(table(spark, d, "events").select("event_id", "value"), "event_id")
+
+
+@query("""SELECT 'c_nationkey' AS name, round(count_if(c_nationkey IS NULL) / count(*), 4)::DOUBLE AS null_rate, (SELECT string_agg(v, '|' ORDER BY k) FROM (SELECT c_nationkey::VARCHAR AS v, min(c_custkey) AS k FROM customer GROUP BY 1 ORDER BY k LIMIT 3)) AS sample FROM customer
+    UNION ALL SELECT 'c_mktsegment', round(count_if(c_mktsegment = 'BUILDING') / count(*), 4)::DOUBLE, (SELECT string_agg(v, '|' ORDER BY k) FROM (SELECT c_mktsegment AS v, min(c_custkey) AS k FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1 ORDER BY k LIMIT 3)) FROM customer""")
+def column_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns of the customers in order of their keys, one market segment being blank."""
+    from skerry.sources.ingest import column_meta
+
+    rows = table(spark, d, "customer").orderBy("c_custkey").select("c_nationkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise("").alias("c_mktsegment"))
+    return column_meta(rows).select("name", "null_rate", F.array_join("sample", "|").alias("sample"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' AND o_orderstatus = 'F'")
+def formula_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders of which some hold a cell that a spreadsheet would run."""
+    from skerry.sources.ingest import formula_cells
+
+    p = F.substring("o_orderpriority", 1, 1)
+    cell = F.when(p == "2", F.lit("=SUM(A1:A9)")).when((p == "3") & (F.col("o_orderstatus") == "F"), F.lit(" @cmd|' /C calc'!A0")).when(p == "3", F.lit("-12.5")).otherwise(F.lit("a=(b)"))
+    lines = table(spark, d, "orders").select("o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), cell, "o_orderstatus").alias("value"))
+    return formula_cells(lines).select("o_orderkey")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, round(c_acctbal, 2) AS c_acctbal, '1996-01-02' AS day FROM customer")
+def refreshed_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Customers delivered as CSV and read with inferred types; days stay texts."""
+    from skerry.sources.ingest import refresh_rows
+
+    rows = table(spark, d, "customer").select(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment", F.format_string("%.2f", "c_acctbal"), F.lit("1996-01-02")).alias("value"))
+    got = refresh_rows(spark, delivered(spark, rows, "c_custkey,c_name,c_mktsegment,c_acctbal,day"))
+    return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"), "day")
+
+
+@query("SELECT n_regionkey, sum(n)::BIGINT AS rows_held, bool_and(true) AS intact FROM (SELECT n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) GROUP BY 1")
+def captured_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The customers of each region captured as evidence (as Parquet, being many; a region of 100 or fewer as text), read again with its digest verified."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "c_custkey", "c_name")
+    folder, out = shared_folder(spark, "evidence"), []
+    for k in range(5):
+        manifest = registry.capture_evidence(rows.where(F.col("n_regionkey") == k).orderBy("c_custkey"), f"{folder}/{k}")
+        out.append((k, len(registry.read_evidence(spark, manifest)), True))
+    return spark.createDataFrame(out, "n_regionkey long, rows_held long, intact boolean").where("rows_held > 0")
 
 
 @query("SELECT o_custkey AS rule_id, o_orderpriority AS method, o_orderkey AS i, concat_ws(':', o_custkey, o_orderpriority, o_orderkey) AS episode_identity FROM orders WHERE o_orderkey % 3 <> 0")
@@ -523,10 +606,17 @@ def outcome_comparison(spark: SparkSession, d: str) -> DataFrame:
     return registry.outcome_comparison(evidence, observed).select("decision_id", "metric", "expected", "value", "difference")
 
 
-@query("""WITH d AS (SELECT c_custkey AS k, c_nationkey % 3 AS g, c_acctbal AS v FROM customer) SELECT count(*) AS n, sum(CASE WHEN g = 0 THEN 1 ELSE 0 END)::BIGINT AS draft, count_if(g = 1)::BIGINT AS active, count_if(g = 2 AND v < 0)::BIGINT AS at_risk FROM d""")
+@query("""SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS open_alerts, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS high_risk_cases, (SELECT count(*) FROM orders WHERE o_orderpriority <> '5-LOW') AS active_investigations,
+    count_if(c_nationkey % 4 = 0)::BIGINT AS open_decisions, count_if(c_nationkey % 4 = 1)::BIGINT AS reviews_due, count_if(c_nationkey % 4 = 2)::BIGINT AS completed_reviews FROM customer""")
 def pilot_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = F.col("c_nationkey") % 3
-    return table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"), F.count_if(g == 0).alias("draft"), F.count_if(g == 1).alias("active"), F.count_if((g == 2) & (F.col("c_acctbal") < 0)).alias("at_risk"))
+    """Orders as alerts and investigations, customers as scored cases and decisions."""
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    alerts = orders.select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("resolved_at"))
+    scored_cases = customers.select(F.when(F.col("c_acctbal") < 0, "HIGH").otherwise("LOW").alias("risk_tier"))
+    inquiries = orders.select(F.when(F.col("o_orderpriority") == "5-LOW", "closed").otherwise("open").alias("status"))
+    k = F.col("c_nationkey") % 4
+    decisions = customers.select(F.when(k == 0, "active").when(k == 1, "review_due").when(k == 2, "evaluated").otherwise("withdrawn").alias("status"))
+    return registry.pilot_summary(alerts, scored_cases, inquiries, decisions)
 
 
 @query("""SELECT 'metric' AS machine, o_custkey AS id, string_agg(s, '>' ORDER BY o_orderkey) AS states, bool_and(ok) AS legal FROM (
@@ -746,6 +836,14 @@ def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
     return forecasting.rolling_origin(daily(spark, d), 3, 3)
 
 
+@query(f"""WITH s AS ({DAILY}), n AS (SELECT count(*) AS n FROM s), f AS (SELECT k AS fold, n - (3 - k) * 3 AS cut FROM n, generate_series(0, 2) g(k)),
+    d AS (SELECT i, y, y - lag(y) OVER (ORDER BY i) AS step FROM s), e AS (SELECT fold, cut, stddev_pop(step) AS sd FROM f JOIN d ON d.i < cut GROUP BY ALL),
+    p AS (SELECT fold, abs(s.y - b.y) AS off, sd * sqrt(s.i - cut + 1) AS w FROM e JOIN s ON s.i >= cut AND s.i < cut + 3 JOIN s b ON b.i = cut - 1)
+    SELECT 'Naive' AS model, round(avg(c80), 6) AS coverage_80, round(avg(c95), 6) AS coverage_95, count(*) AS folds FROM (SELECT fold, avg((off <= {forecasting.Z80} * w)::INT) AS c80, avg((off <= {forecasting.Z95} * w)::INT) AS c95 FROM p GROUP BY 1)""")
+def rolling_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return forecasting.interval_coverage(daily(spark, d), 3, 3, ("Naive",))
+
+
 @query()
 def forecast_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return forecasting.evaluate(daily(spark, d))

@@ -220,6 +220,17 @@ def chosen(evaluated: DataFrame) -> DataFrame:
     return best.select("series_id", F.coalesce(F.when(better, F.col("c.model")), F.col("b.model"), F.lit("Naive")).alias("model"))
 
 
+def interval_coverage(series: DataFrame, horizon: int = 1, n_folds: int = 3, models: tuple[str, ...] = ("Naive", *SMOOTHERS)) -> DataFrame:
+    """(model, coverage_80, coverage_95, folds): the share of a fold's points that lie within its prediction ranges, mean over the rolling folds of every series."""
+    cut, out = folds(series, horizon, n_folds), None
+    for model in models:
+        y = F.col("y")
+        of_fold = smoothed(cut, model).groupBy("series_id").agg(*(F.avg(y.between(F.col(f"lo{p}"), F.col(f"hi{p}")).cast("int")).alias(f"c{p}") for p in (80, 95)))
+        one = of_fold.agg(*(F.round(F.avg(f"c{p}"), 6).alias(f"coverage_{p}") for p in (80, 95)), F.count(F.lit(1)).alias("folds")).select(F.lit(model).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # The grid of smoothing weights that ets() searches.
 ALPHAS, BETAS, GAMMAS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.1, 0.3, 0.5), (0.1, 0.3, 0.5)
 

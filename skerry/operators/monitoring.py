@@ -8,7 +8,6 @@ phase in one pandas function per series.
 from __future__ import annotations
 
 from bisect import insort
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from skerry.functions.times import literal
 from skerry.operators.selection import edges, placed, range_of
 
 TIME_NAMES = ("created_at", "timestamp", "ds", "date")
-RULE_SETTINGS = 50
+MAX_BUCKETS = 730  # points of a series that is folded or banded
 
 
 def _median(values: list[float]) -> float:
@@ -34,12 +33,18 @@ def _band(values: list[float], k: float) -> tuple[float, float]:
     return mid - k * spread, mid + k * spread
 
 
-def seasonal_bands(series: DataFrame, season: int = 7, k: float = 3.0) -> DataFrame:
+def setting(value: float | str) -> Column:
+    """A number, or the column that holds it for each series."""
+    return F.col(value) if isinstance(value, str) else F.lit(value)
+
+
+def seasonal_bands(series: DataFrame, season: int | str = 7, k: float | str = 3.0) -> DataFrame:
     """(series_id, i, y, lo, hi): the range each point is held against, from the points before it alone. Before a full
-    season it is median +- k MAD of them all, later the envelope over the phases; a MAD of zero counts as one."""
+    season it is median +- k MAD of them all, later the envelope over the phases; a MAD of zero counts as one. season and k may be columns."""
 
     def bands(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
+        season, k = int(pdf["season"].iloc[0]), float(pdf["k"].iloc[0])
         every: list[float] = []
         phases: dict[int, list[float]] = {}
         known: dict[int, tuple[float, float]] = {}
@@ -58,18 +63,26 @@ def seasonal_bands(series: DataFrame, season: int = 7, k: float = 3.0) -> DataFr
             known[n % season] = _band(phases[n % season], k)
         return pd.DataFrame({"series_id": pdf["series_id"], "i": pdf["i"], "y": pdf["y"], "lo": pd.Series(lows, index=pdf.index, dtype=float), "hi": pd.Series(highs, index=pdf.index, dtype=float)})
 
-    typed = series.select(F.col("series_id").cast("string").alias("series_id"), F.col("i").cast("long").alias("i"), F.col("y").cast("double").alias("y"))
+    typed = series.select(F.col("series_id").cast("string").alias("series_id"), F.col("i").cast("long").alias("i"), F.col("y").cast("double").alias("y"), setting(season).cast("int").alias("season"), setting(k).cast("double").alias("k"))
     return typed.groupBy("series_id").applyInPandas(bands, "series_id string, i long, y double, lo double, hi double")
 
 
-def residual_bands(series: DataFrame, season: int = 7, k: float = 3.0) -> DataFrame:
-    """The range of mean +- k standard deviations of the last `season` points before each; one point alone has deviation 1."""
+def residual_bands(series: DataFrame, season: int | str = 7, k: float | str = 3.0) -> DataFrame:
+    """The range of mean +- k standard deviations of the last `season` points before each; one point alone has deviation 1. season and k may be
+    columns: then the last MAX_BUCKETS points, all that a series has, stand in an array of which `season` are taken."""
+    if isinstance(season, str):
+        every = F.collect_list("y").over(Window.partitionBy("series_id").orderBy("i").rowsBetween(-MAX_BUCKETS, -1))
+        rows = series.withColumn("_all", every).withColumn("_last", F.slice("_all", F.greatest(F.size("_all") - F.col(season) + 1, F.lit(1)), F.col(season)))
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+        rows = rows.withColumn("_mean", F.try_divide(total("_last"), F.size("_last")))
+        spread = F.when(F.size("_last") >= 2, F.sqrt(total(F.transform("_last", lambda v: (v - F.col("_mean")) * (v - F.col("_mean")))) / F.greatest(F.size("_last") - 1, F.lit(1)))).otherwise(F.lit(1.0))
+        return rows.select("series_id", "i", "y", (F.col("_mean") - setting(k) * spread).alias("lo"), (F.col("_mean") + setting(k) * spread).alias("hi"))
     before = Window.partitionBy("series_id").orderBy("i").rowsBetween(-season, -1)
     mean, spread = F.avg("y").over(before), F.when(F.count("y").over(before) >= 2, F.stddev_samp("y").over(before)).otherwise(F.lit(1.0))
     return series.select("series_id", "i", "y", (mean - k * spread).alias("lo"), (mean + k * spread).alias("hi"))
 
 
-def anomalies(banded: DataFrame, method: str, least_effect: float = 0.01) -> DataFrame:
+def anomalies(banded: DataFrame, method: str, least_effect: float | str = 0.01) -> DataFrame:
     """Points outside their range by a large enough share of its middle, with how many points up to them (ten at most,
     without gap) are outside that same range."""
     last = F.reverse(F.collect_list("y").over(Window.partitionBy("series_id").orderBy("i").rowsBetween(-9, 0)))
@@ -77,7 +90,7 @@ def anomalies(banded: DataFrame, method: str, least_effect: float = 0.01) -> Dat
     middle = (F.col("lo") + F.col("hi")) / 2
     effect = F.abs(F.col("y") - middle) / (F.abs(middle) + 1e-12)
     run = F.expr("aggregate(last, named_struct('n', 0, 'on', true), (a, v) -> named_struct('n', if(a.on and (v < lo or v > hi), a.n + 1, a.n), 'on', a.on and (v < lo or v > hi)), a -> a.n)")
-    out = rows.where((F.col("i") >= 1) & ((F.col("y") < F.col("lo")) | (F.col("y") > F.col("hi")))).where(effect >= least_effect)
+    out = rows.where((F.col("i") >= 1) & ((F.col("y") < F.col("lo")) | (F.col("y") > F.col("hi")))).where(effect >= setting(least_effect))
     return out.select("series_id", "i", F.col("y").alias("observed"), F.round("lo", 6).alias("expected_lower"), F.round("hi", 6).alias("expected_upper"), F.lit(method).alias("method"), F.round(effect, 6).alias("effect_size"), run.alias("persistent_count"))
 
 
@@ -128,22 +141,17 @@ def evaluate_rules(rules: DataFrame, series: DataFrame, open_episodes: DataFrame
     """Anomalies that open a new episode. Rules (rule_id, series_id, method, season, threshold, min_effect, persistence, enabled) are held
     against series of three points or more; what lasts long enough and has no open episode (rule_id, episode_identity) fires.
 
-    Rules with like settings are evaluated together, each on its own copy of its series; there are RULE_SETTINGS settings at most.
+    Each rule is evaluated on its own copy of its series, and its settings are columns beside it, so there may be any number of both.
     """
-    active, setting = rules.where("enabled"), ["method", "season", "threshold", "min_effect"]
-    settings = active.select(*setting).distinct().limit(RULE_SETTINGS + 1).collect()
-    if len(settings) > RULE_SETTINGS:
-        raise ValueError(f"rules have over {RULE_SETTINGS} settings")
+    active, found = rules.where("enabled").withColumn("rule_id", F.col("rule_id").cast("string")), None
     long_enough = series.join(series.groupBy("series_id").count().where("count >= 3").select("series_id"), "series_id", "left_semi")
-    found = None
-    for s in settings:
-        own = active.where(reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(s[c])) for c in setting))).select("rule_id", "series_id", "persistence")
-        of_rule = long_enough.join(own, "series_id").select(F.col("rule_id").cast("string").alias("series_id"), "i", "y")
-        hits = anomalies(BANDS[s["method"]](of_rule, s["season"], s["threshold"]), s["method"], s["min_effect"]).withColumnRenamed("series_id", "rule_id")
-        hits = hits.join(own.select(F.col("rule_id").cast("string").alias("rule_id"), "persistence"), "rule_id").where("persistent_count >= persistence").drop("persistence")
+    for method, bands in BANDS.items():
+        own = active.where(F.col("method") == method)
+        of_rule = long_enough.join(own.select("rule_id", "series_id", "season", "threshold"), "series_id").select(F.col("rule_id").alias("series_id"), "i", "y", "season", "threshold")
+        banded = bands(of_rule, "season", "threshold").join(own.select(F.col("rule_id").alias("series_id"), "min_effect"), "series_id")
+        hits = anomalies(banded, method, "min_effect").withColumnRenamed("series_id", "rule_id")
+        hits = hits.join(own.select("rule_id", "persistence"), "rule_id").where("persistent_count >= persistence").drop("persistence")
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = anomalies(residual_bands(series.where("false"), 2), "residual").withColumnRenamed("series_id", "rule_id")
     return new_episodes(found, open_episodes)
 
 

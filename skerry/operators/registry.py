@@ -101,6 +101,33 @@ def current(publications: DataFrame) -> DataFrame:
     return publications.where(F.col("effective_to").isNull())
 
 
+def with_current(definitions: DataFrame, publications: DataFrame, key: str) -> DataFrame:
+    """Each definition with its publication in force, if it has one."""
+    return definitions.join(current(publications), key, "left")
+
+
+def predictions(made: DataFrame, targets: DataFrame, models: DataFrame) -> DataFrame:
+    """Each prediction (target_id, model_id, ...) with its target and its model, where they are known. Sizes decide how the sides are joined."""
+    return made.join(targets, "target_id", "left").join(models, "model_id", "left")
+
+
+# States of decisions that are open, and that are done with.
+OPEN, DONE = ("draft", "proposed", "accepted", "active"), ("evaluated", "closed")
+
+
+def pilot_summary(alerts: DataFrame, scored: DataFrame, investigations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row of counts over one tenant's tables: each table is read once, whatever the number of counts over it."""
+    state = F.col("status")
+    of_alerts = alerts.agg(F.count_if(F.col("resolved_at").isNull()).alias("open_alerts"))
+    of_scores = scored.agg(F.count_if(F.col("risk_tier") == "HIGH").alias("high_risk_cases"))
+    of_inquiries = investigations.agg(F.count_if(state != "closed").alias("active_investigations"))
+    of_decisions = decisions.agg(F.count_if(state.isin(*OPEN)).alias("open_decisions"), F.count_if(state == "review_due").alias("reviews_due"), F.count_if(state.isin(*DONE)).alias("completed_reviews"))
+    one = of_alerts
+    for more in (of_scores, of_inquiries, of_decisions):  # one row each
+        one = one.join(more, F.lit(True))
+    return one
+
+
 def usage(rows: DataFrame, provider: str, model: str, day: str, tokens: str, cost: str) -> DataFrame:
     """Totals, by provider, by model, by day, and by all three, from one scan with grouping sets. Costs stay null where none
     is known; token sums of nothing are zero."""

@@ -214,6 +214,20 @@ def test_token_bucket_in_blocks(spark, capacity):
         assert {(r["key"], r["at"]): (r["requests"], r["allowed"]) for r in got} == want and len(got) == len(want)
 
 
+def test_any_number_of_rule_settings(spark):
+    points = [("s", i, float((i * 7) % 11 + (60 if i in (20, 33) else 0))) for i in range(40)]
+    series = spark.createDataFrame(points, "series_id string, i long, y double")
+    rules = [(f"r{k}", "s", "residual" if k % 2 else "seasonal_naive", 2 + k % 9, 1.0 + k / 40, 0.01 * (k % 3), 1, True) for k in range(60)]
+    schema = "rule_id string, series_id string, method string, season int, threshold double, min_effect double, persistence int, enabled boolean"
+    none = spark.createDataFrame([], "rule_id string, episode_identity string")
+    got = {(r["rule_id"], r["i"], r["expected_lower"], r["expected_upper"]) for r in monitoring.evaluate_rules(spark.createDataFrame(rules, schema), series, none).collect()}
+    want = set()
+    for rule, _, method, season, k, effect, _, _ in rules[::7]:
+        bands = monitoring.residual_bands if method == "residual" else monitoring.seasonal_bands
+        want |= {(rule, r["i"], r["expected_lower"], r["expected_upper"]) for r in monitoring.anomalies(bands(series, season, k), method, effect).collect()}
+    assert want and {g for g in got if g[0] in {r[0] for r in rules[::7]}} == want and len({g[0] for g in got}) == 60
+
+
 def test_queues(spark):
     rows = [("q", 0, 5, 1), ("q", 1, 5, 2), ("q", 20, 1, 3), ("q", 20, 2, 4), ("r", 3, 1, 5), (None, 3, 1, 6), ("r", None, 1, 7)]
     out = scenario.queue_waits(spark.createDataFrame(rows, "queue string, at long, service long, id long"), "queue", "at", "service", "id")
