@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}  # by application, where no folder is set
-_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df as a table in the shared folder, read back. It cuts the lineage, survives lost executors, and lets Spark drop
-    the shuffle files that led to it. keep: temporary() leaves it alone."""
+def write(df: DataFrame, name: str, keep: bool = False) -> str:
+    """df as a table in the shared folder, whose path is returned. Spark may drop the shuffle files that led to it. keep: the temporary() around
+    the call leaves it alone; one around that one, if any, removes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
@@ -40,10 +40,20 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    made = _made.get()
-    if made is not None and not keep:
-        made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    around = _made.get()[: -1 if keep else None]
+    if around:
+        around[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written and read back. It cuts the lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name, keep))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
@@ -51,14 +61,13 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables written inside, in this thread, are removed at its end, failed or not, but for those to keep. What is kept must
     have been written by then."""
     made: list[str] = []
-    token = _made.set(made)
+    token = _made.set((*_made.get(), made))
     try:
         yield
     finally:
         _made.reset(token)
         for path in made:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
 
 
 def tallied(df: DataFrame, name: str) -> tuple[DataFrame, int]:
