@@ -64,8 +64,6 @@ STAGES = [
 ]
 
 
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents. A stage's table and what its operators wrote go once the next stage's table is there."""
     docs, before = table(spark, sf_dir, "documents"), None

@@ -4,8 +4,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
-from skerry.llm import copies, simhash
+from skerry.llm import copies, pipeline, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,7 +15,7 @@ def brute_firsts(docs):
     group = {i: i for i, _ in sets}
     for n, (a, x) in enumerate(sets):
         for b, y in sets[:n]:
-            if len(x & y) >= corpus_pipeline.SIMILARITY * len(x | y) and group[a] != group[b]:
+            if len(x & y) >= pipeline.SIMILARITY * len(x | y) and group[a] != group[b]:
                 low, high = sorted((group[a], group[b]))
                 group = {k: low if v == high else v for k, v in group.items()}
     return {i for i, v in group.items() if i == v}
@@ -44,8 +43,8 @@ def test_every_similar_pair_is_found(spark, monkeypatch, dense, sample):
     fps = [simhash.fingerprint(t, 1, True) for _, t in docs]
     sets = [simhash.shingles(t, 5) for _, t in docs]
     pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert any(bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") > corpus_pipeline.NEAR_BITS for i, j in pairs)
-    kept = {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, table_of(spark, docs), "").collect()}
+    assert any(bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") > pipeline.NEAR_BITS for i, j in pairs)
+    kept = {r["doc_id"] for r in pipeline.drop_copies(spark, table_of(spark, docs), "").collect()}
     assert kept == brute_firsts(docs)
 
 
@@ -57,5 +56,5 @@ def test_only_copies_go(spark):
     mixed = " ".join(rng.sample(words, len(words)))
     assert simhash.fingerprint(base, 1, True) == simhash.fingerprint(mixed, 1, True)
     docs = [(None, a), (None, b), (None, c), (7, c), (5, a.replace(" ", " extra ", 1)), (5, d), (5, b), (9, base), (10, mixed), (11, base.upper()), (None, None), (12, ""), (13, d), (13, d)]
-    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, table_of(spark, docs), "").collect()), key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.drop_copies(spark, table_of(spark, docs), "").collect()), key=str)
     assert kept == sorted([(5, docs[4][1]), (5, d), (5, b), (7, c), (9, base), (10, mixed), (12, "")], key=str)

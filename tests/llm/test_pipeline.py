@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skerry.llm import decontaminate, lines, packing, simhash, toxicity
+from skerry.llm import decontaminate, lines, packing, pipeline, simhash, toxicity
 from test_ops import brute_lines
 
-COLUMNS = corpus_pipeline.COLUMNS
+COLUMNS = pipeline.COLUMNS
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +57,7 @@ def test_stages(spark, folder):
             for a in sorted(fps):
                 for b in sorted(fps):
                     near = bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1")
-                    if a < b and (near == 0 or near <= corpus_pipeline.NEAR_BITS and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                    if a < b and (near == 0 or near <= pipeline.NEAR_BITS and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
                         low, high = sorted((group[a], group[b]))
                         group = {k: low if v == high else v for k, v in group.items()}
             assert {i for i, _ in after} == {i for i in fps if group[i] == i}
@@ -80,4 +80,4 @@ def test_run(spark, folder):
 
 
 def test_thresholds_are_those_documented():
-    assert toxicity.THRESHOLD == 0.3 and lines.SIMILAR >= 0.8 and decontaminate.WINDOW == 10 and corpus_pipeline.SIMILARITY >= 0.8
+    assert toxicity.THRESHOLD == 0.3 and lines.SIMILAR >= 0.8 and decontaminate.WINDOW == 10 and pipeline.SIMILARITY >= 0.8
