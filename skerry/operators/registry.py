@@ -122,10 +122,8 @@ def pilot_summary(alerts: DataFrame, scored: DataFrame, investigations: DataFram
     of_scores = scored.agg(F.count_if(F.col("risk_tier") == "HIGH").alias("high_risk_cases"))
     of_inquiries = investigations.agg(F.count_if(state != "closed").alias("active_investigations"))
     of_decisions = decisions.agg(F.count_if(state.isin(*OPEN)).alias("open_decisions"), F.count_if(state == "review_due").alias("reviews_due"), F.count_if(state.isin(*DONE)).alias("completed_reviews"))
-    one = of_alerts
-    for more in (of_scores, of_inquiries, of_decisions):  # one row each
-        one = one.join(more, F.lit(True))
-    return one
+    rest = [of_scores.scalar().alias("high_risk_cases"), of_inquiries.scalar().alias("active_investigations"), of_decisions.select(F.struct("*")).scalar().alias("_decisions")]
+    return of_alerts.select("open_alerts", *rest).select("open_alerts", "high_risk_cases", "active_investigations", "_decisions.*")
 
 
 def usage(rows: DataFrame, provider: str, model: str, day: str, tokens: str, cost: str) -> DataFrame:
