@@ -234,6 +234,23 @@ def test_queues(spark):
     assert {r["id"]: (r["starts"], r["ends"], r["waits"]) for r in out.collect()} == {1: (0, 5, 0), 2: (5, 10, 4), 3: (20, 21, 0), 4: (21, 23, 1), 5: (3, 4, 0), 6: (3, 4, 0)}
 
 
+def test_queues_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["q", "q", "q", "r", None]), rng.randrange(4000), rng.randrange(12), i) for i in range(900)]
+    want, free = {}, {}
+    for q, at, service, i in sorted(rows, key=lambda r: (r[1], r[3])):
+        start = max(at, free.get(q, 0))
+        free[q] = start + service
+        want[i] = (start, start + service, start - at)
+    df = spark.createDataFrame(rows, "queue string, at long, service long, id long")
+    cuts = selection.edges(df, "at", 40)
+    assert len(cuts) > 15 and sum(w > 0 for _, _, w in want.values()) > 100
+    for c in (cuts, []):
+        out = scenario.queue_waits(df, "queue", "at", "service", "id", c)
+        assert out.columns == [*df.columns, "ends", "starts", "waits"]
+        assert {r["id"]: (r["starts"], r["ends"], r["waits"]) for r in out.collect()} == want
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("أهلاً  Wörld",), ("café",), (None,)], "t string")
     got = [r[0] for r in df.select(words.normalise(F.col("t"))).collect()]
