@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Lifecycles as edges.
 EDGES = {
@@ -31,7 +32,6 @@ EDGES = {
 # Decision states from which on evidence can't be bound any more.
 FROZEN = ("accepted", "implementation_pending", "active", "review_due", "evaluated", "closed", "superseded")
 INLINE_ROWS = 100
-EVIDENCE_ROWS = 50_000
 
 
 def edges(spark: SparkSession) -> DataFrame:
@@ -188,21 +188,44 @@ def row_digests(df: DataFrame) -> DataFrame:
     return df.withColumn("row_sha256", F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256))
 
 
+def table_digest(df: DataFrame) -> tuple[str, int]:
+    """SHA-256 of df's rows as a multiset, and their number. Rows are hashed where they are and equal ones counted; digests are then hashed in
+    order by their first four hex digits, these by the first two, and these together, so no task or driver holds more than such a part."""
+    parts = df.select(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns)))), 256).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("k", F.concat_ws(":", "k", "n").alias("v"), "n")
+    for digits in (4, 2, 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), ",")
+        parts = parts.groupBy(F.substring("k", 1, digits).alias("k")).agg(F.sha2(joined, 256).alias("v"), F.sum("n").alias("n"))
+    whole = parts.first()  # one row, or none
+    return (whole["v"], whole["n"]) if whole else (hashlib.sha256(b"").hexdigest(), 0)
+
+
 def capture_evidence(df: DataFrame, path: str) -> dict:
-    """Evidence of at most EVIDENCE_ROWS rows: up to INLINE_ROWS inside the manifest, more as Parquet beside it, under one digest."""
-    rows = df.limit(EVIDENCE_ROWS + 1).collect()
-    if len(rows) > EVIDENCE_ROWS:
-        raise ValueError(f"evidence has over {EVIDENCE_ROWS} rows")
-    out = {"sha256": digest(rows), "row_count": len(rows), "columns": df.columns}
+    """Evidence of any size: up to INLINE_ROWS rows inside the manifest, more as Parquet beside it, under one digest."""
+    rows = df.limit(INLINE_ROWS + 1).collect()
+    out = {"columns": df.columns, "schema": df.schema.json()}
     if len(rows) <= INLINE_ROWS:
-        return out | {"rows": [r.asDict(recursive=True) for r in rows]}
-    df.sparkSession.createDataFrame(rows, df.schema).coalesce(1).write.mode("errorifexists").parquet(path)
-    return out | {"path": path}
+        return out | {"sha256": digest(rows), "row_count": len(rows), "rows": [r.asDict(recursive=True) for r in rows]}
+    df.write.mode("errorifexists").parquet(path)
+    sha, n = table_digest(df.sparkSession.read.schema(df.schema).parquet(path))
+    return out | {"sha256": sha, "row_count": n, "path": path}
+
+
+def evidence_table(spark: SparkSession, manifest: dict) -> DataFrame:
+    """The rows as a table, if their digest still is the one recorded. Those in Parquet have no certain order."""
+    schema = StructType.fromJson(json.loads(manifest["schema"]))
+    if "rows" in manifest:
+        return spark.createDataFrame(read_evidence(spark, manifest), schema)
+    rows = spark.read.schema(schema).parquet(manifest["path"])
+    if table_digest(rows)[0] != manifest["sha256"]:
+        raise ValueError("evidence doesn't match its digest")
+    return rows
 
 
 def read_evidence(spark: SparkSession, manifest: dict) -> list[dict]:
-    """The rows, if their digest still is the one recorded."""
-    rows = manifest["rows"] if "rows" in manifest else [r.asDict(recursive=True) for r in spark.read.parquet(manifest["path"]).collect()]
-    if digest(rows) != manifest["sha256"]:
+    """The rows on the driver, for evidence known to be small (the manifest has their number), if their digest still is the one recorded."""
+    if "rows" not in manifest:
+        return [r.asDict(recursive=True) for r in evidence_table(spark, manifest).collect()]
+    if digest(manifest["rows"]) != manifest["sha256"]:
         raise ValueError("evidence doesn't match its digest")
-    return rows
+    return manifest["rows"]

@@ -273,6 +273,18 @@ def test_registers(spark, tmp_path):
     assert states.first()["condition"] == "active"
 
 
+def test_evidence_of_any_size(spark, tmp_path):
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("x"))
+    kept = registry.capture_evidence(rows, str(tmp_path / "a"))
+    assert kept["row_count"] == registry.evidence_table(spark, kept).count() == 60_000
+    assert registry.table_digest(rows.orderBy(F.desc("id")))[0] == kept["sha256"] == registry.table_digest(rows.repartition(7))[0]
+    for other in (rows.where("id > 0"), rows.union(rows.limit(1)), rows.withColumn("x", F.when(F.col("id") != 9, F.col("x")))):
+        assert registry.table_digest(other)[0] != kept["sha256"]
+    spark.range(1).select("id", F.lit(1).cast("long").alias("x")).write.mode("append").parquet(kept["path"])
+    with pytest.raises(ValueError):
+        registry.evidence_table(spark, kept)
+
+
 def test_saved_analyses(spark):
     from skerry.plans import saved
 
