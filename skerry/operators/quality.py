@@ -29,20 +29,20 @@ def profile(df: DataFrame) -> DataFrame:
 
     Blanks count as missing. Bounds are given for numbers, dates, and text that is ISO dates throughout.
     """
-    kinds = dict(df.dtypes)
-    made: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(df.columns):
-        full = F.when(~is_blank(df, c), F.col(c))
-        lo, hi = F.min(full).cast("string"), F.max(full).cast("string")
+    kinds, found = dict(df.dtypes), []
+    for c in df.columns:
+        # values are counted first, by a hash aggregate over this column alone: rows aren't copied for each column, nor sorted
+        values = df.select(F.when(~is_blank(df, c), F.col(c)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        lo, hi = F.min("v").cast("string"), F.max("v").cast("string")
         if kinds[c] == "string":
-            dates = F.count(full) == F.count_if(full.rlike(ISO))
+            dates = F.count("v") == F.count_if(F.col("v").rlike(ISO))
             lo, hi = F.when(dates, lo), F.when(dates, hi)
         elif kinds[c] not in (*NUMBERS, "date", "timestamp", "timestamp_ntz"):
             lo = hi = F.lit(None).cast("string")
-        made += [F.count(full).alias(f"n{i}"), F.count_distinct(full).alias(f"d{i}"), lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
-    one = df.agg(*made)
-    rows = [F.struct(F.lit(c).alias("name"), F.lit(type_name(kinds[c])).alias("inferred_type"), F.col("rows").alias("row_count"), (F.col("rows") - F.col(f"n{i}")).alias("null_count"), F.round((F.col("rows") - F.col(f"n{i}")) / F.greatest(F.col("rows"), F.lit(1)), 4).alias("null_rate"), F.col(f"d{i}").alias("distinct_count"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")) for i, c in enumerate(df.columns)]
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        rows, full = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+        one = values.agg(rows.alias("row_count"), (rows - full).alias("null_count"), F.round((rows - full) / F.greatest(rows, F.lit(1)), 4).alias("null_rate"), F.count("v").alias("distinct_count"), lo.alias("min_value"), hi.alias("max_value"))
+        found.append(one.select(F.lit(c).alias("name"), F.lit(type_name(kinds[c])).alias("inferred_type"), "*"))
+    return reduce(DataFrame.unionByName, found)
 
 
 @dataclass(frozen=True)

@@ -285,6 +285,18 @@ def test_evidence_of_any_size(spark, tmp_path):
         registry.evidence_table(spark, kept)
 
 
+def test_profile_counts_values_once(spark):
+    rows = spark.createDataFrame([(1, "2024-01-02", "a"), (2, "2024-01-01", ""), (2, "", None), (None, None, "a")], "x int, day string, t string")
+    got = quality.profile(rows)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()  # no row is copied for each distinct count
+    assert {tuple(r)[0]: tuple(r)[1:] for r in got.collect()} == {
+        "x": ("integer", 4, 1, 0.25, 2, "1", "2"),
+        "day": ("string", 4, 2, 0.5, 2, "2024-01-01", "2024-01-02"),
+        "t": ("string", 4, 2, 0.5, 1, None, None),
+    }
+    assert [tuple(r)[2:] for r in quality.profile(rows.limit(0)).collect()] == [(0, 0, 0.0, 0, None, None)] * 3
+
+
 def test_saved_analyses(spark):
     from skerry.plans import saved
 
