@@ -17,7 +17,7 @@ from skerry.operators import forecasting, monitoring, process, quality, registry
 from skerry.plans import adhoc, metrics
 from skerry.plans.adhoc import Filter, Measure, Query
 from skerry.plans.metrics import Metric
-from skerry.session import table
+from skerry.session import shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -489,13 +489,6 @@ def paged_orders(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.lit(total).cast("long").alias("total"))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all of a cluster shares."""
-    from uuid import uuid4
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid4().hex}"
-
-
 def delivered(spark: SparkSession, rows: DataFrame, header: str, encoding: str | None = None) -> str:
     """The lines of rows (value) as files under one header, as a source would deliver them."""
     first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1).cast("long")) == 0

@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.session import shared_folder, written
+
 WHERE = ["file", "block"]
 
 
@@ -46,13 +48,14 @@ def stepped(lines: DataFrame, sep: str) -> DataFrame:
     return lines.withColumn("_c", closed).withColumn("_o", F.when(plain, fixed(True, F.lit(0))).otherwise(step(cells, True)))
 
 
-def placed(lines: DataFrame, sep: str) -> DataFrame:
+def placed(lines: DataFrame, sep: str, folder: str) -> DataFrame:
     """lines (file, block, at, value) with record (from 1 in each file), physical_line (from 1), starts (the record begins here), open (a quote is
-    open after the line), and cells (how many end in it). block orders a file's input splits, at the lines of one."""
+    open after the line), and cells (how many end in it). block orders a file's input splits, at the lines of one.
+    Lines and their outcomes are a table in folder, so they are read and folded once, and the splits' outcomes take no text along."""
     own = Window.partitionBy(*WHERE).orderBy("at")
     before, upto = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
     fixed = F.col("_c.open") == F.col("_o.open")
-    lines = stepped(lines, sep).withColumn("_turns", F.when(F.col("_c.open") & ~F.col("_o.open"), 1).otherwise(0))
+    lines = written(stepped(lines, sep), f"{folder}/lines").withColumn("_turns", F.when(F.col("_c.open") & ~F.col("_o.open"), 1).otherwise(0))
     lines = lines.withColumn("_sum", F.sum("_turns").over(upto))
     last = F.when(fixed, F.struct(F.col("_c.open").alias("open"), F.col("_sum").alias("sum")))
     turned = F.coalesce(F.sum("_turns").over(before), F.lit(0))
@@ -79,10 +82,12 @@ def placed(lines: DataFrame, sep: str) -> DataFrame:
     return lines.select("file", "block", "at", "value", "record", "physical_line", (~F.col("_s")).alias("starts"), done["open"].alias("open"), done["cells"].alias("cells"))
 
 
-def records(lines: DataFrame, sep: str, longest: int) -> DataFrame:
+def records(lines: DataFrame, sep: str, longest: int, folder: str | None = None) -> DataFrame:
     """(file, record, physical_line, cells, value): a row for each record; physical_line is its first. value is null for a record of more than
-    `longest` characters, of which only the cells are counted. A blank line is a record of no cells. Lines of one record alone are shuffled by record."""
-    lines = placed(lines, sep)
+    `longest` characters, of which only the cells are counted. A blank line is a record of no cells. Lines of one record alone are shuffled by record.
+    Placed lines are a table in folder (a new one of the cluster, if none is given), which the result is read from."""
+    folder = folder or shared_folder(lines.sparkSession, "csv-rows")
+    lines = written(placed(lines, sep, folder), f"{folder}/placed")
     ended = lambda c: F.regexp_replace(c, "\r$", "")
     alone = F.col("starts") & ~F.col("open")
     text = ended(F.col("value"))

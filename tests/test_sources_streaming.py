@@ -44,6 +44,16 @@ def test_detection():
         ingest.detect_format("a.pdf", b"%PDF")
 
 
+def test_lines_are_read_once_for_all_that_follows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\n1,"x\ny"\n2,z\n3,"a",b\n')
+    got = ingest.parse_csv(spark, str(tmp_path / "a.csv"))
+    for df in (got.accepted, got.rejected):  # neither folds lines nor cuts records again
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan and "Relation" in plan and "a.csv" not in str(df.inputFiles())
+    assert sorted(map(tuple, got.accepted.collect())) == [("1", "x\ny"), ("2", "z")]
+    assert [tuple(r)[1:] for r in got.rejected.collect()] == [(4, 5, "expected 2 fields, got 3")]
+
+
 def test_policies(spark):
     rows = [(2, "1", "03/04/2026", "1", "1" * 21, "007", "2026-01-02", "1.5", ""), (3, "-2", "x", "2", "5", "8", "2026-01-03T01:00", "2", "")]
     names = ["amount", "x", "account_id", "n", "padded", "day", "rate", "empty"]
