@@ -1,8 +1,8 @@
 """Chat formatting: every assistant turn becomes an example of its own, trained on alone, with all earlier turns as context.
 
-A conversation is stored once, as segments `<|turn:ROLE|>TEXT<|end|>`; an example is a pair of spans into it (its context,
-from the start, and its target), so a conversation of n turns takes space for n turns rather than for n squared.
-render() writes examples out in full where a trainer wants that.
+A conversation is stored as segments `<|turn:ROLE|>TEXT<|end|>`; an example is its context, all segments before the assistant's text, that
+text as its target, and the span of its loss mask. A conversation of n assistant turns gives n contexts, so its examples take space with the
+square of its turns, which is what the method asks for; no task holds more than one context and the turns of one conversation at once.
 
 Control strings in a text can't be taken for marks: `&`, `<`, `[` and `|` are escaped, and unescape() gives the text back.
 
@@ -55,50 +55,48 @@ def format_turns(rows: DataFrame) -> DataFrame:
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """One row per assistant turn: its context is [0, target_start) of the formatted conversation, its loss mask covers
-    [target_start, target_end) and nothing else."""
-    return turns.where("trainable").select("conv_id", F.col("place").alias("example"), F.col("body_start").alias("target_start"), F.col("body_end").alias("target_end"), F.expr("substring(segment, int(body_start - start) + 1, int(body_end - body_start))").alias("target"))
+    """One row per assistant turn: its context is all of the formatted conversation before its text, [0, target_start), and its loss mask covers
+    [target_start, target_end) and nothing else. Contexts are repeated by nature; a conversation's rows are made one after the other."""
+    before = F.collect_list("segment").over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    rows = turns.withColumn("_before", before).where("trainable")
+    head, target = F.expr("substring(segment, 1, int(body_start - start))"), F.expr("substring(segment, int(body_start - start) + 1, int(body_end - body_start))")
+    return rows.select("conv_id", F.col("place").alias("example"), F.concat(F.array_join("_before", ""), head).alias("context"), F.col("body_start").alias("target_start"), F.col("body_end").alias("target_end"), target.alias("target"))
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, example, context, target): examples written out in full. The output repeats contexts by its nature."""
-    later = expand(turns)
-    earlier = turns.select("conv_id", "place", "segment", "start", "body_start")
-    pairs = later.join(earlier, (later.conv_id.eqNullSafe(earlier.conv_id)) & (earlier.place <= later.example)).select(later.conv_id, "example", "target", "place", F.when(F.col("place") == F.col("example"), F.expr("substring(segment, 1, int(body_start - start))")).otherwise(F.col("segment")).alias("part"))
-    return pairs.groupBy("conv_id", "example", "target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "part"))), lambda x: x.part), "").alias("context"))
+    """(conv_id, example, context, target): examples as a trainer reads them."""
+    return expand(turns).select("conv_id", "example", "context", "target")
 
 
-def prefixes_hold(items: Column, parts: Column) -> Column:
-    """Whether each example's context [0, target_start) ends with the head of the assistant turn at its place, and its target
-    with that turn's text. Places are counted anew along the formatted text's parts, in one walk; contexts aren't cut out.
-
-    items: turns (kind 0) and examples (kind 1) in order, an example after its turn."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("until"), F.lit(True).alias("ok"))
-
-    def step(state: Column, x: Column) -> Column:
-        part = F.get(parts, x["place"] - 1)
-        turn = F.struct(state["until"].alias("at"), (state["until"] + len(TURN) + F.char_length(part)).alias("until"), state["ok"].alias("ok"))
-        good = part.startswith(HEAD) & (x["target_start"] == state["at"] + len(TURN) + len(HEAD)) & (x["target_end"] == state["until"] - len(END))
-        example = F.struct(state["at"].alias("at"), state["until"].alias("until"), (state["ok"] & F.coalesce(good, F.lit(False))).alias("ok"))
-        return F.when(x["kind"] == 0, turn).otherwise(example)
-
-    return F.aggregate(items, start, step, lambda state: state["ok"])
+def checked(examples: DataFrame) -> DataFrame:
+    """(conv_id, place, target, whole): whole is an assistant turn's context and text, of a conversation's last example. Stops if a context doesn't
+    end with the head of the assistant turn at its place where its span says, or doesn't go on from the example before it."""
+    order = Window.partitionBy("conv_id").orderBy("example")
+    text = F.concat("context", "target", F.lit(END))
+    rows = examples.withColumns({"_text": text, "_earlier": F.lag(text).over(order), "_last": F.lead("example").over(order).isNull()})
+    turns = (F.char_length("context") - F.char_length(F.replace("context", F.lit(TURN), F.lit("")))) / len(TURN)
+    good = F.endswith("context", F.lit(TURN + HEAD)) & (turns == F.col("example")) & F.startswith("context", F.coalesce("_earlier", F.lit("")))
+    good = good & (F.char_length("context") == F.col("target_start")) & (F.char_length("target") == F.col("target_end") - F.col("target_start"))
+    stop = F.raise_error(F.lit("an example's context isn't a prefix of its conversation up to its target")).cast("string")
+    return rows.select("conv_id", F.col("example").alias("place"), F.when(good, F.col("target")).otherwise(stop).alias("target"), F.when(F.col("_last"), F.col("_text")).alias("whole"))
 
 
 def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations formatted and expanded, then read back from the formatted text and from the examples."""
+    """All conversations formatted and expanded, then read back from the examples: a conversation from its last example and the turns after it, the
+    text under the loss mask from every example's target."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     turns = format_turns(rows.unionByName(extra))
-    spans = expand(turns).select("conv_id", F.col("example").alias("place"), F.lit(1).alias("kind"), F.lit("").alias("segment"), "target_start", "target_end")
-    none = F.lit(None).cast("long")
-    items = turns.select("conv_id", "place", F.lit(0).alias("kind"), "segment", none.alias("target_start"), none.alias("target_end")).unionByName(spans)
-    whole = items.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "kind", "segment", "target_start", "target_end"))).alias("items"))
-    whole = whole.withColumn("formatted", F.array_join(F.transform("items", lambda x: x.segment), ""))
+    examples = checked(expand(turns)).withColumn("tail", F.lit(None).cast("string"))
+    last = F.max(F.when(F.col("trainable"), F.col("body_end"))).over(Window.partitionBy("conv_id"))
+    # turns that no example holds; found by their spans, they need what expand() needs, so one shuffle of the turns serves both
+    tails = turns.withColumn("_last", last).where("_last IS NULL OR start > _last")
+    nothing = F.lit(None).cast("string")
+    items = examples.unionByName(tails.select("conv_id", "place", nothing.alias("target"), nothing.alias("whole"), F.col("segment").alias("tail")))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("place", c)))), lambda x: x[c]), "")
+    whole = items.groupBy("conv_id").agg(F.concat(joined("whole"), joined("tail")).alias("formatted"), unescape(joined("target")).alias("loss"))
     whole = whole.withColumn("parts", F.expr("filter(split(formatted, '<[|]turn:'), (x, i) -> i > 0)"))
-    loss = F.when(prefixes_hold(F.col("items"), F.col("parts")), F.array_join(F.transform(F.filter("items", lambda x: x.kind == 1), lambda x: F.substring(F.get("parts", x.place - 1), F.lit(len(HEAD) + 1), (x.target_end - x.target_start).cast("int"))), ""))
-    whole = whole.withColumn("loss", unescape(loss.otherwise(F.raise_error(F.lit("an example's context isn't a prefix of its conversation up to its target")))))
     read = F.expr(f"transform(parts, x -> concat(substring_index(x, '{CLOSE}', 1), '\\n', substring(x, instr(x, '{CLOSE}') + 2, length(x) - instr(x, '{CLOSE}') - 1 - {len(END)}), '\\n'))")
     whole = whole.withColumn("turns", read)
     return whole.select(
