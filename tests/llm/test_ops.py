@@ -347,6 +347,20 @@ def test_rare_grams_are_pruned_to_the_bound(spark, monkeypatch):
         assert toxicity.least_counts(rows)[4] == least
 
 
+def test_scores_do_not_depend_on_the_bound_of_grams(spark, monkeypatch):
+    """Rare n-grams and contexts that aren't sent to tasks have their own ratios by joins."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels, got = table(spark, folder, "documents"), table(spark, folder, "labels"), []
+    odd = spark.createDataFrame([(-1, None), (-2, " \n"), (-3, "qzxj" * 4000 + " Zq\u00e9\u4e2d" * 30), (-4, "a")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(odd).union(docs.limit(3).select(-F.col("doc_id") - 10, "text"))
+    for bound in (10**9, 300, 1):
+        monkeypatch.setattr(toxicity, "GRAM_ROWS", bound)
+        got.append({(r["doc_id"]): r["score"] for r in toxicity.score(docs, labels, "doc_id").collect()})
+    assert len(got[0]) == docs.count() and len({round(x, 9) for x in got[0].values()}) > 100
+    for other in got[1:]:
+        assert set(other) == set(got[0]) and max(abs(other[i] - x) for i, x in got[0].items()) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     out = catalog.QUERIES["op4_kneser_ney_toxicity"](spark, folder).join(table(spark, folder, "labels"), "doc_id").where("held_out")
