@@ -361,6 +361,21 @@ def test_scores_do_not_depend_on_the_bound_of_grams(spark, monkeypatch):
         assert set(other) == set(got[0]) and max(abs(other[i] - x) for i, x in got[0].items()) < 1e-9
 
 
+def test_texts_are_sent_once_in_small_batches(spark, monkeypatch):
+    folder, held, real = "/root/testdata/sf0.001", [], toxicity.measured
+
+    def measured(*args, **named):
+        held.append(int(spark.conf.get(toxicity.BATCH)))
+        return real(*args, **named)
+
+    monkeypatch.setattr(toxicity, "measured", measured)
+    before = spark.conf.get(toxicity.BATCH)
+    out = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", "text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "_text" not in plan
+    assert len(held) == 2 and max(held) <= 1024 < int(before) and spark.conf.get(toxicity.BATCH) == before
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     out = catalog.QUERIES["op4_kneser_ney_toxicity"](spark, folder).join(table(spark, folder, "labels"), "doc_id").where("held_out")
