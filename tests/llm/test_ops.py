@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -253,6 +254,30 @@ def test_similarity_is_exact_at_any_length(spark, monkeypatch):
         assert [r[1] for r in sorted(df.select("i", lines.similar("a", "b")).collect())] == want
 
 
+def test_similarity_of_near_lines_costs_less_than_their_distance(spark):
+    """Lines of some 1400 letters with three words changed: the walk says yes, so no distance is computed."""
+    random.seed(4)
+    rows = []
+    for i in range(600):
+        w = ["".join(random.choices("abcdefgh", k=6)) for _ in range(200)]
+        v = list(w)
+        for k in random.sample(range(200), 3):
+            v[k] = "other"
+        rows.append((i, " ".join(w), " ".join(v)))
+    df = spark.createDataFrame(rows, "i long, a string, b string").repartition(4).cache()
+    df.count()
+
+    def took(condition):
+        best = 1e9
+        for _ in range(3):
+            t = time.perf_counter()
+            assert df.where(condition).count() == len(rows)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert took(lines.similar("a", "b")) < 0.6 * took(F.call_function("levenshtein", "a", "b", F.lit(139)) >= 0)
+
+
 def test_crowd_of_unlike_lines_lists_few_pairs(spark, monkeypatch):
     """Three hundred lines that share three long words and little else meet in one bucket."""
     random.seed(2)
