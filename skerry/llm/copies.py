@@ -148,28 +148,42 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, size
 
     sides = [texts.select(F.col("k").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(compare, "a struct<p:long,q:long>, b struct<p:long,q:long>")
+    return both.mapInArrow(compare, "a long, b long")
 
 
-def near_pairs(rows: DataFrame) -> DataFrame:
+def near_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that join all nodes of one SimHash, and SimHashes that differ in NEAR_BITS at most. Each SimHash
     stands for the first of its nodes; what that misses is found by the shingles."""
-    fps = written(rows.groupBy("fp").agg(F.min("k").alias("k")), "copies-fps")
+    fps = written(nodes.groupBy("fp").agg(F.min("k").alias("k")), "copies-fps")
     found, _ = simhash.links(fps.select("fp"), NEAR_BITS, NEAR_PARTS)
     one = [fps.select(F.col("fp").alias(f"f{s}"), F.col("k").alias(s)) for s in "ab"]
     across = found.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(one[0], "fa").join(one[1], "fb").select("a", "b")
-    same = rows.select("fp", F.col("k").alias("a")).distinct().join(fps.withColumnRenamed("k", "b"), "fp").where("a <> b").select("a", "b")
+    same = nodes.select("fp", F.col("k").alias("a")).join(fps.withColumnRenamed("k", "b"), "fp").where("a <> b").select("a", "b")
     return ordered(across.union(same))
 
 
-def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, size: int, similarity: float) -> DataFrame:
-    """(a, b): links that join exactly the groups of nodes reachable over pairs that are alike. rows: a written scan()."""
-    near = written(alike(near_pairs(rows), nodes, docs, id_col, size, similarity), "copies-near")
-    joined = components(near).select(F.col("node").alias("k"), "component")
-    index = rows.select("k", "n", F.posexplode("tokens").alias("at", "token")).distinct().join(joined, "k", "left")
-    index = written(index.select("k", "n", "at", "token", F.coalesce("component", "k").alias("group")), "copies-index")
-    several = index.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *(f(f"group.{c}").alias(f"{c}{i}") for c in "pq" for i, f in enumerate((F.min, F.max)))).where("p0 <> p1 OR q0 <> q1").select("token", "size")
-    shared = written(index.join(several, "token"), "copies-shared")
+def numbered(rows: DataFrame, id_col: str) -> DataFrame:
+    """(k, first, n, fp, tokens): a scan()'s nodes, each once, named by a number in place of its key, with its first row. Numbers are
+    short in shuffles, which hold a row for each token of a node's prefix."""
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h", "g")
+    nodes = rows.groupBy("k").agg(F.min(name).alias("first"), *(F.first(c).alias(c) for c in ("n", "fp", "tokens")))  # equal keys, equal sets
+    return written(nodes.select(F.monotonically_increasing_id().alias("k"), "first", "n", "fp", "tokens"), "copies-nodes")
+
+
+def shared_tokens(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(k, n, at, token, group, size): the prefixes' tokens that nodes of more than one group share. joined: (k, component) of nodes. Tokens are
+    counted first; then those that are shared are looked up, so what is written doesn't have a row for each token of a text."""
+    grouped = written(nodes.select("k", "n", "tokens").join(joined, "k", "left").select("k", "n", "tokens", F.coalesce("component", "k").alias("group")), "copies-prefixes")
+    counts = grouped.select("group", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    shared, n = tallied(counts.where("lo <> hi").select("token", "size"), "copies-several")
+    index = grouped.select("k", "n", F.posexplode("tokens").alias("at", "token"), "group")
+    return written(index.join(broadcast_if(shared, n, NAMED), "token"), "copies-shared")
+
+
+def links(nodes: DataFrame, docs: DataFrame, id_col: str, size: int, similarity: float) -> DataFrame:
+    """(a, b): links that join exactly the groups of nodes reachable over pairs that are alike. nodes: numbered()."""
+    near = written(alike(near_pairs(nodes), nodes, docs, id_col, size, similarity), "copies-near")
+    shared = shared_tokens(nodes, components(near).select(F.col("node").alias("k"), "component"))
     sparse, dense = shared.where(f"size <= {DENSE}"), shared.where(f"size > {DENSE}")
     leaders = dense.groupBy("token").agg(*(F.min(F.struct(F.xxhash64(F.lit(r), "k").alias("o"), "k", "n", "at", "group")).alias(f"l{r}") for r in range(LEADERS)))
     leaders = written(leaders, "copies-leaders")
@@ -193,10 +207,8 @@ def firsts(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col:
     """(id, h, g, members): the name of the first row of each group of near copies, and how many nodes the group has."""
     docs = identified(docs.select(id_col, F.col(text_col).alias("text")), id_col, "text")
     with temporary(docs.sparkSession):
-        rows = written(scan(docs, id_col, size, similarity), "copies-rows")
-        name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h", "g")
-        nodes = written(rows.groupBy("k").agg(F.min(name).alias("first")), "copies-nodes")
-        group = components(links(rows, nodes, docs, id_col, size, similarity)).select(F.col("node").alias("k"), "component")
+        nodes = numbered(scan(docs, id_col, size, similarity), id_col)
+        group = components(links(nodes, docs, id_col, size, similarity)).select(F.col("node").alias("k"), "component")
         joined = nodes.join(group, "k", "left").groupBy(F.coalesce("component", "k").alias("component"))
         out = joined.agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("members"))
         return written(out.select("first.id", "first.h", "first.g", "members"), "copies-firsts", keep=True)

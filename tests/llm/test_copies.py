@@ -58,3 +58,15 @@ def test_only_copies_go(spark):
     docs = [(None, a), (None, b), (None, c), (7, c), (5, a.replace(" ", " extra ", 1)), (5, d), (5, b), (9, base), (10, mixed), (11, base.upper()), (None, None), (12, ""), (13, d), (13, d)]
     kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.drop_copies(spark, table_of(spark, docs), "").collect()), key=str)
     assert kept == sorted([(5, docs[4][1]), (5, d), (5, b), (7, c), (9, base), (10, mixed), (12, "")], key=str)
+
+
+def test_unlike_texts_put_no_row_a_token_into_tables(spark, monkeypatch):
+    """Tokens that one text has alone are counted, and neither written nor shuffled with their places."""
+    rng = random.Random(10)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    docs += [(200 + i, t.replace(" ", " extra ", 1)) for i, t in docs[:5]]
+    made, written, tallied = {}, copies.written, copies.tallied
+    monkeypatch.setattr(copies, "written", lambda df, name, **more: (out := written(df, name, **more), made.update({name: out.count()}))[0])
+    monkeypatch.setattr(copies, "tallied", lambda df, name: (out := tallied(df, name), made.update({name: out[1]}))[0])
+    assert pipeline.drop_copies(spark, table_of(spark, docs), "").count() == 200
+    assert max(made.values()) <= len(docs), made
