@@ -6,11 +6,12 @@ most t_i bits in some partition i. Each fingerprint chooses its own thresholds (
 programming on the probes they cost and on the candidates they are estimated to bring; the estimate comes from histograms of
 fixed size. It then probes an index of partition values with all values within its thresholds, and candidates are verified.
 
-A bucket of the index with over DENSE members (a large family of near copies) isn't expanded into pairs. Its members and
-those who probe it are linked through the points between them instead: every fingerprint stands at all points within
-ceil(most / 2) bits of it, and is near at those within floor(most / 2). Two differ in at most `most` bits exactly if one is
-near where the other stands, and whoever stands at a point may be linked to one that is near. That finds the same groups in
-a number of rows proportional to the members.
+A bucket of the index with over DENSE members isn't expanded into pairs. Its members and those who probe it, its crowd, are dealt
+anew: two that differ in at most `most` bits agree on two of most + 2 blocks of their other bits, so they meet under the bucket and two blocks.
+Where DENSE or fewer meet, they are listed. Those who meet more (a large family of near copies) are linked through the points between
+them instead: every fingerprint stands at all points within ceil(most / 2) bits of it, and is near at those within floor(most / 2).
+Two differ in at most `most` bits exactly if one is near where the other stands, and whoever stands at a point may be linked to one
+that is near. That finds the same groups in a number of rows proportional to the members.
 
 Defined cases: null and empty texts and texts without words have fingerprint zero and are linked like any other; shorter
 texts than a shingle are one shingle; equal rows share a group; a null id never names a group unless the group has no
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import broadcast_if, components, temporary, written
+from skerry.llm.common import broadcast_if, components, shuffled, tallied, temporary, written
 from skerry.session import table
 
 SHINGLE, SEED, BITS, MOST = 3, 42, 64, 2
@@ -37,6 +39,7 @@ PARTS = 2
 DENSE = 64  # members of a bucket from which pairs aren't listed
 NAMED = 500_000  # broadcast rows, of 16 bytes and their overhead
 PROBE_COST = 1.0  # of a probe, in candidates
+POINT_ROWS = 1_000_000  # points of a task
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, distinct: bool = False) -> int:
@@ -212,6 +215,26 @@ def around(fps: DataFrame, radius: int) -> DataFrame:
     return at.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp", F.bit_count("flip").alias("apart"))
 
 
+def narrowed(crowd: DataFrame, groups: list[list[int]], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of a crowd (part, value, fp): (a, b) links of those who meet DENSE or fewer under a bucket and two blocks, (fp) those who meet more, and
+    the number of the latter. Two of one bucket that differ in `most` bits at most are linked, or both are among the latter."""
+
+    def keyed(i: int) -> DataFrame:
+        bits = [b for b in range(BITS) if b not in groups[i]]
+        ends = [len(bits) * k // (most + 2) for k in range(most + 3)]
+        blocks = {f"b{k}": part_column(bits[low:high]) if high > low else F.lit(0) for k, (low, high) in enumerate(zip(ends, ends[1:]))}
+        keys = F.array(*(F.xxhash64("part", "value", F.lit(k), *pair) for k, pair in enumerate(combinations(blocks, 2))))
+        return crowd.where(F.col("part") == i).withColumns(blocks).select("fp", F.explode(keys).alias("key"))
+
+    rows = reduce(DataFrame.union, map(keyed, range(len(groups))))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = written(rows.join(shuffled(sizes), "key"), "simhash-blocks")
+    a, b = (rows.where(f"n <= {DENSE}").select("key", F.col("fp").alias(s)) for s in "ab")
+    listed = a.join(shuffled(b), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)).select("a", "b")
+    left, n = tallied(rows.where(f"n > {DENSE}").select("fp").distinct(), "simhash-left")
+    return listed, left, n
+
+
 def links(fps: DataFrame, most: int = MOST, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that join exactly the groups of distinct fingerprints reachable over steps of `most` bits or fewer, and
     (part, value, fp) for the buckets whose pairs the links don't list one by one."""
@@ -221,18 +244,20 @@ def links(fps: DataFrame, most: int = MOST, parts: int = PARTS) -> tuple[DataFra
     index = fps.select("fp", F.explode(values).alias("x")).select(F.col("x.part").alias("part"), F.col("x.value").alias("value"), F.col("fp").alias("other"))
     buckets = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("one"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("one"))) <= most
-    hits = probes(fps, groups, most).join(buckets, ["part", "value"]).where((F.col("n") > 1) | (F.col("one") != F.col("fp")) & near)
-    hits = written(hits, "simhash-hits")
+    hits = probes(fps, groups, most).join(shuffled(buckets), ["part", "value"]).where((F.col("n") > 1) | (F.col("one") != F.col("fp")) & near)
+    hits, met = tallied(hits, "simhash-hits")
     single = hits.where("n = 1").select(F.col("fp").alias("a"), F.col("one").alias("b"))
-    sparse = hits.where(f"n > 1 AND n <= {DENSE}").join(index, ["part", "value"])
+    sparse = index.join(broadcast_if(hits.where(f"n > 1 AND n <= {DENSE}"), met, NAMED), ["part", "value"])
     sparse = sparse.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     crowded = hits.where(f"n > {DENSE}").select("part", "value", "fp")
-    members = index.join(crowded.select("part", "value").distinct(), ["part", "value"]).select("part", "value", F.col("other").alias("fp"))
+    members = index.join(broadcast_if(crowded.select("part", "value").distinct(), met, NAMED), ["part", "value"]).select("part", "value", F.col("other").alias("fp"))
     crowd = written(members.union(crowded).distinct(), "simhash-crowd")
-    stands = around(crowd.select("fp").distinct(), -(-most // 2))
+    listed, left, n = narrowed(crowd, groups, most)
+    points = sum(comb(BITS, r) for r in range(-(-most // 2) + 1))
+    stands = around(left.repartition(-(-n * points // POINT_ROWS) or 1), -(-most // 2))
     closest = stands.where(F.col("apart") <= most // 2).groupBy("point").agg(F.min("fp").alias("near"))
-    stars = stands.join(closest, "point").where("fp <> near").select(F.col("fp").alias("a"), F.col("near").alias("b"))
-    found = single.union(sparse).union(stars)
+    stars = stands.join(shuffled(closest), "point").where("fp <> near").select(F.col("fp").alias("a"), F.col("near").alias("b"))
+    found = single.union(sparse).union(listed).union(stars)
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links"), crowd
 
 
@@ -295,7 +320,7 @@ def groups(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col:
         named = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
         named = written(named, "named", keep=True)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return rows.join(shuffled(named.join(shuffled(least), "component").select("fp", "component_id")), "fp").select(id_col, "fp", "component_id")
 
 
 def op8_generalised_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

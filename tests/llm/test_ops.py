@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
-from skerry.llm import catalog, chat, decontaminate, lines, ogg, packing, pii, sharding, simhash, toxicity, urls
+from skerry.llm import catalog, chat, common, decontaminate, lines, ogg, packing, pii, sharding, simhash, toxicity, urls
 from skerry.session import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -575,6 +575,51 @@ def test_links_join_the_right_groups(spark, monkeypatch, most, parts, dense):
     assert {frozenset(g) for g in groups.values()} == brute_groups(fps, most)
 
 
+def broadcast_operators(df):
+    """Names of the operators below what the joins of a query would broadcast, by the plan Spark has before it runs."""
+    below = lambda node: [node.getClass().getSimpleName(), *(x for i in range(node.children().size()) for x in below(node.children().apply(i)))]
+
+    def walk(node):
+        own = below(node.right() if node.buildSide().toString() == "BuildRight" else node.left()) if node.getClass().getSimpleName().startswith("Broadcast") else []
+        return own + [x for i in range(node.children().size()) for x in walk(node.children().apply(i))]
+
+    return set(walk(df._jdf.queryExecution().sparkPlan()))
+
+
+@pytest.mark.parametrize(("most", "parts"), [(2, 2), (4, 3)])
+def test_rows_made_of_fingerprints_are_not_broadcast(spark, monkeypatch, most, parts):
+    """Spark takes probes, index entries and points for as small as the fingerprints they are made of."""
+    seen, made, tallied = {}, simhash.written, common.tallied
+    monkeypatch.setattr(simhash, "written", lambda df, name, **more: (seen.update({name: broadcast_operators(df)}), made(df, name, **more))[1])
+    monkeypatch.setattr(simhash, "tallied", lambda df, name, **more: (seen.update({name: broadcast_operators(df)}), tallied(df, name, **more))[1], raising=False)
+    monkeypatch.setattr(simhash, "DENSE", 4)
+    rng = random.Random(3)
+    fps = [(rng.getrandbits(63) & ~0xFF if i % 2 else i,) for i in range(200)]
+    simhash.links(spark.createDataFrame(fps, "fp long"), most, parts)
+    assert {"simhash-hits", "simhash-links"} <= set(seen)
+    assert not any(re.search("Generate|Arrow", x) for names in seen.values() for x in names), seen
+
+
+def test_unlike_fingerprints_of_a_crowd_stand_at_no_points(spark, monkeypatch):
+    """Points, 2081 for each fingerprint at four bits, are for those only who meet many under blocks too."""
+    stood, around = [], simhash.around
+    monkeypatch.setattr(simhash, "partition_bits", lambda n, both, parts: [list(range(22)), list(range(22, 43)), list(range(43, 64))])
+    monkeypatch.setattr(simhash, "allocate", lambda costs, most: np.tile(np.array([0, 1, 1], np.int8), (len(costs[0]), 1)))
+    monkeypatch.setattr(simhash, "around", lambda fps, radius: (stood.append(fps.count()), around(fps, radius))[1])
+    rng = random.Random(4)
+    unlike = [rng.getrandbits(41) << 22 for _ in range(300)]
+    family = [(1 << 62) ^ (1 << 22 + i) ^ (1 << 22 + j) for i in range(20) for j in range(i)]
+    fps = [*unlike, *family, unlike[0] ^ (7 << 30)]
+    found, crowd = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, 3)
+    from skerry.llm.common import components
+
+    groups = collections.defaultdict(set)
+    for r in components(found).collect():
+        groups[r["component"]].add(r["node"])
+    assert {frozenset(g) for g in groups.values()} == brute_groups(fps, 4) and crowd.select("fp").distinct().count() == len(fps)
+    assert stood == [len(family)]
+
+
 def test_allocation_is_the_cheapest():
     rng = np.random.default_rng(2)
     costs = [rng.random((50, 4)).cumsum(axis=1) for _ in range(3)]
