@@ -600,6 +600,19 @@ def test_rows_made_of_fingerprints_are_not_broadcast(spark, monkeypatch, most, p
     assert not any(re.search("Generate|Arrow", x) for names in seen.values() for x in names), seen
 
 
+def test_written_tables_hold_few_uncounted_broadcasts(spark):
+    """A table of 800 kB by Spark's estimate is shuffled where nothing counted its rows; a counted one is broadcast."""
+    a, b = (spark.range(100_000).withColumnRenamed("id", "k").withColumn(c, F.lit(1)) for c in "xy")
+    context, before = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for right, broadcast in ((b, False), (common.broadcast_if(b, 100_000, 99_999), False), (common.broadcast_if(b, 100_000, 100_000), True)):
+        assert common.written(a.join(right, "k"), "joined").count() == 100_000
+        context.listenerBus().waitUntilEmpty()
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+        assert ("BroadcastHashJoin" in [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and "Join" in p][-1]) == broadcast
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
 def test_unlike_fingerprints_of_a_crowd_stand_at_no_points(spark, monkeypatch):
     """Points, 2081 for each fingerprint at four bits, are for those only who meet many under blocks too."""
     stood, around = [], simhash.around
